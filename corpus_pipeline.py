@@ -1,15 +1,42 @@
-"""The corpus pipeline: each stage is one operator, and reads what the stage before it wrote."""
+"""The corpus pipeline: each stage is one operator, and reads what the stage before it wrote.
+
+1. language ID: documents in no language go, the others get the predicted one as `lang`;
+2. SimHash near-duplicates: one document of each group stays;
+3. mixing to target weights: each document stays as often as its rate says (toxic ones not at all);
+4. best-fit packing of the token ids into sequences of 2048.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyframe.llm import queries as q
 from skyframe.llm.common import new_dir
+from skyframe.llm.language import in_a_language
+from skyframe.llm.mixing import mixed
+from skyframe.llm.packing import pack_documents
+from skyframe.llm.queries import TARGETS, byte_bpe, domain_labels
+from skyframe.llm.simhash import deduplicated
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return in_a_language(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return deduplicated(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed(docs, domain_labels(spark, sf_dir), TARGETS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, byte_bpe(), end_id=0, capacity=2048)
+
 
-STAGES = [("packing", lambda spark, docs, sf_dir: q.pack_documents(docs, q.byte_bpe()))]
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
 
-ORACLE_SQL = None  # SQL expresses neither learning nor tokenizing
+ORACLE_SQL = None  # SQL expresses neither learning nor tokenizing; the tests hold the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

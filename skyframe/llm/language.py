@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIM = 1 << 12
 #: Families of common language codes.  A code that is not listed is a family of its own.
@@ -141,43 +142,38 @@ def fit_languages(docs: DataFrame, most: int = 1600) -> LanguageModel | None:
     return LanguageModel(np.stack([np.frombuffer(r["x"], np.float32) for r in got]), [r["lang"] for r in got])
 
 
-def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """(doc_id, text) -> doc_id, lang_pred, score for every whole text, by its text alone.
-
-    A null text or one without a letter, and any text where there is no model, is `und` with score 0.  Rows stay as
-    often as they come; an empty table gives an empty result; other columns are left out.
-    """
+def with_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """Adds _lang_pred and _score to all columns of `docs`, of which only `text` is looked at."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 langs, score = ["und"] * some.num_rows, np.zeros(some.num_rows)
-                known = np.flatnonzero(some.column("letters").to_numpy(zero_copy_only=False)) if model else []
+                known = np.flatnonzero(some.column("_letters").to_numpy(zero_copy_only=False)) if model else []
                 if len(known):
                     names, score[known] = model.predict(features(some.column("text").take(pa.array(known)).to_pylist()))
                     for k, name in zip(known.tolist(), names):
                         langs[k] = name
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+                cols = [some.column(k) for k, name in enumerate(some.schema.names) if name != "_letters"]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(score)], names=[*(n for n in some.schema.names if n != "_letters"), "_lang_pred", "_score"])
 
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), letters).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+    return docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
 
 
-def predictor(model: LanguageModel | None):
-    """The same prediction as a column function of text: struct(lang_pred, score); for use beside other columns."""
-    import pandas as pd
+def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """(doc_id, text) -> doc_id, lang_pred, score for every whole text, by its text alone.
+
+    A null text or one without a letter, and any text where there is no model, is `und` with score 0.  Rows stay as
+    often as they come; an empty table gives an empty result; other columns are left out.
+    """
+    found = with_language(docs.select(F.col("doc_id").cast("long"), "text"), model)
+    return found.select("doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(text: pd.Series) -> pd.DataFrame:
-        langs, scores = [], []
-        for at in range(0, len(text), 512):
-            names, score = model.predict(features(text.iloc[at : at + 512].tolist()))
-            langs += names
-            scores.append(score)
-        return pd.DataFrame({"lang_pred": langs, "score": np.concatenate(scores) if scores else []})
 
-    und = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    if model is None:
-        return lambda text: und
-    return lambda text: F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), predict(text)).otherwise(und)
+def in_a_language(docs: DataFrame) -> DataFrame:
+    """The documents whose language is known, with it as their lang; the columns of `docs`."""
+    found = with_language(docs, fit_languages(docs)).where("_lang_pred <> 'und'")
+    return found.withColumn("lang", F.col("_lang_pred")).drop("_lang_pred", "_score")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import new_dir
 from .digest import digests
 from .language import fit_languages, held_out, identify
+from .mixing import mix
+from .neighbours import nearest
 from .packing import pack_documents
+from .sharding import shard_documents
 from .simhash import near_duplicates
 from .token_store import read_token_shards, write_token_shards
 from .url_rules import judge
@@ -24,6 +28,10 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_token_shards(table(spark, sf_dir, "documents"), path := new_dir(spark, "token-shards"), byte_bpe(), end_id=2)
     return read_token_shards(spark, path)
@@ -44,6 +52,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), byte_bpe(), end_id=0, capacity=2048)
 
@@ -60,7 +73,21 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op3_language, op4_digest, op5_warc, op7_packing, op8_simhash, op9_url_rules)}
+#: shares of the expected tokens
+TARGETS = {"good": 0.85, "plain": 0.15, "toxic": 0.0}
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The domains of the labelled documents: toxic, else good or plain by quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain")
+    return table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), TARGETS)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_store, op3_language, op4_digest, op5_warc, op6_neighbours, op7_packing, op8_simhash, op9_url_rules, op10_mixing)}
 
 ORACLES: dict[str, str] = {
     "op5_warc": """

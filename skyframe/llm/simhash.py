@@ -190,3 +190,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = hot_lookup(fps, found, "fp", rows)
     least = F.when(F.col("component_id") < F.lit(1 << 62), F.col("component_id"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), least.alias("component_id"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The documents with the smallest doc_id of each group, with the columns of `docs`.
+
+    Of rows that repeat that doc_id one stays; rows with a null doc_id stay, as nothing tells them apart.
+    """
+    found = cut(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    first = found.select("doc_id")
+    kept = docs.join(first, docs.doc_id.cast("long") == first.doc_id, "left_semi")
+    if found.where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(docs.doc_id.isNull()))
