@@ -46,6 +46,8 @@ def with_roles(sql: str) -> str:
     body = sql.strip()
     if not head:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"
 
 
