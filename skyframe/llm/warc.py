@@ -85,9 +85,8 @@ def write_archives(records: DataFrame, path: str) -> DataFrame:
         fs.move(own, f"{top}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64())], names=["file", "bytes"])
 
-    parts = shuffle_partitions(records.sparkSession)
-    dealt = records.repartition(parts, "page_id", "digest").sortWithinPartitions("page_id", "digest")
-    done = dealt.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "file string, bytes long")
+    ordered = records.select("page_id", "url", "payload", "digest", "refers_to").sortWithinPartitions("page_id", "digest")
+    done = ordered.mapInArrow(run, "file string, bytes long")
     return records.sparkSession.createDataFrame(done.collect(), "file string, bytes long")  # one row for each file
 
 
