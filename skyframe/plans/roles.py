@@ -13,7 +13,7 @@ from ..operators.ordering import row_index
 BOX = 1000.0
 
 SQL = {
-    "particles": """SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS row_index, l_orderkey AS sub_id, o_custkey AS halo_id,
+    "particles": """SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_tax) - 1 AS row_index, l_orderkey AS sub_id, o_custkey AS halo_id,
         l_returnflag AS pt, l_quantity AS mass, l_extendedprice AS value, l_tax + 0.01 AS w,
         CAST((l_partkey * 37 + l_linenumber * 101) % 1000 AS DOUBLE) AS x, CAST((l_suppkey * 53 + l_partkey * 11) % 1000 AS DOUBLE) AS y,
         CAST((l_orderkey * 7 + l_linenumber * 29) % 1000 AS DOUBLE) AS z, CAST(l_partkey % 401 - 200 AS DOUBLE) AS vx,
@@ -73,8 +73,8 @@ class Tables:
 
     @cached_property
     def particles(self) -> DataFrame:
-        order = ["sub_id", "l_linenumber", "l_partkey", "l_suppkey"]
-        return row_index(self.rows, order, F.floor(F.col("sub_id") / 4096)).drop(*order[1:])
+        order = ["sub_id", "l_linenumber", "l_partkey", "l_suppkey", "value", "mass", "w"]
+        return row_index(self.rows, order, F.floor(F.col("sub_id") / 4096)).drop(*order[1:4])
 
     @cached_property
     def subs(self) -> DataFrame:

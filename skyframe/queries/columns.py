@@ -188,29 +188,30 @@ def f28(t):
     return t.embeddings.select("vec_id", A.last_nonzero(kept).alias("place"))
 
 
-_TAU = F.transform("embedding", lambda e: F.abs(e.cast("double")))
+def _tau():
+    return F.transform("embedding", lambda e: F.abs(e.cast("double")))
 
 
 @query("f29_equivalent_width", "SELECT vec_id, round(sum((1 - exp(-abs(CAST(e AS DOUBLE)))) * CASE WHEN k IN (0, 63) THEN 0.5 ELSE 1 END) * 0.5, 6) AS ew FROM pixels GROUP BY 1")
 def f29(t):
-    return t.embeddings.select("vec_id", F.round(A.equivalent_width(_TAU, 0.5), 6).alias("ew"))
+    return t.embeddings.select("vec_id", F.round(A.equivalent_width(_tau(), 0.5), 6).alias("ew"))
 
 
 @query("f30_v90", """WITH c AS (SELECT vec_id, k, sum(abs(CAST(e AS DOUBLE))) OVER (PARTITION BY vec_id ORDER BY k) AS c, sum(abs(CAST(e AS DOUBLE))) OVER (PARTITION BY vec_id) AS t FROM pixels),
     d AS (SELECT *, coalesce(lag(c) OVER (PARTITION BY vec_id ORDER BY k), 0) AS p FROM c)
     SELECT vec_id, round(max(CASE WHEN c >= 0.95 * t AND p < 0.95 * t THEN k - 1 + (0.95 * t - p) / (c - p) END) - max(CASE WHEN c >= 0.05 * t AND p < 0.05 * t THEN k - 1 + (0.05 * t - p) / (c - p) END), 6) AS v90 FROM d GROUP BY 1""")
 def f30(t):
-    return t.embeddings.select("vec_id", F.round(A.v90(_TAU), 6).alias("v90"))
+    return t.embeddings.select("vec_id", F.round(A.v90(_tau()), 6).alias("v90"))
 
 
 @query("f31_resampled_spectrum", "SELECT vec_id, CAST(k // 8 AS INTEGER) AS k, round(-ln(1 - least(avg(1 - exp(-abs(CAST(e AS DOUBLE)))), 1 - 1e-16)), 6) AS tau FROM pixels GROUP BY 1, k // 8")
 def f31(t):
-    return t.embeddings.select("vec_id", F.posexplode(A.resampled(_TAU, 8)).alias("k", "tau")).withColumn("tau", F.round("tau", 6))
+    return t.embeddings.select("vec_id", F.posexplode(A.resampled(_tau(), 8)).alias("k", "tau")).withColumn("tau", F.round("tau", 6))
 
 
 @query("f33_velocity_window", "SELECT vec_id, CAST(count(*) AS INTEGER) AS n, round(sum(abs(CAST(e AS DOUBLE))), 6) AS total FROM pixels WHERE k BETWEEN vec_id % 64 - 5 AND vec_id % 64 + 5 GROUP BY 1")
 def f33(t):
-    cut = A.window_around(_TAU, F.expr("cast(vec_id % 64 as int)"), 5)
+    cut = A.window_around(_tau(), F.expr("cast(vec_id % 64 as int)"), 5)
     return t.embeddings.select("vec_id", F.size(cut).alias("n"), F.round(A.sum_of(cut), 6).alias("total"))
 
 
@@ -224,7 +225,7 @@ def f32(t):
     """Each pixel is spread over its neighbours by a Gaussian that widens along the spectrum; cut at the ends."""
     half = 4
     kernel = F.array(*(F.array(*(F.lit(math.exp(-0.5 * (d / (0.5 + k / 40)) ** 2)) for d in range(-half, half + 1))) for k in range(64)))
-    pixels = t.embeddings.select("vec_id", F.posexplode(_TAU).alias("k", "tau")).withColumn("d", F.explode(F.sequence(F.lit(-half), F.lit(half))))
+    pixels = t.embeddings.select("vec_id", F.posexplode(_tau()).alias("k", "tau")).withColumn("d", F.explode(F.sequence(F.lit(-half), F.lit(half))))
     share = kernel[F.col("k")][F.col("d") + half] / A.sum_of(kernel[F.col("k")])
     out = pixels.select("vec_id", (F.col("k") + F.col("d")).alias("k"), (F.col("tau") * share).alias("v")).where("k between 0 and 63")
     return out.groupBy("vec_id", "k").agg(F.round(F.sum("v"), 6).alias("tau"))

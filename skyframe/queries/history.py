@@ -10,8 +10,16 @@ from ..operators import matching as M
 from ..operators.ordering import even_sample, islands, prefix_sum, row_index
 from ..plans.roles import query
 
-W = Window.partitionBy("tracer_id").orderBy("snap")
-ALL = Window.partitionBy("tracer_id")
+
+
+def track():
+    return Window.partitionBy("tracer_id").orderBy("snap")
+
+
+def whole():
+    return Window.partitionBy("tracer_id")
+
+
 R6 = lambda c: F.round(c, 6)
 
 
@@ -67,8 +75,8 @@ def a64(t):
     p AS (SELECT *, lag(m) OVER (PARTITION BY tracer_id ORDER BY snap) AS pm, lag(snap) OVER (PARTITION BY tracer_id ORDER BY snap) AS ps FROM m)
     SELECT tracer_id, round(min(CASE WHEN pm IS NULL THEN snap ELSE ps + (top / 2 - pm) / (m - pm) * (snap - ps) END), 6) AS formed FROM p WHERE m >= top / 2 AND (pm IS NULL OR pm < top / 2) GROUP BY 1""")
 def a65(t):
-    m = t.tracks.withColumns({"m": F.max("value").over(W), "top": F.max("value").over(ALL)})
-    p = m.withColumns({"pm": F.lag("m").over(W), "ps": F.lag("snap").over(W)})
+    m = t.tracks.withColumns({"m": F.max("value").over(track()), "top": F.max("value").over(whole())})
+    p = m.withColumns({"pm": F.lag("m").over(track()), "ps": F.lag("snap").over(track())})
     half = F.col("top") / 2
     at = F.when(F.col("pm").isNull(), F.col("snap").cast("double")).otherwise(F.col("ps") + (half - F.col("pm")) / (F.col("m") - F.col("pm")) * (F.col("snap") - F.col("ps")))
     return p.where((F.col("m") >= half) & (F.col("pm").isNull() | (F.col("pm") < half))).groupBy("tracer_id").agg(R6(F.min(at)).alias("formed"))
@@ -138,7 +146,7 @@ def a97(t):
 def a98(t):
     low, high = 0.6 + F.col("snap") * 0.01, 1.0 + F.col("snap") * 0.01
     s = t.tracks.withColumn("state", F.when(F.col("r") < low, 0).when(F.col("r") < high, 1).otherwise(2))
-    p = s.withColumns({"ps": F.lag("state").over(W), "pr": F.lag("r").over(W), "pt": F.lag("snap").over(W)})
+    p = s.withColumns({"ps": F.lag("state").over(track()), "pr": F.lag("r").over(track()), "pt": F.lag("snap").over(track())})
     at = F.col("pt") + (1.0 + F.col("pt") * 0.01 - F.col("pr")) / ((F.col("r") - F.col("pr")) / (F.col("snap") - F.col("pt")) - 0.01)
     enters = (F.col("ps") < 2) & (F.col("state") == 2)
     return p.groupBy("tracer_id").agg(F.count_if((F.col("ps") == 0) & (F.col("state") > 0)).alias("exits"), F.count_if(enters).alias("entries"), F.count_if((F.col("ps") == 2) & (F.col("state") < 2)).alias("leaves"), R6(F.min_by(F.when(enters, at), F.when(enters, F.col("snap")))).alias("first_entry"))
@@ -188,7 +196,7 @@ def w4(t):
 
 @query("w5_sliding_deviation", "SELECT tracer_id, snap, round(stddev_pop(value) OVER (PARTITION BY tracer_id ORDER BY snap ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING), 6) AS std FROM tracks")
 def w5(t):
-    return t.tracks.select("tracer_id", "snap", R6(F.stddev_pop("value").over(W.rowsBetween(-3, 2))).alias("std"))
+    return t.tracks.select("tracer_id", "snap", R6(F.stddev_pop("value").over(track().rowsBetween(-3, 2))).alias("std"))
 
 
 @query("w6_ghost_rows", "WITH n AS (SELECT tracer_id, snap, value, lead(snap) OVER w AS ns, lead(value) OVER w AS nv FROM tracks WINDOW w AS (PARTITION BY tracer_id ORDER BY snap)) SELECT tracer_id, snap, value, false AS ghost FROM n UNION ALL SELECT tracer_id, snap + 1, value + (nv - value) * 0.5, true FROM n WHERE ns = snap + 2")
@@ -209,18 +217,18 @@ def w8(t):
 
 @query("w9_running_max", "SELECT tracer_id, snap, max(value) OVER (PARTITION BY tracer_id ORDER BY snap) AS top FROM tracks")
 def w9(t):
-    return t.tracks.select("tracer_id", "snap", F.max("value").over(W).alias("top"))
+    return t.tracks.select("tracer_id", "snap", F.max("value").over(track()).alias("top"))
 
 
 @query("w10_fill_single", "SELECT tracer_id, snap, round(CASE WHEN value < 20 THEN (lag(value) OVER w + lead(value) OVER w) / 2 ELSE value END, 6) AS filled FROM tracks WINDOW w AS (PARTITION BY tracer_id ORDER BY snap)")
 def w10(t):
-    return t.tracks.select("tracer_id", "snap", R6(F.when(F.col("value") < 20, (F.lag("value").over(W) + F.lead("value").over(W)) / 2).otherwise(F.col("value"))).alias("filled"))
+    return t.tracks.select("tracer_id", "snap", R6(F.when(F.col("value") < 20, (F.lag("value").over(track()) + F.lead("value").over(track())) / 2).otherwise(F.col("value"))).alias("filled"))
 
 
 @query("w11_back_fill", "SELECT tracer_id, snap, first_value(CASE WHEN kind = 'click' THEN n END IGNORE NULLS) OVER (PARTITION BY tracer_id ORDER BY snap ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM tracks")
 def w11(t):
     kept = F.when(F.col("kind") == "click", F.col("n"))
-    return t.tracks.select("tracer_id", "snap", F.first(kept, ignorenulls=True).over(W.rowsBetween(0, Window.unboundedFollowing)).alias("n"))
+    return t.tracks.select("tracer_id", "snap", F.first(kept, ignorenulls=True).over(track().rowsBetween(0, Window.unboundedFollowing)).alias("n"))
 
 
 @query("w12_islands", "SELECT tracer_id, min(snap) AS first, max(snap) + 1 AS end, count(*) AS length FROM (SELECT tracer_id, snap, snap - row_number() OVER (PARTITION BY tracer_id ORDER BY snap) AS g FROM tracks WHERE r < 1.2) GROUP BY tracer_id, g HAVING count(*) >= 2")
@@ -230,7 +238,7 @@ def w12(t):
 
 @query("w13_step_changes", "SELECT tracer_id, snap FROM (SELECT tracer_id, snap, step, median(step) OVER (PARTITION BY tracer_id) AS mid FROM (SELECT tracer_id, snap, snap - lag(snap) OVER (PARTITION BY tracer_id ORDER BY snap) AS step FROM tracks)) WHERE step > 1.5 * mid")
 def w13(t):
-    steps = t.tracks.withColumn("step", F.col("snap") - F.lag("snap").over(W))
+    steps = t.tracks.withColumn("step", F.col("snap") - F.lag("snap").over(track()))
     mid = steps.groupBy("tracer_id").agg(F.percentile("step", F.lit(0.5)).alias("mid"))
     return steps.join(mid, "tracer_id").where("step > 1.5 * mid").select("tracer_id", "snap")
 
@@ -244,7 +252,7 @@ def w14(t):
 
 @query("w15_ranking", "SELECT tracer_id, snap, CAST(rank() OVER (PARTITION BY tracer_id ORDER BY value DESC) AS INTEGER) AS place FROM tracks")
 def w15(t):
-    return t.tracks.select("tracer_id", "snap", F.rank().over(ALL.orderBy(F.desc("value"))).alias("place"))
+    return t.tracks.select("tracer_id", "snap", F.rank().over(whole().orderBy(F.desc("value"))).alias("place"))
 
 
 @query("w16_first_crossing", f"SELECT count(acc) AS found, count(*) AS n, round(avg(acc), 6) AS mean FROM {_ACC}")

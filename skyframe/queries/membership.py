@@ -9,7 +9,8 @@ from ..operators import membership as O
 from ..operators.ordering import nth_rows
 from ..plans.roles import query
 
-STEP = F.floor(F.col("sub_id") / 4096)
+def step():
+    return F.floor(F.col("sub_id") / 4096)
 
 
 @query("s1_load_particles", "SELECT row_index, mass, round(mass * value, 2) AS weighted, round(sqrt(vx * vx + vy * vy + vz * vz), 6) AS speed FROM particles WHERE pt = 'A'")
@@ -200,7 +201,7 @@ def j12(t):
 @query("j13_offsets", "SELECT sub_id, CAST(sum(len) OVER (ORDER BY sub_id ROWS UNBOUNDED PRECEDING) - len AS BIGINT) AS start FROM (SELECT sub_id, count(*) AS len FROM particles GROUP BY 1)")
 def j13(t):
     lengths = t.rows.groupBy("sub_id").agg(F.count(F.lit(1)).alias("len"))
-    return O.offsets_from_lengths(lengths, "sub_id", "len", STEP).select("sub_id", F.col("start").cast("long").alias("start"))
+    return O.offsets_from_lengths(lengths, "sub_id", "len", step()).select("sub_id", F.col("start").cast("long").alias("start"))
 
 
 @query("j13b_nested_offsets", """SELECT sub_id, CAST(hstart + coalesce(sum(len) OVER (PARTITION BY halo_id ORDER BY sub_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM
@@ -248,7 +249,7 @@ def j18(t):
 def j19(t):
     counts = t.rows.where("pt = 'A'").groupBy("sub_id").agg(F.count(F.lit(1)).alias("n"))
     full = O.full_catalog(t.subs, counts, "sub_id", {"n": 0})
-    return O.offsets_from_lengths(full, "sub_id", "n", STEP).select("sub_id", "n", F.col("start").cast("long").alias("start"))
+    return O.offsets_from_lengths(full, "sub_id", "n", step()).select("sub_id", "n", F.col("start").cast("long").alias("start"))
 
 
 @query("j29_best_shared", """SELECT halo_id, k AS part, n AS shared FROM (SELECT halo_id, l_partkey AS k, count(*) AS n, row_number() OVER (PARTITION BY halo_id ORDER BY count(*) DESC, l_partkey) AS r

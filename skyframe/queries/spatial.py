@@ -316,7 +316,7 @@ def a18(t):
     return t.rows.groupBy("sub_id").agg(R6(-2.5 * F.log10(F.sum(F.pow(F.lit(10.0), -0.4 * mag)))).alias("mag"))
 
 
-_CELLS = "(SELECT CAST(floor(x / 50) * 20 + floor(y / 50) AS BIGINT) AS id FROM subs GROUP BY 1 HAVING sum(mass) > 10500000)"
+_CELLS = "(SELECT CAST(floor(x / 50) * 20 + floor(y / 50) AS BIGINT) AS id FROM subs GROUP BY 1 HAVING sum(mass) > 1.12 * (SELECT sum(mass) / 400 FROM subs))"
 
 
 @query("a80_segmentation", f"""WITH RECURSIVE c AS {_CELLS}, e AS (SELECT a.id AS a, b.id AS b FROM c a, c b WHERE (b.id = a.id + 1 AND b.id % 20 <> 0) OR b.id = a.id + 20 OR (a.id = b.id + 1 AND a.id % 20 <> 0) OR a.id = b.id + 20),
@@ -326,7 +326,8 @@ def a80(t):
 
 
 def segments(t):
-    cells = t.subs.groupBy((F.floor(F.col("x") / 50) * 20 + F.floor(F.col("y") / 50)).cast("long").alias("id")).agg(F.sum("mass").alias("m")).where("m > 10500000").select("id")
+    least = 1.12 * t.subs.agg(F.sum("mass")).first()[0] / 400
+    cells = t.subs.groupBy((F.floor(F.col("x") / 50) * 20 + F.floor(F.col("y") / 50)).cast("long").alias("id")).agg(F.sum("mass").alias("m")).where(F.col("m") > least).select("id")
     right = cells.where("id % 20 <> 19").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     return components(cells, right.union(cells.select(F.col("id").alias("a"), (F.col("id") + 20).alias("b"))))
 
