@@ -39,16 +39,18 @@ class Mixture:
 
 
 def surface(docs: DataFrame) -> DataFrame:
-    """Adds _words (lower-cased runs of letters and digits), tokens (their number) and _shape (shares of the text).
+    """Adds _words (lower-cased, cut at white space and ASCII punctuation), tokens (their number) and four shape columns.
+
+    Shape: shares of ASCII capitals and of other marks, share of different words, logarithm of the words.
 
     A null text is an empty one, with no tokens.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    words = F.array_remove(F.split(F.lower(text), r"[\s\p{Punct}]+"), "")
     n = F.greatest(F.char_length(text), F.lit(1))
-    bare = F.regexp_replace(text, r"[\p{Ll}\s.,]+", "")
+    bare = F.regexp_replace(text, r"[a-z\s.,\u0080-\uffff]+", "")
     docs = docs.withColumn("_words", words).withColumn("tokens", F.size("_words").cast("long"))
-    capitals = F.char_length(F.regexp_replace(bare, r"[^\p{Lu}]+", "")) / n
+    capitals = F.char_length(F.regexp_replace(bare, "[^A-Z]+", "")) / n
     kinds = F.size(F.array_distinct("_words")) / F.greatest(F.col("tokens"), F.lit(1))
     return docs.withColumns({"_a": capitals, "_b": F.char_length(bare) / n - capitals, "_c": kinds, "_d": F.log1p("tokens") / 10})
 
@@ -56,22 +58,22 @@ def surface(docs: DataFrame) -> DataFrame:
 def fit_domains(docs: DataFrame, labels: DataFrame, most: int = 20_000, buckets: int = 1 << 15) -> tuple[PipelineModel, list[str]] | None:
     """Learns a document's domain from `labels` (doc_id, domain).
 
-    `most` bounds the labelled rows that are learnt from (drawn by a hash of doc_id); a doc_id with several rows or
-    labels counts once, with its smallest domain.  None if nothing is labelled.
+    About `most` labelled rows are learnt from (drawn by a hash of doc_id; never over twice as many, which is why they
+    can be broadcast); a doc_id with several labels counts with its smallest domain.  None if nothing is labelled.
     """
     labels = labels.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy(F.col("doc_id").cast("long")).agg(F.min(F.col("domain").cast("string")).alias("domain"))
     n = labels.count()
     if not n:
         return None
     draw = F.pmod(F.xxhash64("doc_id", F.lit("domain")), F.lit(1 << 30)) < F.lit(int(min(1.0, most / n) * (1 << 30)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labels.where(draw), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labels.where(draw).limit(2 * most)), "doc_id")
     domains = sorted(r["domain"] for r in labels.select("domain").distinct().collect())
     rows = surface(rows).withColumn("_label", F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("double") - 1)
     stages = [
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=buckets, binary=True),
         VectorAssembler(inputCols=["_a", "_b", "_c", "_d", "_tf"], outputCol="_x"),
     ]
-    made = staged(Pipeline(stages=stages).fit(rows).transform(rows).select("_x", "_label"), "labelled")
+    made = staged(Pipeline(stages=stages).fit(rows).transform(rows).select("_x", "_label"), "labelled").coalesce(6)  # a bounded sample
     if made.select("_label").distinct().count() < 2:
         return None
     learn = LogisticRegression(featuresCol="_x", labelCol="_label", probabilityCol="_p", predictionCol="_y", rawPredictionCol="_z", family="multinomial", regParam=1e-4, standardization=False, maxIter=60)
@@ -92,7 +94,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
 
     `scale`: the expected tokens of the result over those of the input.  By default as many as let every domain
     with a target keep at least what it has, so that a mixture repeats rather than drops.  A domain without a
-    target has target 0.  Steps end when no total moves by more than `close` of its target, or after `steps`.
+    target has target 0.  Steps end when no total moves by more than `close` of all tokens, or after `steps`.
     """
     k = len(domains)
     weight = [max(0.0, float(targets.get(d, 0.0))) for d in domains]
@@ -111,7 +113,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
         grads = [(s - a) / b for s, a, b in zip(now, aim, base)]
         mixture.history.append(grads)
         was, now = now, [x or 0.0 for x in members.agg(*totals(mixture.rate(F.col("p")))).first()]
-        if all(abs(s - w) <= close * max(a, 1e-3 * total) for s, w, a in zip(now, was, aim)):
+        if all(abs(s - w) <= close * total for s, w in zip(now, was)):
             break
     return mixture
 
