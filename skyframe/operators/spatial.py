@@ -22,19 +22,30 @@ def radius_join(centers: DataFrame, points: DataFrame, center: str, point: str,
     may be smaller than `radius`.  `keep` and `keep_center` are columns that come along.
     """
     n = _cells(box, radius)
-    cell = lambda c: F.least(F.floor(F.pmod(F.col(c), F.lit(float(box))) * n / box).cast("int"), F.lit(n - 1))
-    steps = [s for s in product((-1, 0, 1), repeat=len(dims))] if n > 2 else [s for s in product(range(n), repeat=len(dims))]
+    inside = {d: F.pmod(F.col(d), F.lit(float(box))) for d in dims}
+    cell = {d: F.least(F.floor(inside[d] * n / box).cast("int"), F.lit(n - 1)) for d in dims}
+    near = n > 2  # else a cell has itself as a neighbour on both sides, and the nearest image is found by distance
+    steps = list(product((-1, 0, 1), repeat=len(dims))) if near else list(product(range(n), repeat=len(dims)))
     shift = F.explode(F.array(*(F.array(*(F.lit(v) for v in s)) for s in steps)))
-    c = centers.select(F.col(center).alias("_c"), *(F.col(d).alias(f"_c{d}") for d in dims), *(F.col(k) for k in keep_center), (F.col(own_radius) if own_radius else F.lit(float(radius))).alias("_r"), *(cell(d).alias(f"_g{d}") for d in dims))
-    c = c.withColumn("_d", shift)
+    c = centers.select(F.col(center).alias("_c"), *(inside[d].alias(f"_c{d}") for d in dims), *keep_center, (F.col(own_radius) if own_radius else F.lit(float(radius))).alias("_r"), *(cell[d].alias(f"_g{d}") for d in dims)).withColumn("_d", shift)
     for k, d in enumerate(dims):
-        c = c.withColumn(f"_g{d}", F.pmod(F.col(f"_g{d}") + F.col("_d")[k], F.lit(n)) if n > 2 else F.col("_d")[k])
-    p = points.select(F.col(point).alias("_p"), *(F.col(d).alias(f"_p{d}") for d in dims), *keep, *(cell(d).alias(f"_g{d}") for d in dims))
-    pairs = c.drop("_d").join(p, [f"_g{d}" for d in dims])
-    sq = sum((F.pow(min_image(F.col(f"_c{d}") - F.col(f"_p{d}"), box), F.lit(2.0)) for d in dims), F.lit(0.0))
-    pairs = pairs.withColumn("distance", F.sqrt(sq))
-    near = F.col("distance") <= F.col("_r") if closed else F.col("distance") < F.col("_r")
-    return pairs.where(near).select(F.col("_c").alias("center"), F.col("_p").alias("point"), "distance", *keep_center, *keep)
+        if near:  # a center next to the edge goes to the far side as its image there, so distances are plain
+            at = F.col(f"_g{d}") + F.col("_d")[k]
+            moved = F.col(f"_c{d}") + F.when(at < 0, F.lit(float(box))).when(at >= n, F.lit(-float(box))).otherwise(F.lit(0.0))
+            c = c.withColumns({f"_c{d}": moved, f"_g{d}": F.pmod(at, F.lit(n))})
+        else:
+            c = c.withColumn(f"_g{d}", F.col("_d")[k])
+    p = points.select(F.col(point).alias("_p"), *(inside[d].alias(f"_p{d}") for d in dims), *keep, *(cell[d].alias(f"_g{d}") for d in dims))
+    gap = {d: F.col(f"_c{d}") - F.col(f"_p{d}") for d in dims}
+    # A fixed number of partitions: what is shuffled is small, but its pairs are not, so it must not be coalesced.
+    keys = [f"_g{d}" for d in dims]
+    parts = int(centers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c, p = c.drop("_d").repartition(parts, *keys), p.repartition(parts, *keys)
+    pairs = c.join(p, keys).withColumns({f"_d{d}": g if near else min_image(g, box) for d, g in gap.items()})
+    sq = sum((F.col(f"_d{d}") * F.col(f"_d{d}") for d in dims[1:]), F.col(f"_d{dims[0]}") * F.col(f"_d{dims[0]}"))
+    limit = F.col("_r") * F.col("_r")
+    pairs = pairs.where(sq <= limit if closed else sq < limit)
+    return pairs.select(F.col("_c").alias("center"), F.col("_p").alias("point"), F.sqrt(sq).alias("distance"), *keep_center, *keep)
 
 
 def nearest(centers: DataFrame, points: DataFrame, center: str, point: str, dims: list[str], box: float, k: int = 1, radius: float = 50.0, skip_self: bool = True, skip_zero: bool = False) -> DataFrame:
