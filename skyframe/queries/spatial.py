@@ -77,10 +77,10 @@ def j31(t):
     return J.radius_join(rays, t.subs, "s_suppkey", "sub_id", ["x", "y"], 1000.0, 40.0).select(F.col("center").alias("ray"), F.col("point").alias("obj"), R6("distance").alias("impact"))
 
 
-@query("a19_neighbour_statistics", f"SELECT center, count(*) AS n, min(bm) AS lo, max(bm) AS hi, round(avg(bm), 8) AS mean, round(median(bm), 6) AS mid, round(sum(bm), 2) AS total FROM {_NEAR} GROUP BY 1")
+@query("a19_neighbour_statistics", f"SELECT center, count(*) AS n, min(bm) AS lo, max(bm) AS hi, round(round(sum(bm), 2) / count(*), 9) AS mean, round(median(bm), 6) AS mid, round(sum(bm), 2) AS total FROM {_NEAR} GROUP BY 1")
 def a19(t):
     b = F.col("bm")
-    return near(t).groupBy("center").agg(F.count(b).alias("n"), F.min(b).alias("lo"), F.max(b).alias("hi"), F.round(F.avg(b), 8).alias("mean"), R6(median(b)).alias("mid"), F.round(F.sum(b), 2).alias("total"))
+    return near(t).groupBy("center").agg(F.count(b).alias("n"), F.min(b).alias("lo"), F.max(b).alias("hi"), F.round(F.round(F.sum(b), 2) / F.count(b), 9).alias("mean"), R6(median(b)).alias("mid"), F.round(F.sum(b), 2).alias("total"))
 
 
 @query("a20_restricted_neighbours", f"SELECT center, count(*) AS n FROM {_NEAR} WHERE bm > 50000 AND bm < 400000 AND bm / am > 0.5 AND bm / am < 2 GROUP BY 1")
@@ -257,21 +257,21 @@ def a40(t):
     return f.groupBy("r", "thr").agg(F.round(F.avg("f"), 8).alias("mean"), F.round(F.stddev_pop("f"), 8).alias("std"))
 
 
-@query("a92_stacked_cutouts", f"SELECT CAST(round((ix + 0.5) * 50 - x) AS INTEGER) // 50 AS dx, count(*) AS n, round(avg(value), 4) AS mean FROM {_MAP}, (SELECT CAST(s_suppkey * 9 % 1000 AS DOUBLE) AS x FROM supplier WHERE s_suppkey % 10 = 0) WHERE abs((ix + 0.5) * 50 - x) < 200 AND (ix + 0.5) * 50 >= x GROUP BY 1")
+@query("a92_stacked_cutouts", f"SELECT CAST(round((ix + 0.5) * 50 - x) AS INTEGER) // 50 AS dx, count(*) AS n, round(round(sum(value), 2) / count(*), 8) AS mean FROM {_MAP}, (SELECT CAST(s_suppkey * 9 % 1000 AS DOUBLE) AS x FROM supplier WHERE s_suppkey % 10 = 0) WHERE abs((ix + 0.5) * 50 - x) < 200 AND (ix + 0.5) * 50 >= x GROUP BY 1")
 def a92(t):
     sources = t.supplier.where("s_suppkey % 10 = 0").select(F.expr("s_suppkey * 9 % 1000").cast("double").alias("x"))
     sources = sources.withColumn("tx", F.explode(F.sequence(F.floor(F.col("x") / 200), F.floor(F.col("x") / 200) + 1)))
     pixels = flat(t).withColumn("tx", F.floor((F.col("ix") + 0.5) * 50 / 200))
     d = (F.col("ix") + 0.5) * 50 - F.col("x")
     rows = sources.join(pixels, "tx").where((d >= 0) & (d < 200))
-    return rows.groupBy(F.floor(F.round(d).cast("int") / 50).cast("int").alias("dx")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return rows.groupBy(F.floor(F.round(d).cast("int") / 50).cast("int").alias("dx")).agg(F.count(F.lit(1)).alias("n"), F.round(F.round(F.sum("value"), 2) / F.count(F.lit(1)), 8).alias("mean"))
 
 
-@query("a93_azimuthal_profile", f"SELECT CAST(floor(b / 100) AS INTEGER) AS band, CAST(floor(least(degrees(atan2(dy, dx)), 89.999) / 15) AS INTEGER) AS theta, round(median(value), 4) AS mid, round(avg(value), 4) AS mean FROM {_PIX} GROUP BY ALL")
+@query("a93_azimuthal_profile", f"SELECT CAST(floor(b / 100) AS INTEGER) AS band, CAST(floor(least(degrees(atan2(dy, dx)), 89.999) / 15) AS INTEGER) AS theta, round(median(value), 4) AS mid, round(round(sum(value), 2) / count(*), 8) AS mean FROM {_PIX} GROUP BY ALL")
 def a93(t):
     theta = F.floor(F.least(P.folded_angle(F.col("dx"), F.col("dy")), F.lit(89.999)) / 15).cast("int")
     rows = object_pixels(t).groupBy(F.floor(F.col("b") / 100).cast("int").alias("band"), theta.alias("theta"))
-    return rows.agg(F.round(median("value"), 4).alias("mid"), F.round(F.avg("value"), 4).alias("mean"))
+    return rows.agg(F.round(median("value"), 4).alias("mid"), F.round(F.round(F.sum("value"), 2) / F.count(F.lit(1)), 8).alias("mean"))
 
 
 @query("a94_value_at_impact", f"SELECT obj, ix, iy FROM (SELECT *, row_number() OVER (PARTITION BY obj ORDER BY round(abs(b - 120), 6), (ix * 7919 + iy * 104729) % 1009, ix, iy) AS k FROM {_PIX}) WHERE k = 1")
@@ -286,10 +286,10 @@ def a105(t):
     return h.withColumn("share", F.round(F.col("n") / F.max("n").over(Window.partitionBy("ib")), 8))
 
 
-@query("a104_clump_profiles", f"SELECT CAST(floor(d / 20) AS INTEGER) AS bin, round(avg(bm), 6) AS mean, count(DISTINCT center) AS clumps FROM {_NEAR} WHERE ah % 5 = 0 AND d < 120 GROUP BY 1")
+@query("a104_clump_profiles", f"SELECT CAST(floor(d / 20) AS INTEGER) AS bin, round(round(sum(bm), 2) / count(*), 8) AS mean, count(DISTINCT center) AS clumps FROM {_NEAR} WHERE ah % 5 = 0 AND d < 120 GROUP BY 1")
 def a104(t):
     rows = near(t).where("ah % 5 = 0 and distance < 120")
-    return rows.groupBy(F.floor(F.col("distance") / 20).cast("int").alias("bin")).agg(R6(F.avg("bm")).alias("mean"), F.count_distinct("center").alias("clumps"))
+    return rows.groupBy(F.floor(F.col("distance") / 20).cast("int").alias("bin")).agg(F.round(F.round(F.sum("bm"), 2) / F.count(F.lit(1)), 8).alias("mean"), F.count_distinct("center").alias("clumps"))
 
 
 _IMG = "(SELECT c, ix, iy, value, sum(value) OVER (PARTITION BY c) AS total, row_number() OVER (PARTITION BY c ORDER BY value, ix, iy) AS k, count(*) OVER (PARTITION BY c) AS n FROM (SELECT class AS c, CAST(floor(x / 50) AS INTEGER) AS ix, CAST(floor(y / 50) AS INTEGER) AS iy, sum(mass) AS value FROM subs GROUP BY ALL))"
