@@ -110,12 +110,12 @@ def f16(t):
     return rows.select("id", C.bits("id", 50, 14).alias("plate"), C.bits("id", 38, 12).alias("fiber"), (C.bits("id", 24, 14) + 50000).alias("mjd"), C.bits("id", 10, 14).alias("run2d"))
 
 
-@query("f17_table_interpolation", """SELECT row_index, round((f(i, j) * (1 - a) + f(i + 1, j) * a) * (1 - b) + (f(i, j + 1) * (1 - a) + f(i + 1, j + 1) * a) * b, 6) AS v FROM
+@query("f17_table_interpolation", """SELECT row_index, round((f(i, j) * (1 - a) + f(i + 1, j) * a) * (1 - b) + (f(i, j + 1) * (1 - a) + f(i + 1, j + 1) * a) * b, 6) + 0.0 AS v FROM
     (SELECT row_index, u - floor(u) AS a, v - floor(v) AS b, floor(u) AS i, floor(v) AS j FROM (SELECT row_index, least(mass / 10.0, 4.9999) AS u, least(x / 250.0, 3.9999) AS v FROM particles WHERE pt = 'A'))""".replace("f(i, j)", "(i * i - 2 * j)").replace("f(i + 1, j)", "((i + 1) * (i + 1) - 2 * j)").replace("f(i, j + 1)", "(i * i - 2 * (j + 1))").replace("f(i + 1, j + 1)", "((i + 1) * (i + 1) - 2 * (j + 1))"))
 def f17(t):
     table = [[i * i - 2 * j for j in range(5)] for i in range(6)]
     u, v = F.least(F.col("mass") / 10, F.lit(4.9999)), F.least(F.col("x") / 250, F.lit(3.9999))
-    return t.particles.where("pt = 'A'").select("row_index", F.round(C.on_grid_2d(u, v, list(range(6)), list(range(5)), table), 6).alias("v"))
+    return t.particles.where("pt = 'A'").select("row_index", (F.round(C.on_grid_2d(u, v, list(range(6)), list(range(5)), table), 6) + F.lit(0.0)).alias("v"))
 
 
 _LAM = 1 - 0.3089
