@@ -25,15 +25,16 @@ EDGES = [0.0, 20.0, 40.0, 60.0, 80.0, 100.0, 120.0]
 R6 = lambda c: F.round(c, 6)
 
 
-def near(t, radius=120.0):
-    some = t.subs.where("sub_id % 20 = 0").select("sub_id", "x", "y", "z", F.col("mass").alias("am"), F.col("halo_id").alias("ah"))
+def near(t, radius=120.0, every=20):
+    """Pairs of the centers (sub_id % every = 0) with all objects; every=1 takes all objects as centers."""
+    some = t.subs.where(F.col("sub_id") % every == 0).select("sub_id", "x", "y", "z", F.col("mass").alias("am"), F.col("halo_id").alias("ah"))
     other = t.subs.select("sub_id", "x", "y", "z", F.col("mass").alias("bm"), F.col("halo_id").alias("bh"))
     return J.radius_join(some, other, "sub_id", "sub_id", ["x", "y", "z"], 1000.0, radius, keep=["bm", "bh"], keep_center=["am", "ah"]).where("center <> point")
 
 
 @query("j24_radius_join", f"SELECT center, point, round(d, 6) AS distance FROM {_NEAR} WHERE d <= 60")
-def j24(t):
-    return near(t, 60.0).select("center", "point", R6("distance").alias("distance"))
+def j24(t, every=20):
+    return near(t, 60.0, every).select("center", "point", R6("distance").alias("distance"))
 
 
 @query("j24b_own_radius", f"SELECT a.s_suppkey AS center, count(*) AS n FROM (SELECT s_suppkey, CAST(s_suppkey * 9 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 31 % 1000 AS DOUBLE) AS y, CAST(s_suppkey * 77 % 1000 AS DOUBLE) AS z, 40.0 + s_suppkey % 60 AS r FROM supplier) a, subs b WHERE {_D} <= a.r GROUP BY 1")
@@ -78,26 +79,26 @@ def j31(t):
 
 
 @query("a19_neighbour_statistics", f"SELECT center, count(*) AS n, min(bm) AS lo, max(bm) AS hi, round(avg(bm) / max(am), 8) AS mean_ratio, round(median(bm), 6) AS mid, round(sum(bm), 2) AS total FROM {_NEAR} GROUP BY 1")
-def a19(t):
+def a19(t, every=20):
     b = F.col("bm")
-    return near(t).groupBy("center").agg(F.count(b).alias("n"), F.min(b).alias("lo"), F.max(b).alias("hi"), F.round(F.avg(b) / F.max("am"), 8).alias("mean_ratio"), R6(median(b)).alias("mid"), F.round(F.sum(b), 2).alias("total"))
+    return near(t, every=every).groupBy("center").agg(F.count(b).alias("n"), F.min(b).alias("lo"), F.max(b).alias("hi"), F.round(F.avg(b) / F.max("am"), 8).alias("mean_ratio"), R6(median(b)).alias("mid"), F.round(F.sum(b), 2).alias("total"))
 
 
 @query("a20_restricted_neighbours", f"SELECT center, count(*) AS n FROM {_NEAR} WHERE bm > 50000 AND bm < 400000 AND bm / am > 0.5 AND bm / am < 2 GROUP BY 1")
-def a20(t):
+def a20(t, every=20):
     ratio = F.col("bm") / F.col("am")
-    return near(t).where((F.col("bm") > 50000) & (F.col("bm") < 400000) & (ratio > 0.5) & (ratio < 2)).groupBy("center").agg(F.count(F.lit(1)).alias("n"))
+    return near(t, every=every).where((F.col("bm") > 50000) & (F.col("bm") < 400000) & (ratio > 0.5) & (ratio < 2)).groupBy("center").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a21_neighbour_profiles", f"SELECT center, CAST(floor(d / 20) AS INTEGER) AS bin, count(*) AS n, round(sum(bm), 2) AS mass FROM {_NEAR} WHERE d < 120 GROUP BY ALL")
-def a21(t):
-    rows = near(t).withColumn("bin", C.edge_bin("distance", EDGES)).where("bin is not null")
+def a21(t, every=20):
+    rows = near(t, every=every).withColumn("bin", C.edge_bin("distance", EDGES)).where("bin is not null")
     return rows.groupBy("center", "bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("bm"), 2).alias("mass"))
 
 
 @query("a22_reductions_in_bins", f"SELECT center, CAST(ceil(d / 20) - 1 AS INTEGER) AS bin, max(bm) AS hi, min(bm) AS lo, round(sum(bm), 2) AS total FROM {_NEAR} WHERE d > 0 GROUP BY ALL")
-def a22(t):
-    rows = near(t).withColumn("bin", C.edge_bin("distance", EDGES, "right")).where("bin is not null")
+def a22(t, every=20):
+    rows = near(t, every=every).withColumn("bin", C.edge_bin("distance", EDGES, "right")).where("bin is not null")
     return rows.groupBy("center", "bin").agg(F.max("bm").alias("hi"), F.min("bm").alias("lo"), F.round(F.sum("bm"), 2).alias("total"))
 
 
@@ -105,21 +106,21 @@ _K = "(CASE WHEN d / 120 < 0.5 THEN 1 - 6 * pow(d / 120, 2) + 6 * pow(d / 120, 3
 
 
 @query("a23_kernel_mean", f"SELECT center, round(sum(bm * {_K}) / sum({_K}), 6) AS mean FROM {_NEAR} GROUP BY 1 HAVING sum({_K}) > 1e-6")
-def a23(t):
+def a23(t, every=20):
     w = P.kernel(F.col("distance") / 120)
-    rows = near(t).groupBy("center").agg(F.sum(F.col("bm") * w).alias("v"), F.sum(w).alias("w")).where("w > 1e-6")
+    rows = near(t, every=every).groupBy("center").agg(F.sum(F.col("bm") * w).alias("v"), F.sum(w).alias("w")).where("w > 1e-6")
     return rows.select("center", R6(F.col("v") / F.col("w")).alias("mean"))
 
 
 @query("a25_profile_terms", f"SELECT center, coalesce(term, 'all') AS term, round(sum(bm), 2) AS mass, count(*) AS n FROM (SELECT center, CASE WHEN bh = ah THEN 'self' WHEN bh % 10 = 0 THEN 'diffuse' ELSE 'other' END AS term, bm FROM {_NEAR}) GROUP BY GROUPING SETS ((center, term), (center))")
-def a25(t):
+def a25(t, every=20):
     term = F.when(F.col("bh") == F.col("ah"), "self").when(F.expr("bh % 10 = 0"), "diffuse").otherwise("other")
-    rows = near(t).withColumn("term", term)
+    rows = near(t, every=every).withColumn("term", term)
     return rows.rollup("center", "term").agg(F.round(F.sum("bm"), 2).alias("mass"), F.count(F.lit(1)).alias("n")).where("center is not null").withColumn("term", F.coalesce("term", F.lit("all")))
 
 
-def points(t):
-    return t.subs.where("sub_id % 3 = 0")
+def points(t, every=3):
+    return t.subs.where(F.col("sub_id") % every == 0)
 
 
 _RR = lambda k: f"({4 / 3 * math.pi!r} * (pow(20.0 * ({k} + 1), 3) - pow(20.0 * {k}, 3)))"
@@ -127,8 +128,8 @@ _PTS = "(SELECT * FROM subs WHERE sub_id % 3 = 0)"
 
 
 @query("a55_two_point_correlation", f"SELECT bin, dd, round(dd / ({_RR('bin')} * pow((SELECT count(*) FROM {_PTS}), 2) / 1e9) - 1, 8) AS xi FROM (SELECT CAST(greatest(ceil({_D} / 20) - 1, 0) AS INTEGER) AS bin, CAST(count(*) AS DOUBLE) AS dd FROM {_PTS} a, {_PTS} b WHERE a.sub_id <> b.sub_id AND {_D} <= 120 GROUP BY 1)")
-def a55(t):
-    p = points(t)
+def a55(t, every=3):
+    p = points(t, every)
     n = p.count()
     dd = J.pair_counts(p, p, "sub_id", "sub_id", ["x", "y", "z"], 1000.0, EDGES, auto=True)
     return dd.select("bin", "dd", F.round(J.correlation(F.col("dd"), F.col("bin"), EDGES, n, n, 1000.0), 8).alias("xi"))
@@ -137,17 +138,17 @@ def a55(t):
 @query("a56_jackknife", f"""WITH p AS (SELECT *, CAST(floor(x / 500) * 4 + floor(y / 500) * 2 + floor(z / 500) AS INTEGER) AS cube FROM {_PTS}),
     c AS (SELECT CAST(greatest(ceil({_D} / 20) - 1, 0) AS INTEGER) AS bin, a.cube AS ca, b.cube AS cb, count(*) AS dd FROM p a, p b WHERE a.sub_id <> b.sub_id AND {_D} <= 120 GROUP BY ALL)
     SELECT bin, k AS cube, CAST(sum(dd) FILTER (ca <> k AND cb <> k) AS DOUBLE) AS dd FROM c, range(8) r(k) GROUP BY ALL""")
-def a56(t):
+def a56(t, every=3):
     """Pairs are counted once by both cubes; leaving a cube out subtracts what touches it."""
-    p = points(t).withColumn("cube", (F.floor(F.col("x") / 500) * 4 + F.floor(F.col("y") / 500) * 2 + F.floor(F.col("z") / 500)).cast("int"))
+    p = points(t, every).withColumn("cube", (F.floor(F.col("x") / 500) * 4 + F.floor(F.col("y") / 500) * 2 + F.floor(F.col("z") / 500)).cast("int"))
     dd = J.pair_counts(p, p, "sub_id", "sub_id", ["x", "y", "z"], 1000.0, EDGES, auto=True, tags=("cube", "cube"))
     kept = dd.withColumn("cube", F.explode(F.sequence(F.lit(0), F.lit(7)))).where("tag_a <> cube and tag_b <> cube")
     return kept.groupBy("bin", F.col("cube").cast("long").alias("cube")).agg(F.sum("dd").alias("dd"))
 
 
 @query("a57_split_correlation", f"SELECT CAST(a.sub_id % 5 AS INTEGER) AS split, CAST(greatest(ceil({_D} / 20) - 1, 0) AS INTEGER) AS bin, round(sum(a.mass / 1e5 * b.mass / 1e5), 4) AS dd FROM {_PTS} a, {_PTS} b WHERE a.sub_id <> b.sub_id AND {_D} <= 120 GROUP BY ALL")
-def a57(t):
-    p = points(t).withColumns({"split": F.expr("cast(sub_id % 5 as int)"), "wt": F.col("mass") / 1e5})
+def a57(t, every=3):
+    p = points(t, every).withColumns({"split": F.expr("cast(sub_id % 5 as int)"), "wt": F.col("mass") / 1e5})
     dd = J.pair_counts(p, p, "sub_id", "sub_id", ["x", "y", "z"], 1000.0, EDGES, auto=True, weight="wt", tags=("split", "split"))
     return dd.groupBy(F.col("tag_a").alias("split"), "bin").agg(F.round(F.sum("dd"), 4).alias("dd"))
 
@@ -159,9 +160,9 @@ def a58(t):
 
 
 @query("a59_conformity", f"WITH r AS (SELECT center, CAST(floor(d / 40) AS INTEGER) AS bin, avg(CASE WHEN bm > 250000 THEN 1.0 ELSE 0 END) AS f, count(*) FILTER (bm > 250000) AS red, count(*) AS n FROM {_NEAR} WHERE d < 120 GROUP BY ALL) SELECT bin, round(avg(f), 8) AS mean_share, round(sum(red) / sum(n), 8) AS stacked FROM r GROUP BY 1")
-def a59(t):
+def a59(t, every=20):
     red = F.col("bm") > 250000
-    rows = near(t).withColumn("bin", F.floor(F.col("distance") / 40).cast("int")).where("distance < 120")
+    rows = near(t, every=every).withColumn("bin", F.floor(F.col("distance") / 40).cast("int")).where("distance < 120")
     per = rows.groupBy("center", "bin").agg(F.count_if(red).alias("red"), F.count(F.lit(1)).alias("n"))
     return per.groupBy("bin").agg(F.round(F.avg(F.col("red") / F.col("n")), 8).alias("mean_share"), F.round(F.sum("red") / F.sum("n"), 8).alias("stacked"))
 
@@ -287,8 +288,8 @@ def a105(t):
 
 
 @query("a104_clump_profiles", f"SELECT CAST(floor(d / 20) AS INTEGER) AS bin, round(round(sum(bm), 2) / count(*), 8) AS mean, count(DISTINCT center) AS clumps FROM {_NEAR} WHERE ah % 5 = 0 AND d < 120 GROUP BY 1")
-def a104(t):
-    rows = near(t).where("ah % 5 = 0 and distance < 120")
+def a104(t, every=20):
+    rows = near(t, every=every).where("ah % 5 = 0 and distance < 120")
     return rows.groupBy(F.floor(F.col("distance") / 20).cast("int").alias("bin")).agg(F.round(F.round(F.sum("bm"), 2) / F.count(F.lit(1)), 8).alias("mean"), F.count_distinct("center").alias("clumps"))
 
 
@@ -370,3 +371,19 @@ def a87(t):
 def f24(t):
     out = S.cuboid_remap(t.subs, "sub_id", ["x", "y", "z"], [[1, 1, 0], [0, 1, 0], [0, 0, 1]], 1000.0)
     return out.select("sub_id", *(R6(c).alias(c) for c in "xyz"))
+
+
+# The SQL of the queries above fixes their id subsets; these run the same jobs over all of subs and have no SQL.
+for _name, _job in {"j24_radius_join": j24, "a21_neighbour_profiles": a21, "a22_reductions_in_bins": a22, "a23_kernel_mean": a23, "a25_profile_terms": a25, "a59_conformity": a59, "a104_clump_profiles": a104, "a55_two_point_correlation": a55, "a56_jackknife": a56, "a57_split_correlation": a57}.items():
+    query(f"{_name}_whole")(lambda t, job=_job: job(t, every=1))
+
+
+@query("a19_neighbour_statistics_whole")
+def a19_whole(t):
+    """Objects without a neighbour have n = 0 and total = 0, and no extrema."""
+    return t.subs.select(F.col("sub_id").alias("center")).join(a19(t, every=1), "center", "left").fillna({"n": 0, "total": 0.0})
+
+
+@query("a20_restricted_neighbours_whole")
+def a20_whole(t):
+    return t.subs.select(F.col("sub_id").alias("center")).join(a20(t, every=1), "center", "left").fillna({"n": 0})
