@@ -3,14 +3,15 @@
 A classifier learnt from a labelled table gives every document its posteriors over domains.  Document i has t_i
 tokens and a rate r_i >= 0, the expected number of times it is used; domain d then has sum_i r_i t_i p_id expected
 tokens.  The rates minimise the squared distances of those totals from the targets, each over the domain's tokens at
-rate 1, by projected gradient steps from rate 1.  A step needs one number for each domain from the whole corpus, and
+rate 1, by projected gradient steps from rate 1, and Newton steps where those leave a target unmet.  A step needs one number for each domain from the whole corpus, and
 a document's rate is a fold over those numbers, so no state of the size of the corpus is kept between steps.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
@@ -23,11 +24,13 @@ from .common import staged
 
 @dataclass
 class Mixture:
-    """domains, their names in order; history: the gradient's numbers for each step, one list a step."""
+    """domains, their names in order; history: the gradient's numbers for each step, one list a step; totals: wanted, reached."""
 
     domains: list[str]
     history: list[list[float]]
     step: float
+    aim: list[float] = field(default_factory=list)
+    reached: list[float] = field(default_factory=list)
 
     def rate(self, p: Column) -> Column:
         """The rate of a document with posteriors p (an array in the order of the domains)."""
@@ -89,35 +92,66 @@ def posteriors(docs: DataFrame, fitted: tuple[PipelineModel, list[str]] | None)
     return rows.drop("_words", "_a", "_b", "_c", "_d", "_tf", "_x", "_p", "_y", "_z")
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], scale: float | None = None, steps: int = 40, close: float = 1e-4) -> Mixture:
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], scale: float | None = None, steps: int = 40, close: float = 1e-4, exact: int = 30) -> Mixture:
     """(tokens, p) and target weights -> the mixture whose expected totals are the targets' shares of all tokens.
 
     `scale`: the expected tokens of the result over those of the input.  By default as many as let every domain
     with a target keep at least what it has, so that a mixture repeats rather than drops.  A domain without a
-    target has target 0.  Steps end when no total moves by more than `close` of all tokens, or after `steps`.
+    target has target 0.  Gradient steps end when no total moves by more than `close` of its target (of all tokens,
+    where that is 0), or after `steps`.  A small move is not a small distance, so up to `exact` Newton steps over the
+    domains with a target follow, until each total is within `close` of its target; one that does not help is
+    replaced by a gradient step.  `reached` has the totals, which are off where no rates >= 0 have those of the targets.
     """
     k = len(domains)
     weight = [max(0.0, float(targets.get(d, 0.0))) for d in domains]
-    totals = lambda r: [F.sum(r * F.col("tokens") * F.col("p")[d]).alias(f"s{d}") for d in range(k)]
-    have = [x or 0.0 for x in members.agg(*totals(F.lit(1.0))).first()]
+    pairs = [(d, e) for d in range(k) if weight[d] for e in range(d, k) if weight[e]]
+    seen = lambda mixture: members.select("tokens", "p", mixture.rate(F.col("p")).alias("_r"))
+    totals = [F.sum(F.col("_r") * F.col("tokens") * F.col("p")[d]).alias(f"s{d}") for d in range(k)]
+    bends = [F.sum(F.when(F.col("_r") > 0, F.col("tokens") * F.col("p")[d] * F.col("p")[e])).alias(f"m{d}_{e}") for d, e in pairs]
+    sums = lambda mixture, *more: [x or 0.0 for x in seen(mixture).agg(*totals, *more).first()]
+    mixture = Mixture(domains, [], 1.0)
+    have = mixture.reached = sums(mixture)
     total, wanted = sum(have), sum(weight)
     if not total or not wanted:
-        return Mixture(domains, [], 0.0)
+        return Mixture(domains, [], 0.0, have, have)
     if scale is None:
         scale = max([h / (w / wanted) for h, w in zip(have, weight) if w and h] or [total]) / total
-    aim = [scale * total * w / wanted for w in weight]
+    aim = mixture.aim = [scale * total * w / wanted for w in weight]
     base = [max(h, 1e-9 * total) for h in have]
-    mixture = Mixture(domains, [], 1.0)
+    grads = lambda now: [(s - a) / b for s, a, b in zip(now, aim, base)]
     now = have
     for _ in range(steps):
-        grads = [(s - a) / b for s, a, b in zip(now, aim, base)]
-        mixture.history.append(grads)
-        was, now = now, [x or 0.0 for x in members.agg(*totals(mixture.rate(F.col("p")))).first()]
-        if all(abs(s - w) <= close * total for s, w in zip(now, was)):
+        mixture.history.append(grads(now))
+        was, now = now, sums(mixture)
+        if all(abs(s - w) <= close * (a or total) for s, w, a in zip(now, was, aim)):
+            break
+    gap = lambda now: max(abs(s - a) / a for s, a in zip(now, aim) if a)
+    bent = []
+    for _ in range(exact):
+        if gap(now) <= close:
             break
+        bent = bent or sums(mixture, *bends)[k:]
+        mixture.history.append(newton(now, aim, dict(zip(pairs, bent))))
+        found = sums(mixture, *bends)
+        if not gap(found[:k]) <= 0.9 * gap(now):
+            mixture.history[-1] = grads(now)
+            found = sums(mixture, *bends)
+        now, bent = found[:k], found[k:]
+    mixture.reached = now
     return mixture
 
 
+def newton(now: list[float], aim: list[float], bent: dict[tuple[int, int], float]) -> list[float]:
+    """The step that takes the totals with a target to it, as long as the same documents have a rate over 0."""
+    at = [d for d, a in enumerate(aim) if a]
+    m = np.array([[bent[min(d, e), max(d, e)] for e in at] for d in at])
+    step = np.linalg.lstsq(m, np.array([now[d] - aim[d] for d in at]), rcond=1e-12)[0]
+    out = [0.0] * len(aim)
+    for d, x in zip(at, step):
+        out[d] = float(x)
+    return out
+
+
 def copies(rate: Column, *seed: Column) -> Column:
     """The rate's floor, or one more for a share of documents drawn by a hash; one at least from a rate of a half on.
 

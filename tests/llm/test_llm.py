@@ -429,6 +429,21 @@ def test_rates_are_projected_least_squares(spark):
     assert np.allclose(rate, r) and np.allclose(((rate * t)[:, None] * p).sum(0), aim, rtol=1e-3)
 
 
+def test_rates_reach_rare_and_overlapping_targets(spark):
+    """With the defaults: a domain below 1e-4 of all tokens, and posteriors that differ little."""
+    rng = np.random.default_rng(3)
+    a = np.clip(rng.normal(0.5, 0.05, 2000), 0.01, 0.99)
+    p = np.stack([a, 1 - a, np.zeros(2000)], 1)
+    p[:3] = [[0.1, 0.1, 0.8]] * 3
+    t = np.where(np.arange(2000) < 3, 5, 100 + rng.integers(0, 50, 2000))
+    members = spark.createDataFrame([(int(x), [float(y) for y in q]) for x, q in zip(t, p)], "tokens long, p array<double>").cache()
+    m = mixing.fit_rates(members, ["a", "b", "rare"], {"a": 0.52, "b": 0.4799, "rare": 0.0001})
+    rate = np.array([r[0] for r in members.select(m.rate(F.col("p"))).collect()])
+    reached = ((rate * t)[:, None] * p).sum(0)
+    assert (rate >= 0).all() and np.allclose(reached, m.reached) and np.allclose(reached, m.aim, rtol=1.01e-4)
+    assert np.allclose(reached / reached.sum(), [0.52, 0.4799, 0.0001], rtol=1e-3)
+
+
 def test_mixing_edges(spark, docs, empty):
     labels = spark.createDataFrame([(5, "good"), (9, "plain"), (9, "good"), (1, None), (None, "good")], "doc_id long, domain string")
     out = mixing.mix(docs, labels, {"good": 1.0, "plain": 1.0}).toPandas()
