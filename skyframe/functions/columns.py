@@ -168,3 +168,10 @@ def perspective(x, y, z, near: float, far: float, half_width: float) -> list[Col
     """Camera coordinates: x and y shrink with the distance z from the camera, depth runs from -1 at near to 1 at far."""
     z = col(z)
     return [col(x) * near / (half_width * z), col(y) * near / (half_width * z), (far + near) / (far - near) - (2 * far * near / (far - near)) / z]
+
+
+def in_cone(x, y, z, near: float, far: float, tan_y: float, tan_z: float, y0: float = 0.0, z0: float = 0.0) -> Column:
+    """Strictly between two distances along x and strictly inside the opening angles around (y0, z0)."""
+    x, y, z = col(x), col(y), col(z)
+    inside = lambda v, at, tan: (v > at - x * tan) & (v < at + x * tan)
+    return (x > near) & (x < far) & inside(y, y0, tan_y) & inside(z, z0, tan_z)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +14,10 @@ from .columns import col, log_or_null, on_grid
 # Cgs constants.
 BOLTZMANN, PROTON, GRAVITY, LIGHT, THOMSON, SOLAR_MASS = 1.380650e-16, 1.672622e-24, 6.6738e-8, 2.9979e10, 6.6524e-25, 1.98892e33
 KPC_CM, YEAR_S = 3.085678e21, 3.15576e7
+# Gray opacity (cm^2) and photoionisation rate (1/s) of the ultraviolet background at these redshifts.
+UVB_Z = [0, 1, 2, 3, 4, 5, 6, 7, 8, 22]
+UVB_OPACITY = [2.59e-18, 2.37e-18, 2.27e-18, 2.15e-18, 2.02e-18, 1.94e-18, 1.82e-18, 1.71e-18, 1.60e-18, 2.8e-20]
+UVB_GAMMA = [3.99e-14, 3.03e-13, 6e-13, 5.53e-13, 4.31e-13, 3.52e-13, 2.678e-13, 1.81e-13, 9.43e-14, 1e-20]
 
 
 @dataclass(frozen=True)
@@ -117,11 +122,14 @@ class SimContext:
     def comoving_distance(self, z) -> Column:
         return on_grid(z, *self.distance_table())
 
-    def neutral_fraction(self, n_h, temperature, gamma_uvb: float = 3.99e-14, n_shield: float = 5.1e-3) -> Column:
-        """Neutral hydrogen fraction with self-shielding: photoionisation falls off above n_shield."""
+    def neutral_fraction(self, n_h, temperature, redshift: float = 0.0) -> Column:
+        """Neutral hydrogen fraction with self-shielding: photoionisation falls off above a density that grows with temperature."""
         n, t = col(n_h), col(temperature)
-        ratio = n / (n_shield * 1.0)
-        rate = (0.98 * F.pow(1 + F.pow(ratio, F.lit(1.64)), F.lit(-2.28)) + 0.02 * F.pow(1 + ratio, F.lit(-0.84))) * gamma_uvb
+        opacity, gamma = (float(np.interp(redshift, UVB_Z, table)) for table in (UVB_OPACITY, UVB_GAMMA))
+        # Fixed values of the published fits of self-shielding, recombination and collisional ionisation.
+        n_shield = 6.73e-3 * (opacity / 2.49e-18) ** (-2 / 3) * (gamma / 1e-12) ** (2 / 3) * (0.167 / 0.17) ** (-1 / 3) * F.pow(t / 1e4, F.lit(0.17))
+        ratio = n / n_shield
+        rate = (0.98 * F.pow(1 + F.pow(ratio, F.lit(1.64)), F.lit(-2.28)) + 0.02 * F.pow(1 + ratio, F.lit(-0.84))) * gamma
         lam = F.lit(315614.0) / t
         recombine = 1.269e-13 * F.pow(lam, F.lit(1.503)) / F.pow(1 + F.pow(lam / 0.522, F.lit(0.47)), F.lit(1.923))
         collide = 1.17e-10 * F.sqrt(t) * F.exp(F.lit(-157809.0) / t) / (1 + F.sqrt(t / 1e5))

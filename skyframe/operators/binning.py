@@ -24,7 +24,8 @@ def column_share(hist: DataFrame, column: str, value: str = "w") -> DataFrame:
 def adaptive_edges(df: DataFrame, x: str, bins: int, least: int = 10) -> list[float]:
     """Starts of `bins` equal bins from min to max, of which one with fewer than `least` rows joins the next one.
 
-    The last of the starts opens a bin without end; it needs half as many rows, else it joins the one before.
+    The last of the starts opens a bin without end; it needs half as many rows, else it joins the one before
+    (rather than being dropped, so that every row counts).
     Only the counts of the equal bins come to the driver.
     """
     lo, hi = df.agg(F.min(x), F.max(x)).first()
@@ -33,14 +34,14 @@ def adaptive_edges(df: DataFrame, x: str, bins: int, least: int = 10) -> list[fl
     step = (hi - lo) / (bins - 1)
     k = F.least(F.floor((F.col(x) - lo) / step), F.lit(bins - 1)).cast("int")
     counts = {r["k"]: r["n"] for r in df.where(F.col(x).isNotNull()).groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    edges, held = [], 0
+    edges, held, full = [], 0, True
     for b in range(bins):
-        if held == 0:
+        if full:
             edges.append(lo + b * step)
-        held += counts.get(b, 0)
-        if held >= least:
             held = 0
-    if 0 < held < least / 2 and len(edges) > 1:
+        held += counts.get(b, 0)
+        full = held >= least
+    if held < least / 2 and len(edges) > 1:
         edges.pop()
     return edges
 

@@ -37,12 +37,18 @@ def nth_rows(df: DataFrame, index: str, positions: list[int]) -> DataFrame:
 
 
 def even_sample(df: DataFrame, index: str, rows: int, count: int, log: bool = False) -> DataFrame:
-    """`count` rows at evenly (or logarithmically) spaced positions of a known number of rows."""
+    """`count` rows at evenly spaced positions from 0 to the last (or logarithmically from 1 on), rounded down.
+
+    A position that repeats gives its row again; with no more rows than `count` all of them come, once.
+    """
     if count >= rows:
         return df
-    step = [k / (count - 1) if count > 1 else 0 for k in range(count)]
-    at = sorted({round((rows ** s - 1) if log else s * (rows - 1)) for s in step})
-    return df.where(F.col(index).isin(at))
+    if log:
+        at = [rows - 1 if k == count - 1 else int((rows - 1) ** (k / (count - 1))) for k in range(count)]
+    else:
+        at = [k * (rows - 1) // max(1, count - 1) for k in range(count)]
+    wanted = df.sparkSession.createDataFrame([(i,) for i in at], f"{index} long")
+    return df.join(F.broadcast(wanted), index)  # `count` rows, a parameter
 
 
 def islands(df: DataFrame, keys: list[str], x: str, least: int = 2) -> DataFrame:

@@ -48,16 +48,24 @@ def principal_axes(tensors: DataFrame, key: str) -> DataFrame:
     return tensors.mapInPandas(run, f"{key} {tensors.schema[key].dataType.simpleString()}, e1 double, e2 double, e3 double, ax double, ay double, az double")
 
 
-def shrinking_centers(rows: DataFrame, key: str, pos: list[str], stop: float = 0.1, drop: float = 0.05) -> DataFrame:
-    """Center of each object when the farthest few per cent are left out again and again until `stop` of them remain."""
+def shrinking_centers(rows: DataFrame, key: str, pos: list[str], box: float = 0.0, stop: float = 0.1, drop: float = 0.05, rounds: int = 100) -> DataFrame:
+    """Center of each object when the farthest `drop` are left out again and again until `stop` of the rows remain.
+
+    Distances are periodic in `box` (0: open space); the center is the plain mean.  Rows equally far are left out in
+    the order of their coordinates, last first.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[pos].to_numpy(float)
-        least, center = max(1, int(stop * len(x))), x.mean(0)
-        while len(x) > least:
-            keep = max(least, min(len(x) - 1, int(len(x) * (1 - drop))))
-            x = x[np.argsort(((x - center) ** 2).sum(1), kind="stable")[:keep]]
+        least = int(len(x) * stop)
+        for _ in range(rounds):
             center = x.mean(0)
+            kept = int(len(x) * (1 - drop))
+            if kept in (0, len(x)) or len(x) <= least:
+                break
+            gap = np.abs(x - center)
+            gap = np.minimum(gap, box - gap) if box else gap
+            x = x[np.lexsort((*x.T[::-1], (gap ** 2).sum(1)))[:kept]]
         return pd.DataFrame({key: [pdf[key].iloc[0]], **{p: [c] for p, c in zip(pos, center)}})
 
     kind = rows.schema[key].dataType.simpleString()

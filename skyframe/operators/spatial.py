@@ -8,86 +8,165 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import min_image
+from .lineage import cut
 
 
 def _cells(box: float, size: float) -> int:
-    return max(1, int(box // size)) if box else 1 << 20
+    return max(1, int(box // size))
 
 
-def radius_join(centers: DataFrame, points: DataFrame, center: str, point: str, dims: list[str], box: float, radius: float, own_radius: str | None = None, closed: bool = True, keep: list[str] = (), keep_center: list[str] = ()) -> DataFrame:
-    """(center, point, distance) of all points within `radius` of each center, on a torus of length `box`.
+def _half(steps: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """The own cell and one of every two opposite neighbours."""
+    return [s for s in steps if s >= (0,) * len(s)]
+
+
+def _in_blocks(c: DataFrame, p: DataFrame, keys: list[str], crowd: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Cuts crowded cells into blocks of centers and of points, every two of which meet in a task of their own.
+
+    A cell is crowded with more than `crowd` rows of a side (or, in huge tables, a 100,000th of all rows, so that
+    fewer than 200,000 cells are, and their list can be broadcast).
+    """
+    sides = c.select(*keys, F.lit(1).alias("_side")).unionByName(p.select(*keys, F.lit(0).alias("_side")))
+    sizes = sides.groupBy(*keys).agg(F.sum("_side").alias("_nc"), F.count_if(F.col("_side") == 0).alias("_np"))
+    top, rows = sizes.agg(F.greatest(F.max("_nc"), F.max("_np")), F.sum(F.col("_nc") + F.col("_np"))).first()
+    limit = max(crowd, (rows or 0) // 100_000)
+    if not top or top <= limit:
+        return c, p, keys
+    blocks = lambda n: F.ceil(F.col(n) / limit).cast("int")
+    crowded = sizes.where((F.col("_nc") > limit) | (F.col("_np") > limit)).select(*keys, F.greatest(blocks("_nc"), F.lit(1)).alias("_bc"), F.greatest(blocks("_np"), F.lit(1)).alias("_bp"))
+
+    def deal(df: DataFrame, row: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        one = F.lit(1)
+        df = df.join(F.broadcast(crowded), keys, "left").withColumn(own, F.pmod(F.xxhash64(row), F.coalesce(n_own, one)).cast("int"))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(n_other, one) - 1))).drop("_bc", "_bp")
+
+    return deal(c, "_c", "_kc", "_bc", "_kp", "_bp"), deal(p, "_p", "_kp", "_bp", "_kc", "_bc"), [*keys, "_kc", "_kp"]
+
+
+def radius_join(centers: DataFrame, points: DataFrame, center: str, point: str, dims: list[str], box: float, radius: float, own_radius: str | None = None, closed: bool = True, keep: list[str] = (), keep_center: list[str] = (), half: bool = False, crowd: int = 20_000) -> DataFrame:
+    """(center, point, distance) of all points within `radius` of each center, on a torus of length `box` (0: open space).
 
     Centers go to their own and the neighbouring grid cells (cells are at least `radius` wide), points to theirs, and
-    an equi-join on the cell finds candidates; the exact distance decides.  `own_radius` is a column of centers that
-    may be smaller than `radius`.  `keep` and `keep_center` are columns that come along.
+    an equi-join on the cell finds candidates; the exact distance decides.  Cells with more than `crowd` rows are cut
+    into blocks.  `own_radius` is a column of centers that may be smaller than `radius`.  `keep` and `keep_center` are
+    columns that come along.  `half` is for a table and itself, with ids that do not repeat: each two rows come once,
+    either as the center, and none comes with itself.
     """
-    n = _cells(box, radius)
-    inside = {d: F.pmod(F.col(d), F.lit(float(box))) for d in dims}
-    cell = {d: F.least(F.floor(inside[d] * n / box).cast("int"), F.lit(n - 1)) for d in dims}
-    near = n > 2  # else a cell has itself as a neighbour on both sides, and the nearest image is found by distance
+    if box:
+        n = _cells(box, radius)
+        inside = {d: F.pmod(F.col(d), F.lit(float(box))) for d in dims}
+        cell = {d: F.least(F.floor(inside[d] * n / box).cast("int"), F.lit(n - 1)) for d in dims}
+        near = n > 2  # else a cell has itself as a neighbour on both sides, and the nearest image is found by distance
+    else:
+        inside = {d: F.col(d).cast("double") for d in dims}
+        cell = {d: F.floor(inside[d] / radius).cast("long") for d in dims}
+        near = True
     steps = list(product((-1, 0, 1), repeat=len(dims))) if near else list(product(range(n), repeat=len(dims)))
+    steps = _half(steps) if near and half else steps
     shift = F.explode(F.array(*(F.array(*(F.lit(v) for v in s)) for s in steps)))
     c = centers.select(F.col(center).alias("_c"), *(inside[d].alias(f"_c{d}") for d in dims), *keep_center, (F.col(own_radius) if own_radius else F.lit(float(radius))).alias("_r"), *(cell[d].alias(f"_g{d}") for d in dims)).withColumn("_d", shift)
+    if half:
+        c = c.withColumn("_own", F.forall("_d", lambda v: v == 0) if near else F.lit(True))
     for k, d in enumerate(dims):
-        if near:  # a center next to the edge goes to the far side as its image there, so distances are plain
-            at = F.col(f"_g{d}") + F.col("_d")[k]
+        at = F.col(f"_g{d}") + F.col("_d")[k]
+        if near and box:  # a center next to the edge goes to the far side as its image there, so distances are plain
             moved = F.col(f"_c{d}") + F.when(at < 0, F.lit(float(box))).when(at >= n, F.lit(-float(box))).otherwise(F.lit(0.0))
             c = c.withColumns({f"_c{d}": moved, f"_g{d}": F.pmod(at, F.lit(n))})
         else:
-            c = c.withColumn(f"_g{d}", F.col("_d")[k])
+            c = c.withColumn(f"_g{d}", at if near else F.col("_d")[k])
     p = points.select(F.col(point).alias("_p"), *(inside[d].alias(f"_p{d}") for d in dims), *keep, *(cell[d].alias(f"_g{d}") for d in dims))
     gap = {d: F.col(f"_c{d}") - F.col(f"_p{d}") for d in dims}
+    c, p, keys = _in_blocks(c.drop("_d"), p, [f"_g{d}" for d in dims], crowd)
     # A fixed number of partitions: what is shuffled is small, but its pairs are not, so it must not be coalesced.
-    keys = [f"_g{d}" for d in dims]
     parts = int(centers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    c, p = c.drop("_d").repartition(parts, *keys), p.repartition(parts, *keys)
+    c, p = c.repartition(parts, *keys), p.repartition(parts, *keys)
     pairs = c.join(p, keys).withColumns({f"_d{d}": g if near else min_image(g, box) for d, g in gap.items()})
+    if half:
+        pairs = pairs.where(~F.col("_own") | (F.col("_c") < F.col("_p")))
     sq = sum((F.col(f"_d{d}") * F.col(f"_d{d}") for d in dims[1:]), F.col(f"_d{dims[0]}") * F.col(f"_d{dims[0]}"))
     limit = F.col("_r") * F.col("_r")
     pairs = pairs.where(sq <= limit if closed else sq < limit)
     return pairs.select(F.col("_c").alias("center"), F.col("_p").alias("point"), F.sqrt(sq).alias("distance"), *keep_center, *keep)
 
 
-def nearest(centers: DataFrame, points: DataFrame, center: str, point: str, dims: list[str], box: float, k: int = 1, radius: float = 50.0, skip_self: bool = True, skip_zero: bool = False) -> DataFrame:
-    """The k nearest points of each center with their rank from 1; the smaller id on ties.
+def _span(centers: DataFrame, points: DataFrame, dims: list[str]) -> float:
+    """A distance that no two rows exceed."""
+    both = centers.select(*dims).unionByName(points.select(*dims))
+    row = both.agg(*(f(d) for d in dims for f in (F.min, F.max))).first()
+    return sum((b or 0.0) - (a or 0.0) for a, b in zip(row[::2], row[1::2])) + 1e-9
+
+
+def nearest(centers: DataFrame, points: DataFrame, center: str, point: str, dims: list[str], box: float, k: int = 1, radius: float = 50.0, skip_self: bool = True, skip_zero: bool = False, crowd: int = 20_000) -> DataFrame:
+    """The k nearest points of each center with their rank from 1; the smaller id on ties, all points if there are fewer.
 
-    A radius join answers the centers with k points inside; the others go on with twice the radius, up to the box.
+    A radius join answers the centers with k points inside; the others go on with twice the radius, up to the box
+    (or, in open space, what the rows span).  Each round's answers and what is left are cut from their lineage, so a
+    round costs only itself.
     """
-    left, done = centers, None
+    span = float(box) or _span(centers, points, dims)
+    left, done = centers.select(center, *dims), None
     while True:
-        found = radius_join(left, points, center, point, dims, box, radius)
+        found = radius_join(left, points, center, point, dims, box, radius, crowd=crowd)
         if skip_self:
             found = found.where("center <> point")
         if skip_zero:
             found = found.where("distance > 0")
         w = Window.partitionBy("center").orderBy("distance", "point")
         found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        last = radius >= box
+        if radius >= span:
+            return found if done is None else done.unionByName(found)
+        found = cut(found)
         full = found.where(F.col("rank") == k).select(F.col("center").alias("_full"))
-        answered = found if last else found.join(full, F.col("center") == F.col("_full"), "left_semi")
+        answered = found.join(full, F.col("center") == F.col("_full"), "left_semi")
         done = answered if done is None else done.unionByName(answered)
-        if last:
-            return done
-        left = left.join(full, left[center] == full["_full"], "left_anti")
-        if not left.limit(1).count():
+        left = cut(left.join(full, left[center] == full["_full"], "left_anti"))
+        if left.isEmpty():
             return done
         radius *= 2
 
 
+def positional_match(a: DataFrame, b: DataFrame, key: str, dims: list[str], box: float, mass: str, dex: float, radius: float) -> DataFrame:
+    """(key, other): each row's nearest row of another table, however far; -1 if the masses differ by more than `dex`."""
+    best = nearest(a, b, key, key, dims, box, 1, radius, skip_self=False).select(F.col("center").alias(key), F.col("point").alias("other"))
+    best = best.join(a.select(key, F.log10(mass).alias("_ma")), key).join(b.select(F.col(key).alias("other"), F.log10(mass).alias("_mb")), "other")
+    return best.select(key, F.when(F.abs(F.col("_ma") - F.col("_mb")) <= dex, F.col("other")).otherwise(F.lit(-1)).alias("other"))
+
+
+def isolation(rows: DataFrame, key: str, dims: list[str], box: float, radius: float, rules: dict[str, tuple[str, Column]], asked: Column) -> DataFrame:
+    """A flag of each row for each rule (column, limit): 1 if the column's maximum over the rows within `radius` is at most the limit.
+
+    0 if it is above, -1 for rows that are not `asked` about.  Rows at the very same place are no neighbours; without
+    any neighbour a row is isolated.
+    """
+    columns = sorted({c for c, _ in rules.values()})
+    others = rows.select(key, *dims, *(F.col(c).alias(f"_top_{c}") for c in columns))
+    pairs = radius_join(rows.where(asked), others, key, key, dims, box, radius, keep=[f"_top_{c}" for c in columns]).where("distance > 0")
+    top = pairs.groupBy(F.col("center").alias(key)).agg(*(F.max(f"_top_{c}").alias(f"_top_{c}") for c in columns))
+    flag = lambda c, limit: F.when(~asked, -1).when(F.col(f"_top_{c}").isNull() | (F.col(f"_top_{c}") <= limit), 1).otherwise(0)
+    return rows.join(top, key, "left").select(key, *(flag(*rule).cast("int").alias(name) for name, rule in rules.items()))
+
+
 def pair_counts(a: DataFrame, b: DataFrame, id_a: str, id_b: str, dims: list[str], box: float, edges: list[float], auto: bool, weight: str | None = None, tags: tuple[str, str] | None = None) -> DataFrame:
-    """Ordered pairs in bins (edge_i, edge_i+1] (distance 0 in the first), optionally by tags of both sides."""
+    """Ordered pairs in bins (edge_i, edge_i+1] (distance 0 in the first), optionally by tags of both sides.
+
+    `auto`: b is a itself; each pair is looked at once and counted both ways.
+    """
     from ..functions.columns import edge_bin
 
     w = [weight] if weight else []
     tag_a, tag_b = tags or (None, None)
     left = a.select(id_a, *dims, *(F.col(x).alias("_wa") for x in w), *([F.col(tag_a).alias("tag_a")] if tag_a else []))
     right = b.select(id_b, *dims, *(F.col(x).alias("_wb") for x in w), *([F.col(tag_b).alias("tag_b")] if tag_b else []))
-    pairs = radius_join(left, right, id_a, id_b, dims, box, edges[-1], keep=[*(["_wb"] if w else []), *(["tag_b"] if tag_b else [])], keep_center=[*(["_wa"] if w else []), *(["tag_a"] if tag_a else [])])
-    if auto:
-        pairs = pairs.where("center <> point")
+    pairs = radius_join(left, right, id_a, id_b, dims, box, edges[-1], keep=[*(["_wb"] if w else []), *(["tag_b"] if tag_b else [])], keep_center=[*(["_wa"] if w else []), *(["tag_a"] if tag_a else [])], half=auto)
     k = F.when((F.col("distance") == 0) & F.lit(edges[0] == 0), F.lit(0)).otherwise(edge_bin("distance", edges, "right"))
     value = F.sum(F.col("_wa") * F.col("_wb")) if w else F.count(F.lit(1)).cast("double")
-    return pairs.withColumn("bin", k).where("bin is not null").groupBy("bin", *(["tag_a", "tag_b"] if tags else [])).agg(value.alias("dd"))
+    dd = pairs.withColumn("bin", k).where("bin is not null").groupBy("bin", *(["tag_a", "tag_b"] if tags else [])).agg(value.alias("dd"))
+    if not auto:
+        return dd
+    if not tags:
+        return dd.withColumn("dd", 2 * F.col("dd"))
+    ways = F.explode(F.array(F.struct(F.col("tag_a").alias("a"), F.col("tag_b").alias("b")), F.struct(F.col("tag_b").alias("a"), F.col("tag_a").alias("b"))))
+    return dd.select("bin", "dd", ways.alias("_w")).groupBy("bin", F.col("_w.a").alias("tag_a"), F.col("_w.b").alias("tag_b")).agg(F.sum("dd").alias("dd"))
 
 
 def correlation(dd: Column, k: Column, edges: list[float], n1: float, n2: float, box: float, mean_weight: float = 1.0) -> Column:

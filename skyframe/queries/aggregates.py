@@ -200,7 +200,12 @@ def a44(t):
     return c.where((F.col("c") >= goal) & (F.col("c") - F.col("m") < goal)).groupBy("rbin").agg(F.round(F.max(at), 4).alias("v75"))
 
 
-@query("a45_running_median")
+@query("a45_running_median", """WITH RECURSIVE l AS (SELECT min(p_size) AS lo, (max(p_size) - min(p_size)) / 11.0 AS step FROM part),
+    b AS (SELECT k, (SELECT count(*) FROM part, l WHERE p_size >= lo + k * step AND (k = 11 OR p_size < lo + (k + 1) * step)) AS c FROM range(12) r(k)),
+    w(k, edge, held) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), c FROM b WHERE k = 0 UNION ALL SELECT b.k, CASE WHEN held >= 100 THEN b.k ELSE edge END, CASE WHEN held >= 100 THEN b.c ELSE held + b.c END FROM w JOIN b ON b.k = w.k + 1),
+    e AS (SELECT edge, row_number() OVER (ORDER BY edge) - 1 AS bin, lo + edge * step AS start FROM (SELECT edge, arg_max(held, k) AS held, max(k) AS k FROM w GROUP BY 1), l WHERE NOT (k = 11 AND held < 50 AND edge > 0)),
+    f AS (SELECT p_size, p_retailprice, (SELECT max(bin) FROM e WHERE start <= p_size) AS bin FROM part)
+    SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, round(median(p_size), 4) AS x_mid, round(median(p_retailprice), 4) AS y_mid, round(avg(p_retailprice), 4) AS y_mean, round(stddev_pop(p_retailprice), 4) AS y_std, round(quantile_cont(p_retailprice, 0.16), 4) AS p16, round(quantile_cont(p_retailprice, 0.84), 4) AS p84 FROM f GROUP BY 1""")
 def a45(t):
     edges = B.adaptive_edges(t.part, "p_size", 12, 100)
     out = B.running(t.part, "p_size", "p_retailprice", edges, [16, 84])

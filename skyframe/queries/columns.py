@@ -133,10 +133,17 @@ def f18b(t):
     return t.snapshots.select("snap", F.round(SIM.comoving_distance("redshift"), 4).alias("mpc"))
 
 
-@query("f19_neutral_fraction")
+_SHIELD = "(0.00673 * pow(({0}) / 2.49e-18, -2.0 / 3) * pow(value / 1e4, 0.17) * pow(({1}) / 1e-12, 2.0 / 3) * pow(0.167 / 0.17, -1.0 / 3))".format("2.37e-18 + 0.5 * (2.27e-18 - 2.37e-18)", "3.03e-13 + 0.5 * (6e-13 - 3.03e-13)")
+
+
+@query("f19_neutral_fraction", f"""WITH r AS (SELECT row_index, w / 10 AS n, value AS t, w / 10 / {_SHIELD} AS u, 315614.0 / value AS l FROM particles),
+    c AS (SELECT row_index, n, 1.269e-13 * pow(l, 1.503) / pow(1 + pow(l / 0.522, 0.47), 1.923) AS rec, 1.17e-10 * sqrt(t) * exp(-157809.0 / t) / (1 + sqrt(t / 1e5)) AS col, (0.98 * pow(1 + pow(u, 1.64), -2.28) + 0.02 * pow(1 + u, -0.84)) * (3.03e-13 + 0.5 * (6e-13 - 3.03e-13)) AS phot FROM r),
+    q AS (SELECT row_index, rec, rec + col AS a, 2 * rec + phot / n + col AS b FROM c)
+    SELECT row_index, round((b - sqrt(b * b - 4 * a * rec)) / (2 * a), 6) AS neutral FROM q""")
 def f19(t):
-    rows = t.particles.where("pt = 'R'").withColumns({"n": F.col("w") / 10, "temp": F.col("value")})
-    return rows.select("row_index", F.round(SIM.neutral_fraction("n", "temp"), 6).alias("neutral"))
+    """At redshift 1.5."""
+    rows = t.particles.withColumns({"n": F.col("w") / 10, "temp": F.col("value")})
+    return rows.select("row_index", F.round(SIM.neutral_fraction("n", "temp", 1.5), 6).alias("neutral"))
 
 
 @query("f20_colors", "SELECT p_partkey, round(-2.5 * log10(p_retailprice) + 2.5 * log10(p_size), 6) AS color FROM part")
@@ -163,12 +170,6 @@ def f23(t):
     return t.subs.select("sub_id", *(F.round(c, 6).alias(n) for c, n in zip(C.perspective("x", "y", F.col("z") + 20, 10.0, 2000.0, 5.0), ("px", "py", "depth"))))
 
 
-@query("f25_lightcone_shell", "SELECT sub_id FROM subs WHERE x > 300 AND x <= 600 AND abs(y - 500) < 0.5 * x AND abs(z - 500) < 0.5 * x")
-def f25(t):
-    inside = (F.col("x") > 300) & (F.col("x") <= 600) & (F.abs(F.col("y") - 500) < 0.5 * F.col("x")) & (F.abs(F.col("z") - 500) < 0.5 * F.col("x"))
-    return t.subs.where(inside).select("sub_id")
-
-
 @query("f26_sky_coordinates", f"SELECT sub_id, round(degrees(atan((y - 500) / (x + 1000))), 6) AS ra, round(degrees(atan((z - 500) / sqrt(pow(x + 1000, 2) + pow(y - 500, 2)))), 6) AS dec, round((1 + 0.1) * (1 + ((x + 1000) * vx + (y - 500) * vy + (z - 500) * vz) / sqrt(pow(x + 1000, 2) + pow(y - 500, 2) + pow(z - 500, 2)) / 299792.458) - 1, 8) AS z_obs FROM subs")
 def f26(t):
     x, y, z = F.col("x") + 1000, F.col("y") - 500, F.col("z") - 500

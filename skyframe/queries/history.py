@@ -288,10 +288,12 @@ def t3(t):
     return t.subs.orderBy(F.abs(F.col("mass") - 200000), "sub_id").limit(25).select("sub_id", "mass")
 
 
-@query("t4_even_sample")
+@query("t4_even_sample", """WITH n AS (SELECT count(*) AS n FROM particles), k AS (SELECT k, k * (n - 1) // 49 AS lin, CASE WHEN k = 49 THEN n - 1 ELSE CAST(floor(pow(n - 1, k / 49.0)) AS BIGINT) END AS lg FROM n, range(50) r(k))
+    SELECT 'linear' AS kind, row_index, mass FROM k JOIN particles ON row_index = lin UNION ALL SELECT 'log', row_index, mass FROM k JOIN particles ON row_index = lg""")
 def t4(t):
-    rows = t.subs.withColumn("place", F.col("sub_id"))
-    return even_sample(rows, "place", rows.count(), 50).select("place", "mass")
+    n = t.rows.count()
+    kinds = [even_sample(t.particles, "row_index", n, 50, log).select(F.lit(kind).alias("kind"), "row_index", "mass") for kind, log in (("linear", False), ("log", True))]
+    return kinds[0].unionByName(kinds[1])
 
 
 @query("t5_top_per_group", "SELECT halo_id, sub_id, mass FROM (SELECT halo_id, sub_id, mass, row_number() OVER (PARTITION BY halo_id ORDER BY mass DESC, sub_id) AS k FROM subs) WHERE k <= 3")

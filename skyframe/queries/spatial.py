@@ -12,29 +12,34 @@ from ..operators import maps as P
 from ..operators import shapes as S
 from ..operators import spatial as J
 from ..operators.binning import median
-from ..operators.segments import components, dense_labels
+from ..operators.segments import clump_properties, components, dense_labels
 from ..plans.roles import query
 from .aggregates import members
 
 _MI = lambda d: f"(CASE WHEN {d} > 500 THEN {d} - 1000 WHEN {d} < -500 THEN {d} + 1000 ELSE {d} END)"
 _D = f"sqrt(pow({_MI('(a.x - b.x)')}, 2) + pow({_MI('(a.y - b.y)')}, 2) + pow({_MI('(a.z - b.z)')}, 2))"
 _D2 = f"sqrt(pow({_MI('(a.x - b.x)')}, 2) + pow({_MI('(a.y - b.y)')}, 2))"
-#: pairs of every 20th object with all objects within 120, without itself
-_NEAR = f"(SELECT a.sub_id AS center, b.sub_id AS point, {_D} AS d, a.mass AS am, b.mass AS bm, b.halo_id AS bh, a.halo_id AS ah FROM subs a, subs b WHERE a.sub_id % 20 = 0 AND a.sub_id <> b.sub_id AND {_D} <= 120)"
+#: pairs of each object with all objects within 120, without itself
+_NEAR = f"(SELECT a.sub_id AS center, b.sub_id AS point, {_D} AS d, a.mass AS am, b.mass AS bm, b.halo_id AS bh, a.halo_id AS ah FROM subs a, subs b WHERE a.sub_id <> b.sub_id AND {_D} <= 120)"
 EDGES = [0.0, 20.0, 40.0, 60.0, 80.0, 100.0, 120.0]
 R6 = lambda c: F.round(c, 6)
 
 
-def near(t, radius=120.0, every=20):
-    """Pairs of the centers (sub_id % every = 0) with all objects; every=1 takes all objects as centers."""
-    some = t.subs.where(F.col("sub_id") % every == 0).select("sub_id", "x", "y", "z", F.col("mass").alias("am"), F.col("halo_id").alias("ah"))
+def near(t, radius=120.0):
+    """Pairs of each object with the other objects within `radius`."""
+    some = t.subs.select("sub_id", "x", "y", "z", F.col("mass").alias("am"), F.col("halo_id").alias("ah"))
     other = t.subs.select("sub_id", "x", "y", "z", F.col("mass").alias("bm"), F.col("halo_id").alias("bh"))
     return J.radius_join(some, other, "sub_id", "sub_id", ["x", "y", "z"], 1000.0, radius, keep=["bm", "bh"], keep_center=["am", "ah"]).where("center <> point")
 
 
+def of_every(t, per_center, **fill):
+    """One row for each object, with `fill` for those without neighbours."""
+    return t.subs.select(F.col("sub_id").alias("center")).join(per_center, "center", "left").fillna(fill)
+
+
 @query("j24_radius_join", f"SELECT center, point, round(d, 6) AS distance FROM {_NEAR} WHERE d <= 60")
-def j24(t, every=20):
-    return near(t, 60.0, every).select("center", "point", R6("distance").alias("distance"))
+def j24(t):
+    return near(t, 60.0).select("center", "point", R6("distance").alias("distance"))
 
 
 @query("j24b_own_radius", f"SELECT a.s_suppkey AS center, count(*) AS n FROM (SELECT s_suppkey, CAST(s_suppkey * 9 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 31 % 1000 AS DOUBLE) AS y, CAST(s_suppkey * 77 % 1000 AS DOUBLE) AS z, 40.0 + s_suppkey % 60 AS r FROM supplier) a, subs b WHERE {_D} <= a.r GROUP BY 1")
@@ -64,12 +69,19 @@ def j27(t):
     return found.groupBy("center").agg(R6((d(32) + d(33)) / 2).alias("h"))
 
 
-@query("j28_positional_match", f"SELECT a.sub_id, coalesce(min_by(b.sub_id, ({_D}, b.sub_id)), -1) AS other FROM (SELECT * FROM subs WHERE sub_id % 50 = 0) a LEFT JOIN (SELECT * FROM subs WHERE sub_id % 2 = 1) b ON {_D} <= 60 AND abs(log10(a.mass) - log10(b.mass)) <= 0.3 GROUP BY 1")
+#: the central objects of a second run of the same volume
+_OTHER = "(SELECT sub_id, (x + sub_id % 11 + 995) % 1000 AS x, (y + sub_id % 7 + 997) % 1000 AS y, z, log10(mass * (0.4 + sub_id % 13 / 10.0)) AS lm FROM subs WHERE sub_id IN (SELECT first_sub FROM halos))"
+
+
+@query("j28_positional_match", f"""WITH a AS (SELECT sub_id, x, y, z, log10(mass) AS lm FROM subs WHERE sub_id % 50 = 0 AND sub_id IN (SELECT first_sub FROM halos)),
+    n AS (SELECT a.sub_id, min_by(struct_pack(id := b.sub_id, lm := b.lm), ({_D}, b.sub_id)) AS b, max(a.lm) AS lm FROM a, {_OTHER} b GROUP BY 1)
+    SELECT s.sub_id, coalesce(CASE WHEN abs(n.lm - n.b.lm) <= 0.3 THEN n.b.id END, -1) AS other FROM (SELECT sub_id FROM subs WHERE sub_id % 50 = 0) s LEFT JOIN n ON s.sub_id = n.sub_id""")
 def j28(t):
-    some, other = t.subs.where("sub_id % 50 = 0"), t.subs.where("sub_id % 2 = 1")
-    pairs = J.radius_join(some.withColumn("am", F.log10("mass")), other.withColumn("bm", F.log10("mass")), "sub_id", "sub_id", ["x", "y", "z"], 1000.0, 60.0, keep=["bm"], keep_center=["am"])
-    best = pairs.where(F.abs(F.col("am") - F.col("bm")) <= 0.3).groupBy(F.col("center").alias("sub_id")).agg(F.min(F.struct("distance", "point"))["point"].alias("other"))
-    return some.select("sub_id").join(best, "sub_id", "left").fillna({"other": -1})
+    central = t.halos.select(F.col("first_sub").alias("sub_id"))
+    asked, runs = t.subs.where("sub_id % 50 = 0"), t.subs.join(central, "sub_id", "left_semi")
+    other = runs.select("sub_id", F.expr("(x + sub_id % 11 + 995) % 1000").alias("x"), F.expr("(y + sub_id % 7 + 997) % 1000").alias("y"), "z", F.expr("mass * (0.4 + sub_id % 13 / 10.0)").alias("mass"))
+    found = J.positional_match(asked.join(central, "sub_id", "left_semi"), other, "sub_id", ["x", "y", "z"], 1000.0, "mass", 0.3, 60.0)
+    return asked.select("sub_id").join(found, "sub_id", "left").fillna({"other": -1})
 
 
 @query("j31_sightline_pairs", f"SELECT a.s_suppkey AS ray, b.sub_id AS obj, round({_D2}, 6) AS impact FROM (SELECT s_suppkey, CAST(s_suppkey * 9 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 31 % 1000 AS DOUBLE) AS y FROM supplier) a, subs b WHERE {_D2} <= 40")
@@ -78,27 +90,30 @@ def j31(t):
     return J.radius_join(rays, t.subs, "s_suppkey", "sub_id", ["x", "y"], 1000.0, 40.0).select(F.col("center").alias("ray"), F.col("point").alias("obj"), R6("distance").alias("impact"))
 
 
-@query("a19_neighbour_statistics", f"SELECT center, count(*) AS n, min(bm) AS lo, max(bm) AS hi, round(avg(bm) / max(am), 8) AS mean_ratio, round(median(bm), 6) AS mid, round(sum(bm), 2) AS total FROM {_NEAR} GROUP BY 1")
-def a19(t, every=20):
+@query("a19_neighbour_statistics", f"SELECT sub_id AS center, coalesce(n, 0) AS n, lo, hi, mean_ratio, mid, coalesce(total, 0) AS total FROM subs LEFT JOIN (SELECT center, count(*) AS n, min(bm) AS lo, max(bm) AS hi, round(avg(bm) / max(am), 8) AS mean_ratio, round(median(bm), 6) AS mid, round(sum(bm), 2) AS total FROM {_NEAR} GROUP BY 1) ON center = sub_id")
+def a19(t):
+    """Objects without a neighbour have n = 0 and total = 0, and no extrema."""
     b = F.col("bm")
-    return near(t, every=every).groupBy("center").agg(F.count(b).alias("n"), F.min(b).alias("lo"), F.max(b).alias("hi"), F.round(F.avg(b) / F.max("am"), 8).alias("mean_ratio"), R6(median(b)).alias("mid"), F.round(F.sum(b), 2).alias("total"))
+    per = near(t).groupBy("center").agg(F.count(b).alias("n"), F.min(b).alias("lo"), F.max(b).alias("hi"), F.round(F.avg(b) / F.max("am"), 8).alias("mean_ratio"), R6(median(b)).alias("mid"), F.round(F.sum(b), 2).alias("total"))
+    return of_every(t, per, n=0, total=0.0)
 
 
-@query("a20_restricted_neighbours", f"SELECT center, count(*) AS n FROM {_NEAR} WHERE bm > 50000 AND bm < 400000 AND bm / am > 0.5 AND bm / am < 2 GROUP BY 1")
-def a20(t, every=20):
+@query("a20_restricted_neighbours", f"SELECT sub_id AS center, coalesce(n, 0) AS n FROM subs LEFT JOIN (SELECT center, count(*) AS n FROM {_NEAR} WHERE bm > 50000 AND bm < 400000 AND bm / am > 0.5 AND bm / am < 2 GROUP BY 1) ON center = sub_id")
+def a20(t):
     ratio = F.col("bm") / F.col("am")
-    return near(t, every=every).where((F.col("bm") > 50000) & (F.col("bm") < 400000) & (ratio > 0.5) & (ratio < 2)).groupBy("center").agg(F.count(F.lit(1)).alias("n"))
+    per = near(t).where((F.col("bm") > 50000) & (F.col("bm") < 400000) & (ratio > 0.5) & (ratio < 2)).groupBy("center").agg(F.count(F.lit(1)).alias("n"))
+    return of_every(t, per, n=0)
 
 
 @query("a21_neighbour_profiles", f"SELECT center, CAST(floor(d / 20) AS INTEGER) AS bin, count(*) AS n, round(sum(bm), 2) AS mass FROM {_NEAR} WHERE d < 120 GROUP BY ALL")
-def a21(t, every=20):
-    rows = near(t, every=every).withColumn("bin", C.edge_bin("distance", EDGES)).where("bin is not null")
+def a21(t):
+    rows = near(t).withColumn("bin", C.edge_bin("distance", EDGES)).where("bin is not null")
     return rows.groupBy("center", "bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("bm"), 2).alias("mass"))
 
 
 @query("a22_reductions_in_bins", f"SELECT center, CAST(ceil(d / 20) - 1 AS INTEGER) AS bin, max(bm) AS hi, min(bm) AS lo, round(sum(bm), 2) AS total FROM {_NEAR} WHERE d > 0 GROUP BY ALL")
-def a22(t, every=20):
-    rows = near(t, every=every).withColumn("bin", C.edge_bin("distance", EDGES, "right")).where("bin is not null")
+def a22(t):
+    rows = near(t).withColumn("bin", C.edge_bin("distance", EDGES, "right")).where("bin is not null")
     return rows.groupBy("center", "bin").agg(F.max("bm").alias("hi"), F.min("bm").alias("lo"), F.round(F.sum("bm"), 2).alias("total"))
 
 
@@ -106,63 +121,67 @@ _K = "(CASE WHEN d / 120 < 0.5 THEN 1 - 6 * pow(d / 120, 2) + 6 * pow(d / 120, 3
 
 
 @query("a23_kernel_mean", f"SELECT center, round(sum(bm * {_K}) / sum({_K}), 6) AS mean FROM {_NEAR} GROUP BY 1 HAVING sum({_K}) > 1e-6")
-def a23(t, every=20):
+def a23(t):
     w = P.kernel(F.col("distance") / 120)
-    rows = near(t, every=every).groupBy("center").agg(F.sum(F.col("bm") * w).alias("v"), F.sum(w).alias("w")).where("w > 1e-6")
+    rows = near(t).groupBy("center").agg(F.sum(F.col("bm") * w).alias("v"), F.sum(w).alias("w")).where("w > 1e-6")
     return rows.select("center", R6(F.col("v") / F.col("w")).alias("mean"))
 
 
 @query("a25_profile_terms", f"SELECT center, coalesce(term, 'all') AS term, round(sum(bm), 2) AS mass, count(*) AS n FROM (SELECT center, CASE WHEN bh = ah THEN 'self' WHEN bh % 10 = 0 THEN 'diffuse' ELSE 'other' END AS term, bm FROM {_NEAR}) GROUP BY GROUPING SETS ((center, term), (center))")
-def a25(t, every=20):
+def a25(t):
     term = F.when(F.col("bh") == F.col("ah"), "self").when(F.expr("bh % 10 = 0"), "diffuse").otherwise("other")
-    rows = near(t, every=every).withColumn("term", term)
+    rows = near(t).withColumn("term", term)
     return rows.rollup("center", "term").agg(F.round(F.sum("bm"), 2).alias("mass"), F.count(F.lit(1)).alias("n")).where("center is not null").withColumn("term", F.coalesce("term", F.lit("all")))
 
 
-def points(t, every=3):
-    return t.subs.where(F.col("sub_id") % every == 0)
-
-
 _RR = lambda k: f"({4 / 3 * math.pi!r} * (pow(20.0 * ({k} + 1), 3) - pow(20.0 * {k}, 3)))"
-_PTS = "(SELECT * FROM subs WHERE sub_id % 3 = 0)"
 
 
-@query("a55_two_point_correlation", f"SELECT bin, dd, round(dd / ({_RR('bin')} * pow((SELECT count(*) FROM {_PTS}), 2) / 1e9) - 1, 8) AS xi FROM (SELECT CAST(greatest(ceil({_D} / 20) - 1, 0) AS INTEGER) AS bin, CAST(count(*) AS DOUBLE) AS dd FROM {_PTS} a, {_PTS} b WHERE a.sub_id <> b.sub_id AND {_D} <= 120 GROUP BY 1)")
-def a55(t, every=3):
-    p = points(t, every)
+@query("a55_two_point_correlation", f"SELECT bin, dd, round(dd / ({_RR('bin')} * pow((SELECT count(*) FROM subs), 2) / 1e9) - 1, 8) AS xi FROM (SELECT CAST(greatest(ceil({_D} / 20) - 1, 0) AS INTEGER) AS bin, CAST(count(*) AS DOUBLE) AS dd FROM subs a, subs b WHERE a.sub_id <> b.sub_id AND {_D} <= 120 GROUP BY 1)")
+def a55(t):
+    p = t.subs
     n = p.count()
     dd = J.pair_counts(p, p, "sub_id", "sub_id", ["x", "y", "z"], 1000.0, EDGES, auto=True)
     return dd.select("bin", "dd", F.round(J.correlation(F.col("dd"), F.col("bin"), EDGES, n, n, 1000.0), 8).alias("xi"))
 
 
-@query("a56_jackknife", f"""WITH p AS (SELECT *, CAST(floor(x / 500) * 4 + floor(y / 500) * 2 + floor(z / 500) AS INTEGER) AS cube FROM {_PTS}),
+@query("a56_jackknife", f"""WITH p AS (SELECT *, CAST(floor(x / 500) * 4 + floor(y / 500) * 2 + floor(z / 500) AS INTEGER) AS cube FROM subs),
     c AS (SELECT CAST(greatest(ceil({_D} / 20) - 1, 0) AS INTEGER) AS bin, a.cube AS ca, b.cube AS cb, count(*) AS dd FROM p a, p b WHERE a.sub_id <> b.sub_id AND {_D} <= 120 GROUP BY ALL)
     SELECT bin, k AS cube, CAST(sum(dd) FILTER (ca <> k AND cb <> k) AS DOUBLE) AS dd FROM c, range(8) r(k) GROUP BY ALL""")
-def a56(t, every=3):
+def a56(t):
     """Pairs are counted once by both cubes; leaving a cube out subtracts what touches it."""
-    p = points(t, every).withColumn("cube", (F.floor(F.col("x") / 500) * 4 + F.floor(F.col("y") / 500) * 2 + F.floor(F.col("z") / 500)).cast("int"))
+    p = t.subs.withColumn("cube", (F.floor(F.col("x") / 500) * 4 + F.floor(F.col("y") / 500) * 2 + F.floor(F.col("z") / 500)).cast("int"))
     dd = J.pair_counts(p, p, "sub_id", "sub_id", ["x", "y", "z"], 1000.0, EDGES, auto=True, tags=("cube", "cube"))
     kept = dd.withColumn("cube", F.explode(F.sequence(F.lit(0), F.lit(7)))).where("tag_a <> cube and tag_b <> cube")
     return kept.groupBy("bin", F.col("cube").cast("long").alias("cube")).agg(F.sum("dd").alias("dd"))
 
 
-@query("a57_split_correlation", f"SELECT CAST(a.sub_id % 5 AS INTEGER) AS split, CAST(greatest(ceil({_D} / 20) - 1, 0) AS INTEGER) AS bin, round(sum(a.mass / 1e5 * b.mass / 1e5), 4) AS dd FROM {_PTS} a, {_PTS} b WHERE a.sub_id <> b.sub_id AND {_D} <= 120 GROUP BY ALL")
-def a57(t, every=3):
-    p = points(t, every).withColumns({"split": F.expr("cast(sub_id % 5 as int)"), "wt": F.col("mass") / 1e5})
+@query("a57_split_correlation", f"SELECT CAST(a.sub_id % 5 AS INTEGER) AS split, CAST(greatest(ceil({_D} / 20) - 1, 0) AS INTEGER) AS bin, round(sum(a.mass / 1e5 * b.mass / 1e5), 4) AS dd FROM subs a, subs b WHERE a.sub_id <> b.sub_id AND {_D} <= 120 GROUP BY ALL")
+def a57(t):
+    p = t.subs.withColumns({"split": F.expr("cast(sub_id % 5 as int)"), "wt": F.col("mass") / 1e5})
     dd = J.pair_counts(p, p, "sub_id", "sub_id", ["x", "y", "z"], 1000.0, EDGES, auto=True, weight="wt", tags=("split", "split"))
     return dd.groupBy(F.col("tag_a").alias("split"), "bin").agg(F.round(F.sum("dd"), 4).alias("dd"))
 
 
-@query("a58_isolation", f"SELECT center, max(bm) < max(am) AS heaviest, max(bm) < 0.5 * max(am) AS isolated FROM {_NEAR} GROUP BY 1")
+#: two masses of an object beside its total, for criteria on different components
+_STARS = "(SELECT sub_id, halo_id, x, y, z, mass * (0.2 + sub_id % 7 / 10.0) AS m2, mass * (0.1 + sub_id % 5 / 10.0) AS m30 FROM subs)"
+
+
+@query("a58_isolation", f"""WITH s AS {_STARS}, n AS (SELECT a.sub_id, max(b.m2) AS n2, max(b.m30) AS n30, max(h.m200) AS nh FROM s a, s b JOIN halos h ON b.halo_id = h.halo_id WHERE a.m30 >= 30000 AND {_D} > 0 AND {_D} <= 120 GROUP BY 1)
+    SELECT s.sub_id, CASE WHEN m30 < 30000 THEN -1 WHEN coalesce(n2, 0) <= m2 / 2 THEN 1 ELSE 0 END AS mstar2_max_half, CASE WHEN m30 < 30000 THEN -1 WHEN coalesce(n30, 0) <= m30 / 2 THEN 1 ELSE 0 END AS mstar30_max_half,
+    CASE WHEN m30 < 30000 THEN -1 WHEN coalesce(n30, 0) <= m30 / 3 THEN 1 ELSE 0 END AS mstar30_max_third, CASE WHEN m30 < 30000 THEN -1 WHEN coalesce(n30, 0) <= m30 THEN 1 ELSE 0 END AS mstar30_max,
+    CASE WHEN m30 < 30000 THEN -1 WHEN coalesce(nh, 0) <= 2500000 THEN 1 ELSE 0 END AS mhalo_below FROM s LEFT JOIN n ON s.sub_id = n.sub_id""")
 def a58(t):
-    top = near(t).groupBy("center").agg(F.max("bm").alias("top"), F.max("am").alias("own"))
-    return top.select("center", (F.col("top") < F.col("own")).alias("heaviest"), (F.col("top") < 0.5 * F.col("own")).alias("isolated"))
+    """Five rules on the heaviest neighbour within 120: 1 isolated, 0 not, -1 too light to be looked at."""
+    rows = t.subs.join(t.halos.select("halo_id", "m200"), "halo_id").select("sub_id", "x", "y", "z", F.expr("mass * (0.2 + sub_id % 7 / 10.0)").alias("m2"), F.expr("mass * (0.1 + sub_id % 5 / 10.0)").alias("m30"), "m200")
+    rules = {"mstar2_max_half": ("m2", F.col("m2") / 2), "mstar30_max_half": ("m30", F.col("m30") / 2), "mstar30_max_third": ("m30", F.col("m30") / 3), "mstar30_max": ("m30", F.col("m30")), "mhalo_below": ("m200", F.lit(2500000.0))}
+    return J.isolation(rows, "sub_id", ["x", "y", "z"], 1000.0, 120.0, rules, F.col("m30") >= 30000)
 
 
 @query("a59_conformity", f"WITH r AS (SELECT center, CAST(floor(d / 40) AS INTEGER) AS bin, avg(CASE WHEN bm > 250000 THEN 1.0 ELSE 0 END) AS f, count(*) FILTER (bm > 250000) AS red, count(*) AS n FROM {_NEAR} WHERE d < 120 GROUP BY ALL) SELECT bin, round(avg(f), 8) AS mean_share, round(sum(red) / sum(n), 8) AS stacked FROM r GROUP BY 1")
-def a59(t, every=20):
+def a59(t):
     red = F.col("bm") > 250000
-    rows = near(t, every=every).withColumn("bin", F.floor(F.col("distance") / 40).cast("int")).where("distance < 120")
+    rows = near(t).withColumn("bin", F.floor(F.col("distance") / 40).cast("int")).where("distance < 120")
     per = rows.groupBy("center", "bin").agg(F.count_if(red).alias("red"), F.count(F.lit(1)).alias("n"))
     return per.groupBy("bin").agg(F.round(F.avg(F.col("red") / F.col("n")), 8).alias("mean_share"), F.round(F.sum("red") / F.sum("n"), 8).alias("stacked"))
 
@@ -288,8 +307,8 @@ def a105(t):
 
 
 @query("a104_clump_profiles", f"SELECT CAST(floor(d / 20) AS INTEGER) AS bin, round(round(sum(bm), 2) / count(*), 8) AS mean, count(DISTINCT center) AS clumps FROM {_NEAR} WHERE ah % 5 = 0 AND d < 120 GROUP BY 1")
-def a104(t, every=20):
-    rows = near(t, every=every).where("ah % 5 = 0 and distance < 120")
+def a104(t):
+    rows = near(t).where("ah % 5 = 0 and distance < 120")
     return rows.groupBy(F.floor(F.col("distance") / 20).cast("int").alias("bin")).agg(F.round(F.round(F.sum("bm"), 2) / F.count(F.lit(1)), 8).alias("mean"), F.count_distinct("center").alias("clumps"))
 
 
@@ -333,12 +352,22 @@ def segments(t):
     return components(cells, right.union(cells.select(F.col("id").alias("a"), (F.col("id") + 20).alias("b"))))
 
 
-@query("a81_clump_properties")
+_SEG = f"""WITH RECURSIVE c AS {_CELLS}, e AS (SELECT a.id AS a, b.id AS b FROM c a, c b WHERE (b.id = a.id + 1 AND b.id % 20 <> 0) OR b.id = a.id + 20 OR (a.id = b.id + 1 AND a.id % 20 <> 0) OR a.id = b.id + 20),
+    w(id, label) AS (SELECT id, id FROM c UNION SELECT e.b, w.label FROM w JOIN e ON e.a = w.id), s AS (SELECT id, min(label) AS label FROM w GROUP BY 1)"""
+
+
+@query("a81_clump_properties", f"""{_SEG}, k AS (SELECT label, count(*) AS cells, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS rank FROM s GROUP BY 1),
+    r AS (SELECT label, mass, x, y, z FROM subs JOIN s ON CAST(floor(x / 50) * 20 + floor(y / 50) AS BIGINT) = id),
+    p AS (SELECT label, round(sum(mass), 2) AS mass, round(avg(mass), 6) AS mean, min(mass) AS least, round(median(mass), 4) AS mid, sum(mass * x) / sum(mass) AS cx, sum(mass * y) / sum(mass) AS cy, sum(mass * z) / sum(mass) AS cz, count(*) AS rows FROM r GROUP BY 1)
+    SELECT label, cells, CAST(rank AS INTEGER) AS rank, mass, mean, least, mid, rows, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz, round(pow(cells * 2500000.0 * 3 / {4 * math.pi!r}, 1 / 3.0), 6) AS radius,
+    round(sqrt(pow({_MI('(cx - 500)')}, 2) + pow({_MI('(cy - 500)')}, 2) + pow({_MI('(cz - 500)')}, 2)), 6) AS distance FROM p JOIN k USING (label)""")
 def a81(t):
+    """Sums, means and centers of each clump, the radius of a sphere of its volume, and its distance from the middle."""
     labels = segments(t)
     cells = t.subs.withColumn("id", (F.floor(F.col("x") / 50) * 20 + F.floor(F.col("y") / 50)).cast("long")).join(labels, "id")
-    props = cells.groupBy("label").agg(F.round(F.sum("mass"), 2).alias("mass"), R6(F.sum(F.col("mass") * F.col("x")) / F.sum("mass")).alias("cx"), F.round(median("mass"), 2).alias("mid"), F.count(F.lit(1)).alias("rows"))
-    return props.join(dense_labels(labels), "label")
+    sizes = dense_labels(labels)
+    out = clump_properties(cells, "label", "mass", ["x", "y", "z"], sizes.withColumn("volume", F.col("cells") * 2500000.0), [500.0] * 3, 1000.0)
+    return out.select("label", "cells", "rank", F.round("total", 2).alias("mass"), R6("mean").alias("mean"), "least", F.round("mid", 4).alias("mid"), "rows", *(R6(f"c{d}").alias(f"c{d}") for d in "xyz"), R6("radius").alias("radius"), R6("distance").alias("distance"))
 
 
 @query("a12_ellipsoids")
@@ -356,7 +385,7 @@ def a15(t):
 
 @query("a88_shrinking_center")
 def a88(t):
-    out = S.shrinking_centers(t.rows.where("halo_id is not null"), "halo_id", ["x", "y", "z"])
+    out = S.shrinking_centers(t.rows.where("halo_id is not null"), "halo_id", ["x", "y", "z"], 1000.0)
     return out.select("halo_id", *(R6(c).alias(c) for c in "xyz"))
 
 
@@ -367,23 +396,32 @@ def a87(t):
     return S.power_spectra(grid, "c", 16, 1000.0).withColumn("power", F.round("power", 4))
 
 
-@query("f24_cuboid_remap")
+#: the cuboid of the lattice (1, 1, 0), (0, 1, 0), (0, 0, 1): edges along the two diagonals of x and y, and along z
+_REMAP = f"(SELECT sub_id, (x + y + 1000 * (i + j)) / {math.sqrt(2)!r} AS x, (y - x + 1000 * (j - i)) / {math.sqrt(2)!r} AS y, z FROM subs, range(-1, 2) a(i), range(-1, 2) b(j) WHERE x + y + 1000 * (i + j) >= 0 AND x + y + 1000 * (i + j) < 2000 AND y - x + 1000 * (j - i) >= 0 AND y - x + 1000 * (j - i) < 1000)"
+
+
+def remapped(t):
+    return S.cuboid_remap(t.subs, "sub_id", ["x", "y", "z"], [[1, 1, 0], [0, 1, 0], [0, 0, 1]], 1000.0)
+
+
+@query("f24_cuboid_remap", f"SELECT sub_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM {_REMAP}")
 def f24(t):
-    out = S.cuboid_remap(t.subs, "sub_id", ["x", "y", "z"], [[1, 1, 0], [0, 1, 0], [0, 0, 1]], 1000.0)
-    return out.select("sub_id", *(R6(c).alias(c) for c in "xyz"))
+    return remapped(t).select("sub_id", *(F.round(F.col(c) + 0.0, 6).alias(c) for c in "xyz"))
 
 
-# The SQL of the queries above fixes their id subsets; these run the same jobs over all of subs and have no SQL.
-for _name, _job in {"j24_radius_join": j24, "a21_neighbour_profiles": a21, "a22_reductions_in_bins": a22, "a23_kernel_mean": a23, "a25_profile_terms": a25, "a59_conformity": a59, "a104_clump_profiles": a104, "a55_two_point_correlation": a55, "a56_jackknife": a56, "a57_split_correlation": a57}.items():
-    query(f"{_name}_whole")(lambda t, job=_job: job(t, every=1))
+#: tangents of the half opening angles, and the middle of the cuboid's face
+_CONE = (math.tan(math.radians(24)), math.tan(math.radians(17)), 500 / math.sqrt(2), 500.0)
 
 
-@query("a19_neighbour_statistics_whole")
-def a19_whole(t):
-    """Objects without a neighbour have n = 0 and total = 0, and no extrema."""
-    return t.subs.select(F.col("sub_id").alias("center")).join(a19(t, every=1), "center", "left").fillna({"n": 0, "total": 0.0})
+@query("f25_lightcone_shell", "SELECT sub_id, CAST(shell AS INTEGER) AS shell FROM {0}, (VALUES (0, 0.0, 300.0), (1, 300.0, 600.0), (2, 600.0, 1400.0)) r(shell, lo, hi) WHERE x > lo AND x < hi AND y > {3!r} - x * {1!r} AND y < {3!r} + x * {1!r} AND z > {4!r} - x * {2!r} AND z < {4!r} + x * {2!r}".format(_REMAP, *_CONE))
+def f25(t):
+    """Remapped rows inside the cone, with the distance shell (one for each snapshot) that they are in."""
+    tan_y, tan_z, y0, z0 = _CONE
+    shells = [C.in_cone("x", "y", "z", lo, hi, tan_y, tan_z, y0, z0) for lo, hi in ((0.0, 300.0), (300.0, 600.0), (600.0, 1400.0))]
+    shell = F.coalesce(*(F.when(c, F.lit(k)) for k, c in enumerate(shells)))
+    return remapped(t).select("sub_id", shell.alias("shell")).where("shell is not null")
 
 
-@query("a20_restricted_neighbours_whole")
-def a20_whole(t):
-    return t.subs.select(F.col("sub_id").alias("center")).join(a20(t, every=1), "center", "left").fillna({"n": 0})
+# The names under which the jobs over all objects were registered before the queries themselves took all objects.
+for _name, _job in {"j24_radius_join": j24, "a19_neighbour_statistics": a19, "a20_restricted_neighbours": a20, "a21_neighbour_profiles": a21, "a22_reductions_in_bins": a22, "a23_kernel_mean": a23, "a25_profile_terms": a25, "a59_conformity": a59, "a104_clump_profiles": a104, "a55_two_point_correlation": a55, "a56_jackknife": a56, "a57_split_correlation": a57}.items():
+    query(f"{_name}_whole")(_job)

@@ -3,17 +3,11 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir, or a local one where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..operators.lineage import scratch  # noqa: F401  (where writers put what is read back)
 
 
 def write_catalog(df: DataFrame, path: str, attributes: dict) -> None:

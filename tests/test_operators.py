@@ -166,3 +166,71 @@ def test_combine_rejects_shared_keys(spark):
     assert combine([a, spark.range(5, 9)], "id").count() == 9
     with pytest.raises(ValueError):
         combine([a, spark.range(4, 9)], "id")
+
+
+def crowd_of(spark, n=300):
+    """Two thirds of the points in one small cell, the others anywhere."""
+    x = np.vstack([RNG.uniform(40, 41, (2 * n // 3, 3)), RNG.uniform(0, BOX, (n - 2 * n // 3, 3))])
+    pdf = pd.DataFrame(x, columns=list("xyz")).assign(id=range(n))
+    return pdf, spark.createDataFrame(pdf)
+
+
+def test_crowded_cells_are_cut_into_blocks(spark):
+    pdf, df = crowd_of(spark)
+    for radius in (0.5, 30.0, 60.0):
+        want = sorted(map(tuple, np.argwhere(distances(pdf) <= radius).tolist()))
+        got = spatial.radius_join(df, df, "id", "id", ["x", "y", "z"], BOX, radius, crowd=20).toPandas()
+        assert sorted(zip(got.center, got.point)) == want
+        half = spatial.radius_join(df, df, "id", "id", ["x", "y", "z"], BOX, radius, crowd=20, half=True).toPandas()
+        assert len(half) * 2 == len(want) - len(pdf) and set(zip(half.center, half.point)) | set(zip(half.point, half.center)) == {p for p in want if p[0] != p[1]}
+
+
+def test_open_space(spark):
+    pdf, df = crowd_of(spark)
+    pdf[["x", "y"]] -= 45.0
+    df = spark.createDataFrame(pdf)
+    x = pdf[list("xyz")].to_numpy()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    got = spatial.radius_join(df, df, "id", "id", ["x", "y", "z"], 0, 7.0).toPandas()
+    assert sorted(zip(got.center, got.point)) == sorted(map(tuple, np.argwhere(d <= 7.0).tolist()))
+    got = spatial.nearest(df, df, "id", "id", ["x", "y", "z"], 0, 3, 2.0, crowd=50).toPandas().sort_values(["center", "rank"])
+    np.fill_diagonal(d, np.inf)
+    assert (got.point.to_numpy().reshape(-1, 3) == np.argsort(d, axis=1, kind="stable")[:, :3]).all()
+
+
+def test_nearest_with_fewer_points_than_asked(spark):
+    df = spark.createDataFrame([(0, 1.0, 1.0, 1.0), (1, 99.0, 99.0, 99.0), (2, 50.0, 50.0, 50.0)], "id long, x double, y double, z double")
+    got = spatial.nearest(df, df, "id", "id", ["x", "y", "z"], BOX, 5, 1.0).toPandas()
+    assert got.groupby("center").size().to_dict() == {0: 2, 1: 2, 2: 2}
+    assert got[(got.center == 0) & (got["rank"] == 1)].distance.iloc[0] == pytest.approx(np.sqrt(12))
+    assert spatial.nearest(df.limit(0), df, "id", "id", ["x", "y", "z"], BOX, 1, 1.0).count() == 0
+
+
+def test_positional_match_takes_the_nearest_and_then_the_mass(spark):
+    kind = "id long, x double, y double, z double, m double"
+    a = spark.createDataFrame([(1, 1.0, 0.0, 0.0, 10.0), (2, 50.0, 0.0, 0.0, 10.0)], kind)
+    b = spark.createDataFrame([(7, 3.0, 0.0, 0.0, 1000.0), (8, 5.0, 0.0, 0.0, 10.0), (9, 70.0, 0.0, 0.0, 15.0)], kind)
+    got = spatial.positional_match(a, b, "id", ["x", "y", "z"], BOX, "m", 0.3, 5.0).toPandas().set_index("id").other
+    assert got[1] == -1 and got[2] == 9  # a heavier nearest is not replaced by the next; distance does not matter
+
+
+def test_shrinking_center_is_periodic(spark):
+    x = np.vstack([RNG.normal(2, 0.3, (200, 3)), RNG.uniform(0, 10, (60, 3))])
+    got = shapes.shrinking_centers(spark.createDataFrame(pd.DataFrame(x, columns=list("xyz")).assign(k=1)), "k", ["x", "y", "z"], 10.0).first()
+    kept = x
+    for _ in range(100):
+        c, n = kept.mean(0), int(len(kept) * 0.95)
+        if n in (0, len(kept)) or len(kept) <= 26:
+            break
+        gap = np.abs(kept - c)
+        kept = kept[np.argsort((np.minimum(gap, 10 - gap) ** 2).sum(1))[:n]]
+    assert np.allclose([got.x, got.y, got.z], c) and np.allclose(c, 2, atol=0.2)
+    one = shapes.shrinking_centers(spark.createDataFrame([(1, 9.9, 0.1)], "k long, x double, y double"), "k", ["x", "y"], 10.0).first()
+    assert (one.x, one.y) == (9.9, 0.1)
+
+
+def test_even_sample_repeats_positions(spark):
+    df = spark.range(100).withColumnRenamed("id", "i")
+    assert sorted(r.i for r in ordering.even_sample(df, "i", 100, 5).collect()) == [0, 24, 49, 74, 99]
+    assert sorted(r.i for r in ordering.even_sample(df, "i", 100, 7, log=True).collect()) == sorted(np.logspace(0, np.log10(99), 7).astype(int).tolist())
+    assert ordering.even_sample(df.limit(3), "i", 3, 5).count() == 3
