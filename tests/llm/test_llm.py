@@ -262,6 +262,28 @@ def test_neighbours_edges(spark):
     assert got.vec_id.tolist() == [0, 1, 2, 3, 4]
 
 
+def test_neighbours_repeats_scales_and_parts(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((700, 8))
+    x[:200] = x[0]  # many equal vectors: ties go to the smaller id
+    big = [(i, (v * 2.0 ** (600 if i % 2 else -600)).tolist()) for i, v in enumerate(x)]
+    rows = big + [(5, x[0].tolist()), (699, [9.0] * 8), (650, big[650][1])]  # ids that repeat count once, with the smallest vector
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.where("vec_id % 50 = 0"), 5, block=256, part=64).toPandas().sort_values(["query_id", "rank"])
+    y = np.array([min(v for i, v in rows if i == k) for k in range(700)])
+    y = y / np.abs(y).max(1, keepdims=True)
+    want = exact(np.arange(700), y, range(0, 700, 50))
+    assert got.groupby("query_id").size().eq(5).all() and np.isfinite(got.score).all() and not got.duplicated(["query_id", "vec_id"]).any()
+    assert got[got.query_id == 100].vec_id.tolist() == [v for v, _ in want[100]] == [0, 1, 2, 3, 4]
+    assert all(abs(dict(want[r.query_id]).get(r.vec_id, r.score) - r.score) < 1e-12 for r in got.itertuples())
+    assert sum(len({v for v, _ in want[q]} & set(g.vec_id)) for q, g in got.groupby("query_id")) >= 0.9 * 5 * 14
+
+
+def test_rotations_are_at_right_angles():
+    a = neighbours.rotations(16, 40)
+    assert a.shape == (16, 40) and np.allclose(a[:, :16].T @ a[:, :16], 16 * np.eye(16)) and np.allclose((a * a).sum(0), 16)
+
+
 # --- 7 packing ------------------------------------------------------------------------------------------------------
 def best_fit(items, cap):
     gaps = []
