@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset (tests) a local one is made."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named by spark.checkpoint.dir; where that is unset, a local one in local mode only (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -44,6 +47,38 @@ def bucket_of(n: int, *cols) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+def range_bounds(df: DataFrame, order: list[str], parts: int, rows: int, per_range: int = 40) -> list[tuple]:
+    """At most parts - 1 values of `order` that occur in `df` and cut it into ranges of about equal size.
+
+    They come from a sample of a bounded number of rows, and decide only where rows go.
+    """
+    drawn = df.select(*order).sample(min(1.0, per_range * parts / max(rows, 1)), seed=7).limit(2 * per_range * parts)
+    sample = sorted(tuple(r) for r in drawn.collect())
+    return sorted({sample[k * len(sample) // parts] for k in range(1, parts)}) if sample else []
+
+
+class Ranges:
+    """Bounds as a constant array, for rows with the columns `order` of the types `kinds`."""
+
+    def __init__(self, bounds: list[tuple], order: list[Column], kinds: list[str]):
+        names = [f"k{i}" for i in range(len(order))]
+        self.n = len(bounds)
+        self.array = F.from_json(F.lit(json.dumps([dict(zip(names, b)) for b in bounds])), f"array<struct<{','.join(f'{n}:{k}' for n, k in zip(names, kinds))}>>")
+        self.key = F.struct(*(c.cast(k).alias(n) for c, n, k in zip(order, names, kinds)))
+
+    def _at(self, k: Column) -> Column:
+        return F.try_element_at(self.array, F.least(F.greatest(k, F.lit(1)), F.lit(max(1, self.n))))
+
+    def index(self) -> Column:
+        """How many of the bounds are at or before a row, by halving."""
+        steps = F.array(*(F.lit(1 << k) for k in range(self.n.bit_length() - 1, -1, -1))).cast("array<int>")
+        return F.aggregate(steps, F.lit(0), lambda low, step: F.when((low + step <= self.n) & (self._at(low + step) <= self.key), low + step).otherwise(low))
+
+    def starts(self, index: Column) -> Column:
+        """Whether a row of that index is the bound itself."""
+        return F.coalesce((index > 0) & (self._at(index) == self.key), F.lit(False))
+
+
 def gapless_rank(df: DataFrame, keys: list[str], order: list[str], rows: int, name: str, per_bucket: int = 20_000) -> DataFrame:
     """Adds `name`: a number from 0 without gaps within `keys`.
 

@@ -19,11 +19,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import Ranges, range_bounds, shuffle_partitions
 from .tokens import encoded, encoder
 
 MAGIC, HEAD, EVERY = b"EFIDS1\0\0", struct.Struct("<8sBBHIIQ"), 64
@@ -89,62 +88,93 @@ def open_shard(blob: bytes) -> tuple[EliasFano, np.ndarray]:
 def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: int = 1 << 21, shard_docs: int = 1 << 16) -> None:
     """Writes the ids of (doc_id, text) in ascending doc_id order; a null text is empty, a null doc_id comes first.
 
-    Equal doc_ids stand together, in the order of their texts.  Other columns are left out.  An empty table gives
-    a table without shards.  A shard is cut after `shard_ids` ids, so only a longer document makes a larger one.
+    Equal doc_ids stand together, in the order of a hash of their texts.  Other columns are left out.  An empty table
+    gives a table without shards.  A shard is cut after `shard_ids` ids, so only a longer document makes a larger one.
+
+    Texts are tokenised where they are read; packed ids are what is shuffled, to ranges of doc_id and hash.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-
-    def run(batches):
-        width = 2 if encoder(tokenizer).n_ids <= 1 << 16 and end_id < 1 << 16 else 4
-        end, part = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
-        base = k = size = 0
+    order = ["_set", "_id", "_mix"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.select(F.col("doc_id").isNotNull().cast("long").alias("_set"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("text").alias("_mix"), "text")
+    parts = shuffle_partitions(spark)
+    bounds = range_bounds(rows, order, parts, rows.count(), per_range=200)
+    rows = rows.withColumn("_range", Ranges(bounds, [F.col(c) for c in order], ["bigint"] * 3).index())
+    kept = ["_range", *order]
+
+    def width() -> int:
+        return 2 if encoder(tokenizer).n_ids <= 1 << 16 and end_id < 1 << 16 else 4
+
+    def tokenised(batches):
+        end = np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            done = 0
+            ids, size = [], 0
+            for i, one in encoded(tokenizer, batch.column("text")):
+                ids.append(np.frombuffer(one + end, "<u4").astype(f"<u{width()}").tobytes())
+                size += len(ids[-1])
+                if size > 1 << 23 or i + 1 == batch.num_rows:
+                    some = batch.slice(done, len(ids))
+                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), pa.array(ids, pa.binary())], names=[*kept, "ids"])
+                    done, ids, size = i + 1, [], 0
+
+    def shards(batches):
+        wide = width()
+        part = base = k = size = 0
         ids: list[bytes] = []
         ends: list[int] = []
         names: list = []
 
         def shard():
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            blob = pack_shard(flat, np.array(ends, np.int64), width)
+            flat = np.frombuffer(b"".join(ids), f"<u{wide}")
+            blob = pack_shard(flat, np.array(ends, np.int64), wide)
             cols = [pa.array([part]), pa.array([k]), pa.array([base]), pa.array([len(flat)]), pa.array([list(names)], pa.list_(pa.int64())), pa.array([blob], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=["part", "shard", "base", "n_ids", "doc_ids", "blob"])
 
         for batch in batches:
-            some = batch.column("doc_id").to_pylist()
-            for i, one in encoded(tokenizer, batch.column("text")):
-                ids.append(one + end)
-                size += len(one) // 4 + 1
-                ends.append(size)
-                names.append(some[i])
-                if size >= shard_ids or len(ends) >= shard_docs:
+            for where, known, name, one in zip(*(batch.column(c).to_pylist() for c in ("_range", "_set", "_id", "ids"))):
+                if ends and (where != part or size >= shard_ids or len(ends) >= shard_docs):
                     yield shard()
                     base, k, size = base + size, k + 1, 0
                     ids.clear(), ends.clear(), names.clear()
+                if where != part:
+                    part, base, k = where, 0, 0
+                ids.append(one)
+                size += len(one) // wide
+                ends.append(size)
+                names.append(name if known else None)
         if ends:
             yield shard()
 
-    rows.mapInArrow(run, "part long, shard long, base long, n_ids long, doc_ids array<long>, blob binary").write.parquet(path)
+    packed = rows.mapInArrow(tokenised, "_range int, _set long, _id long, _mix long, ids binary")
+    dealt = packed.repartitionById(len(bounds) + 1, F.col("_range")).sortWithinPartitions("_range", *order, "ids")
+    dealt.mapInArrow(shards, "part long, shard long, base long, n_ids long, doc_ids array<long>, blob binary").write.parquet(path)
+
+
+def _part_starts(shards: DataFrame) -> dict[int, int]:
+    """The ids before each part: one number for each write task."""
+    sizes = {r["part"]: r["n"] for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
+    before, total = {}, 0
+    for part in sorted(sizes):
+        before[part], total = total, total + sizes[part]
+    return before
 
 
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, all from the written shards.
 
-    `start` counts the ids of all documents before it: those of earlier parts (one number for each part, of which
-    there are as many as write tasks), of earlier shards of the part, and of the shard.
+    `start` counts the ids of all documents before it: those of earlier parts, of earlier shards of the part, and of
+    the shard, where select gives the document's bounds.
     """
     shards = spark.read.parquet(path)
-    sizes = {r["part"]: r["n"] for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
-    before, total = {}, 0
-    for part in sorted(sizes):
-        before[part], total = total, total + sizes[part]
+    before = _part_starts(shards)
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 part, base = batch.column("part")[row].as_py(), batch.column("base")[row].as_py()
                 bounds, ids = open_shard(batch.column("blob")[row].as_py())
-                ends = bounds.values()
+                ends = np.fromiter(map(bounds.select, range(bounds.n)), np.int64, bounds.n)
                 starts = np.concatenate([[0], ends[:-1]])
                 raw = memoryview(ids.astype("<u4")).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
@@ -152,3 +182,24 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.select("part", "base", "doc_ids", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id) -> doc_id, ids (array): the stored ids of some documents; those that are not stored are left out.
+
+    Their places come from the shards' doc_ids; of a shard only the wanted documents are unpacked, by select.
+    """
+    shards = spark.read.parquet(path)
+    places = shards.select("part", "shard", F.posexplode("doc_ids").alias("place", "doc_id")).join(wanted.select(F.col("doc_id").cast("long")).distinct(), "doc_id")
+    places = places.groupBy("part", "shard").agg(F.sort_array(F.collect_list("place")).alias("places"))  # at most a shard's documents
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                bounds, ids = open_shard(batch.column("blob")[row].as_py())
+                at = batch.column("places")[row].as_py()
+                names = batch.column("doc_ids")[row].values.take(pa.array(at))
+                found = [ids[bounds.select(i - 1) if i else 0 : bounds.select(i)].astype(np.int64) for i in at]
+                yield pa.RecordBatch.from_arrays([names, pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return shards.join(places, ["part", "shard"]).select("doc_ids", "places", "blob").mapInArrow(run, "doc_id long, ids array<long>")

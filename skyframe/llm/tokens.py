@@ -2,7 +2,8 @@
 
 A byte-level BPE with the usual word pattern never joins what stands before a single space and what follows it,
 so a text's ids are the ids of its space-led chunks one after another.  Chunks repeat, so each worker keeps the
-ids of those it has met (two generations, bounded) and gives the library only new ones.
+ids of those it has met (a bounded number, the ones met in most batches) in one array, gives the library only new
+ones, and puts a batch's ids together by one gather.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ _SPACE = re.compile(r"(?= \S)")
 
 
 class Encoder:
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -28,13 +29,30 @@ class Encoder:
         self.tok.encode_special_tokens = True
         model = json.loads(self.tok.to_str())
         pre = model.get("pre_tokenizer") or {}
-        self.by_chunk = model.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        plain_tokens = all(t.get("special") for t in model.get("added_tokens") or [])  # others are found across spaces
+        self.by_chunk = plain_tokens and model.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         vocab = self.tok.get_vocab()
         self.n_ids = max(vocab.values()) + 1
         self.width = np.zeros(self.n_ids, np.int64)
         for piece, i in vocab.items():
             self.width[i] = len(piece)  # a character stands for a byte
-        self.keep, self.young, self.old = keep, {}, {}
+        self.keep = keep
+        # A word's slot -> where its ids start in `ids` and how many they are, and the batches that it was met in.
+        self.slot: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint16 if self.n_ids <= 1 << 16 else np.uint32)
+        self.start, self.size, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
+        self.used = 0
+
+    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Puts the ids of new words behind the others; their slots."""
+        n, m = len(self.slot), len(sizes)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + m > len(self.start):
+            self.start, self.size, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.met))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[n : n + m], self.size[n : n + m], self.met[n : n + m] = self.used + np.cumsum(sizes) - sizes, sizes, 0
+        return np.arange(n, n + m)
 
     def _learn(self, words: list[str]) -> None:
         """Ids of " " + word by one call for many: the bytes that ids stand for show where a word ends."""
@@ -43,53 +61,70 @@ class Encoder:
             ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             size = [len(w) if w.isascii() else len(w.encode()) for w in some]
             ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size) + np.arange(1, len(some) + 1)) + 1
-            raw, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
-            self.young.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        young, old = self.young, self.old
-        new = [w for w in words if w not in young]
-        kept = [w for w in new if w in old]
-        young.update(zip(kept, map(old.__getitem__, kept)))
-        self._learn([w for w in new if w not in young])
-        out = list(map(young.__getitem__, words))
-        if len(young) > self.keep:
-            self.old, self.young = young, {}
-        return out
-
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """For each text (null: empty) its ids as little-endian unsigned 32-bit integers."""
+            slots = self._append(ids, np.diff(ends, prepend=0))
+            self.used += len(ids)
+            self.slot.update(zip(some, slots.tolist()))
+
+    def _slots(self, words: list[str]) -> np.ndarray:
+        """The slots of different words."""
+        new = [w for w in words if w not in self.slot]
+        if new:
+            self._learn(new)
+        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        self.met[slots] += 1
+        return slots
+
+    def _forget(self) -> None:
+        """Leaves the half of the words that were met in most batches."""
+        names, n = list(self.slot), len(self.slot)
+        kept = np.sort(np.argsort(-self.met[:n], kind="stable")[: self.keep // 2])
+        ids, sizes, met = self._gather(kept), self.size[kept], self.met[kept]
+        self.slot, self.used = {}, 0
+        self._append(ids, sizes)
+        self.used, self.met[: len(kept)] = len(ids), met
+        self.slot = {names[k]: i for i, k in enumerate(kept.tolist())}
+
+    def _gather(self, slots: np.ndarray) -> np.ndarray:
+        """The ids of slots, one after another."""
+        size = self.size[slots]
+        before = np.cumsum(size) - size
+        return self.ids[np.repeat(self.start[slots] - before, size) + np.arange(int(size.sum()))]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) one after another, and where each text ends."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        plain = self.tok.encode_batch_fast
+        plain = lambda some: [e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
         if not self.by_chunk:
-            return [np.array(e.ids, "<u4").tobytes() for e in plain(texts.to_pylist(), add_special_tokens=False)]
+            out = plain(texts.to_pylist())
+            return np.array([i for ids in out for i in ids], np.uint32), np.cumsum([len(x) for x in out], dtype=np.int64)
+        if len(self.slot) > self.keep:
+            self._forget()
         split = pc.split_pattern(texts, " ")
         # Runs of white space: such texts are cut only where a word begins.
-        odd = np.flatnonzero(pc.match_substring_regex(texts, r"^ | [ \t-\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| $").to_numpy(zero_copy_only=False))
-        cut = {}
-        for i in odd.tolist():
-            first, *rest = _SPACE.split(texts[i].as_py())
-            cut[i] = plain([first], add_special_tokens=False)[0].ids, self._words([w[1:] for w in rest])
+        odd = np.flatnonzero(pc.match_substring_regex(texts, r"^ | [ \t-\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| $").to_numpy(zero_copy_only=False)).tolist()
+        cut = {i: _SPACE.split(texts[i].as_py()) for i in odd}
         code = split.flatten().dictionary_encode()
-        at, code, words = split.offsets.to_numpy().tolist(), code.indices.to_numpy(), code.dictionary.to_pylist()
-        heads = {i for i in range(len(texts)) if i not in cut}
-        first = plain([words[code[at[i]]] for i in sorted(heads)], add_special_tokens=False)
-        first = dict(zip(sorted(heads), (e.ids for e in first)))
-        used = np.zeros(len(words), bool)
+        at, code, words = split.offsets.to_numpy(), code.indices.to_numpy().astype(np.int64), code.dictionary.to_numpy(zero_copy_only=False).tolist()
         inner = np.ones(len(code), bool)
-        inner[[at[i] for i in range(len(texts))]] = False
-        for i in cut:
+        inner[at[:-1]] = False
+        for i in odd:
             inner[at[i] : at[i + 1]] = False
-        used[code[inner]] = True
-        ids: list = [b""] * len(words)
-        spots = np.flatnonzero(used).tolist()
-        for k, x in zip(spots, self._words([words[k] for k in spots])):
-            ids[k] = x
-        code, out = code.tolist(), []
-        for i in range(len(texts)):
-            head, tail = cut[i] if i in cut else (first[i], map(ids.__getitem__, code[at[i] + 1 : at[i + 1]]))
-            out.append(np.array(head, "<u4").tobytes() + b"".join(tail))
-        return out
+        used = np.flatnonzero(np.bincount(code[inner], minlength=len(words)))
+        others = list(dict.fromkeys(w[1:] for i in odd for w in cut[i][1:]))
+        slot_of = np.zeros(len(words), np.int64)
+        slot_of[used] = self._slots([words[k] for k in used.tolist()])
+        other = dict(zip(others, self._slots(others).tolist()))
+        # The beginnings of texts have no space before them: they are looked up by nobody else, so they are not kept.
+        heads = plain([cut[i][0] if i in cut else words[code[at[i]]] for i in range(len(texts))])
+        head = self._append(np.array([i for ids in heads for i in ids], np.uint32), np.array([len(x) for x in heads], np.int64))
+        slots = slot_of[code]
+        slots[at[:-1]] = head
+        counts = np.diff(at).astype(np.int64)
+        if odd:
+            pieces = [slots[at[i] : at[i + 1]] if i not in cut else np.array([head[i], *(other[w[1:]] for w in cut[i][1:])], np.int64) for i in range(len(texts))]
+            slots, counts = np.concatenate(pieces), np.array([len(p) for p in pieces])
+        ends = np.cumsum(self.size[slots])[np.cumsum(counts) - 1] if len(texts) else np.zeros(0, np.int64)
+        return self._gather(slots).astype(np.uint32), ends
 
 
 def encoder(path: str) -> Encoder:
@@ -99,11 +134,15 @@ def encoder(path: str) -> Encoder:
 
 
 def encoded(path: str, texts: pa.Array, most: int = 1 << 23):
-    """(position, ids) of each text, a few MB of text at a time."""
+    """(position, ids) of each text, ids as little-endian unsigned 32-bit integers, a few MB of text at a time."""
     enc = encoder(path)
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < len(texts):
         end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + most)))
-        yield from enumerate(enc.encode(texts.slice(start, end - start)), start)
+        ids, ends = enc.encode(texts.slice(start, end - start))
+        raw, at = ids.astype("<u4").tobytes(), 0
+        for k, stop in enumerate((4 * ends).tolist(), start):
+            yield k, raw[at:stop]
+            at = stop
         start = end

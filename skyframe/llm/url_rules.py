@@ -8,13 +8,11 @@ nest or are apart, so a rule leaves the stack when the first key without its pre
 
 from __future__ import annotations
 
-import json
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, shuffle_partitions
+from .common import Ranges, range_bounds, shuffle_partitions
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,8 +26,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def reversed_host(host: Column) -> Column:
-    """com.example.www. for www.example.com; dots become U+0001, which sorts before all that a label may hold."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\u0001"), F.lit("\u0001"))
+    """com.example.www. for www.example.com; dots become U+0001, which sorts before all that a label may hold.
+
+    A U+0001 or U+0002 in a host has a U+0002 put before it, so none is taken for a dot.
+    """
+    labels = F.split(F.regexp_replace(host, "([\u0001\u0002])", "\u0002$1"), r"\.")
+    return F.concat(F.array_join(F.reverse(labels), "\u0001"), F.lit("\u0001"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", per_sample: int = 40) -> DataFrame:
@@ -49,15 +51,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", per_sample
     urls = urls.withColumn("key", reversed_host(F.col("host"))).withColumn("spread", F.xxhash64("page_id", "path"))
     parts = 2 * shuffle_partitions(spark)
     rows = urls.count()
-    draw = bucket_of(1 << 30, "spread", "key") < F.lit(int(min(1.0, per_sample * parts / max(rows, 1)) * (1 << 30)))
-    sample = sorted((r["key"], r["spread"]) for r in urls.where(draw).select("key", "spread").limit(2 * per_sample * parts).collect())
-    bounds = sorted({sample[k * len(sample) // parts] for k in range(1, parts)}) if sample else []
-    ranges = F.from_json(F.lit(json.dumps([{"bound": k, "at": s} for k, s in bounds])), "array<struct<bound:string,at:bigint>>")
-    at_or_before = lambda k, s: F.aggregate(
-        F.array(*(F.lit(1 << b) for b in range(len(bounds).bit_length() - 1, -1, -1))),
-        F.lit(0),
-        lambda low, step: F.when((low + step <= len(bounds)) & (F.try_element_at(ranges, F.least(low + step, F.lit(max(1, len(bounds))))) <= F.struct(k.alias("bound"), s.alias("at"))), low + step).otherwise(low),
-    )
+    bounds = range_bounds(urls, ["key", "spread"], parts, rows, per_sample)
+    at_or_before = lambda k, s: Ranges(bounds, [k, s], ["string", "bigint"]).index()
     least, most = F.lit(-(1 << 63)).cast("long"), F.lit((1 << 63) - 1)
     asked = urls.select(at_or_before(F.col("key"), F.col("spread")).alias("range"), "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
     lows = F.coalesce(F.col("host").cast("string"), F.lit(""))

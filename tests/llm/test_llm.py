@@ -125,6 +125,8 @@ def test_token_store(spark, docs, empty, tok, shard_ids):
         assert (pd.isna(r.doc_id) if i is None else r.doc_id == i) and r.start == at and r.n_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids.tobytes())
         at += len(ids)
     assert len(got) == len(TEXTS)
+    some = {r.doc_id: r.ids for r in token_store.read_documents(spark, path, spark.createDataFrame([(12,), (14,), (14,), (99,)], "doc_id long")).collect()}
+    assert some == {12: tok(LONG) + [2], 14: tok("a") + [2]}
     token_store.write_token_shards(empty, path := common.new_dir(spark, "t"), BPE, 2)
     assert token_store.read_token_shards(spark, path).count() == 0
 
@@ -155,7 +157,9 @@ def test_language_features_do_not_depend_on_blocks():
 
 # --- 4 digests ------------------------------------------------------------------------------------------------------
 def canon(s):
-    s = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", s).lower())
+    for _ in range(2):
+        s = unicodedata.normalize("NFKC", s).casefold()
+    s = unicodedata.normalize("NFKC", s)
     return re.sub(r"[ \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ", s).strip(" ")
 
 
@@ -181,9 +185,42 @@ def test_digests(request, which):
 
 
 def test_digest_buckets_are_compared_by_bytes(spark):
-    forms = spark.createDataFrame([("b1", "x"), ("b1", "y"), ("b1", "x"), ("b2", "z")], "bucket string, canon string")
+    forms = spark.createDataFrame([(1, 1, "x"), (1, 1, "y"), (1, 1, "x"), (2, 1, "z")], "h1 long, h2 long, canon string")
     got = digest.bucket_classes(forms).collect()
-    assert sorted((r.bucket, r.place) for r in got) == [("b1", 0), ("b1", 1)]
+    assert sorted((r.h1, r.place) for r in got) == [(1, 0), (1, 1)]
+
+
+def test_digests_tell_colliding_texts_apart(spark, monkeypatch):
+    """With a digest that is only the text's length, equal buckets are common, and bytes decide."""
+    monkeypatch.setattr(digest, "wide_hash", lambda c: (F.char_length(c).cast("long"), F.lit(0).cast("long")))
+    texts = ["aaaa", "bbbb", "AAAA", "abcd", "zz", "zz", "abbb", ""]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = digest.digests(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    edit = [t[: len(t) - len(t) // 2] + texts[(i + 1) % len(texts)][: len(t) // 2] for i, t in rows]
+    seen = {}
+    for i, t in rows:
+        assert seen.setdefault(canon(t), got.fingerprint[i]) == got.fingerprint[i] and seen.setdefault(canon(edit[i]), got.edited_fingerprint[i]) == got.edited_fingerprint[i]
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_digests_fold_case(spark):
+    rows = [(1, "Straße"), (2, "STRASSE"), (3, "ΟΔΟΣ"), (4, "οδοσ"), (5, "οδος"), (6, "ﬁn"), (7, "FIN"), (8, "strase")]
+    got = digest.digests(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id").fingerprint
+    assert got[1] == got[2] and got[3] == got[4] == got[5] and got[6] == got[7] and got.nunique() == 4
+
+
+def test_with_next_of_repeated_and_null_ids(spark):
+    """A third of the rows has one doc_id and a third none; the successors of all rows form one ring."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.text: r.next_text for r in digest.with_next(df, {}, ["text"]).collect()}
+    ids, at, seen = {t: i for i, t in rows}, "text 0", []
+    for _ in rows:
+        seen.append(at)
+        at = got[at]
+    assert at == "text 0" and len(set(seen)) == 600
+    turn = [(ids[t] is not None, ids[t] or 0) for t in seen]
+    assert sum(a > b for a, b in zip(turn, turn[1:] + turn[:1])) == 1
 
 
 def test_digests_of_one_and_none(spark, empty):
@@ -401,7 +438,7 @@ def test_deduplicated(docs, empty):
 
 
 # --- 9 URL rules ----------------------------------------------------------------------------------------------------
-URLS = [None, "", "example.com/en/", "http://example.com/en/x", "HTTP://WWW.Example.COM/en/1?q#f", "http://a.www.example.com/en/", "http://badexample.com/en/", "http://x.net/es/", "http://net/fr/?", "http://x.net", "http://com", "http://com/", "ftp://u@h.com:80/x", "a://b://c.com/", "http://example.com\n/en/x", "http:///path", "http://x.com#/y"]
+URLS = [None, "", "example.com/en/", "http://example.com/en/x", "HTTP://WWW.Example.COM/en/1?q#f", "http://a.www.example.com/en/", "http://badexample.com/en/", "http://x.net/es/", "http://net/fr/?", "http://x.net", "http://com", "http://com/", "ftp://u@h.com:80/x", "a://b://c.com/", "http://example.com\n/en/x", "http:///path", "http://x.com#/y", "http://com\x01x/", "http://a\x02.com\x01.x.com/", "http://\x01.com/"]
 
 
 def slow_judge(url, rules, default="allow"):
