@@ -143,24 +143,25 @@ def fit_languages(docs: DataFrame, most: int = 1600) -> LanguageModel | None:
 
 
 def with_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """Adds _lang_pred and _score to all columns of `docs`, of which only `text` is looked at."""
+    """(row, lang, score): the rows of `docs` as structs, of which only `text` is looked at, so any column may be beside it."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 langs, score = ["und"] * some.num_rows, np.zeros(some.num_rows)
-                known = np.flatnonzero(some.column("_letters").to_numpy(zero_copy_only=False)) if model else []
+                text = some.column("seen")
+                known = np.flatnonzero(text.is_valid().to_numpy(zero_copy_only=False)) if model else []
                 if len(known):
-                    names, score[known] = model.predict(features(some.column("text").take(pa.array(known)).to_pylist()))
+                    names, score[known] = model.predict(features(text.take(pa.array(known)).to_pylist()))
                     for k, name in zip(known.tolist(), names):
                         langs[k] = name
-                cols = [some.column(k) for k, name in enumerate(some.schema.names) if name != "_letters"]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(score)], names=[*(n for n in some.schema.names if n != "_letters"), "_lang_pred", "_score"])
+                yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(langs, pa.string()), pa.array(score)], names=["row", "lang", "score"])
 
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
-    return docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct("*").alias("row"), F.when(text.rlike(r"\p{L}"), text).alias("seen"))
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -169,11 +170,16 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     A null text or one without a letter, and any text where there is no model, is `und` with score 0.  Rows stay as
     often as they come; an empty table gives an empty result; other columns are left out.
     """
-    found = with_language(docs.select(F.col("doc_id").cast("long"), "text"), model)
-    return found.select("doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    found = with_language(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return found.select("row.doc_id", F.col("lang").alias("lang_pred"), "score")
 
 
 def in_a_language(docs: DataFrame) -> DataFrame:
-    """The documents whose language is known, with it as their lang; the columns of `docs`."""
-    found = with_language(docs, fit_languages(docs)).where("_lang_pred <> 'und'")
-    return found.withColumn("lang", F.col("_lang_pred")).drop("_lang_pred", "_score")
+    """The documents whose language is known, with it as their lang; the columns of `docs`, whatever they are called.
+
+    Null texts and texts without a letter go.  Rows that repeat stay as often as they come; where nothing is labelled
+    no language is known and none stays; an empty table gives an empty result.
+    """
+    found = with_language(docs, fit_languages(docs)).where("lang <> 'und'")
+    kept = [F.col("lang") if c.lower() == "lang" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return found.select(*kept)

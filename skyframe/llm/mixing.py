@@ -32,13 +32,14 @@ class Mixture:
     aim: list[float] = field(default_factory=list)
     reached: list[float] = field(default_factory=list)
 
-    def rate(self, p: Column) -> Column:
-        """The rate of a document with posteriors p (an array in the order of the domains)."""
-        if not self.history:
-            return F.lit(1.0)
-        grads = F.array(*(F.array(*(F.lit(float(g)) for g in row)) for row in self.history))
+    def rate(self, p: Column, start: Column | None = None, after: int = 0) -> Column:
+        """The rate of a document with posteriors p (an array in the order of the domains), or from its rate after so many steps."""
+        start, history = start if start is not None else F.lit(1.0), self.history[after:]
+        if not history:
+            return start
+        grads = F.array(*(F.array(*(F.lit(float(g)) for g in row)) for row in history))
         inner = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
-        return F.aggregate(grads, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - F.lit(self.step) * inner(g)))
+        return F.aggregate(grads, start, lambda r, g: F.greatest(F.lit(0.0), r - F.lit(self.step) * inner(g)))
 
 
 def surface(docs: DataFrame) -> DataFrame:
@@ -92,20 +93,30 @@ def posteriors(docs: DataFrame, fitted: tuple[PipelineModel, list[str]] | None)
     return rows.drop("_words", "_a", "_b", "_c", "_d", "_tf", "_x", "_p", "_y", "_z")
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], scale: float | None = None, steps: int = 40, close: float = 1e-4, exact: int = 30) -> Mixture:
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], scale: float | None = None, steps: int = 40, close: float = 1e-4, exact: int = 30, headroom: float = 1.25, keep_every: int = 8) -> Mixture:
     """(tokens, p) and target weights -> the mixture whose expected totals are the targets' shares of all tokens.
 
     `scale`: the expected tokens of the result over those of the input.  By default as many as let every domain
-    with a target keep at least what it has, so that a mixture repeats rather than drops.  A domain without a
-    target has target 0.  Gradient steps end when no total moves by more than `close` of its target (of all tokens,
+    with a target keep at least `headroom` times what it has, so that a mixture repeats rather than drops: a document
+    of such a domain is then wanted at least once, even if a little of it looks like a domain to leave out.  A domain
+    without a target has target 0.  Gradient steps end when no total moves by more than `close` of its target (of all tokens,
     where that is 0), or after `steps`.  A small move is not a small distance, so up to `exact` Newton steps over the
     domains with a target follow, until each total is within `close` of its target; one that does not help is
-    replaced by a gradient step.  `reached` has the totals, which are off where no rates >= 0 have those of the targets.
+    replaced by a gradient step.  After every `keep_every` steps the rates are written, so that a step costs no more
+    the later it comes.  `reached` has the totals, which are off where no rates >= 0 have those of the targets.
     """
     k = len(domains)
     weight = [max(0.0, float(targets.get(d, 0.0))) for d in domains]
     pairs = [(d, e) for d in range(k) if weight[d] for e in range(d, k) if weight[e]]
-    seen = lambda mixture: members.select("tokens", "p", mixture.rate(F.col("p")).alias("_r"))
+    at = {"rows": members.select("tokens", "p", F.lit(1.0).alias("_r0")), "steps": 0}
+
+    def seen(mixture):
+        if len(mixture.history) - at["steps"] > keep_every:  # the last step may yet be replaced
+            done = Mixture(domains, mixture.history[:-1], mixture.step)
+            at["rows"] = staged(at["rows"].select("tokens", "p", done.rate(F.col("p"), F.col("_r0"), at["steps"]).alias("_r0")), "rates")
+            at["steps"] = len(done.history)
+        return at["rows"].select("tokens", "p", mixture.rate(F.col("p"), F.col("_r0"), at["steps"]).alias("_r"))
+
     totals = [F.sum(F.col("_r") * F.col("tokens") * F.col("p")[d]).alias(f"s{d}") for d in range(k)]
     bends = [F.sum(F.when(F.col("_r") > 0, F.col("tokens") * F.col("p")[d] * F.col("p")[e])).alias(f"m{d}_{e}") for d, e in pairs]
     sums = lambda mixture, *more: [x or 0.0 for x in seen(mixture).agg(*totals, *more).first()]
@@ -115,7 +126,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     if not total or not wanted:
         return Mixture(domains, [], 0.0, have, have)
     if scale is None:
-        scale = max([h / (w / wanted) for h, w in zip(have, weight) if w and h] or [total]) / total
+        scale = headroom * max([h / (w / wanted) for h, w in zip(have, weight) if w and h] or [total]) / total
     aim = mixture.aim = [scale * total * w / wanted for w in weight]
     base = [max(h, 1e-9 * total) for h in have]
     grads = lambda now: [(s - a) / b for s, a, b in zip(now, aim, base)]
@@ -152,24 +163,30 @@ def newton(now: list[float], aim: list[float], bent: dict[tuple[int, int], float
     return out
 
 
-def copies(rate: Column, *seed: Column) -> Column:
-    """The rate's floor, or one more for a share of documents drawn by a hash; one at least from a rate of a half on.
+def copies(rate: Column, *seed: Column, keep_once: bool = False) -> Column:
+    """The rate's floor, or one more for a share of documents drawn by a hash: the rate, on average.
 
-    So a document that is wanted about once is not lost to the draw.
+    `keep_once`: at least one from a rate of a half on, which gives such domains more than their targets.
     """
     draw = F.pmod(F.xxhash64(*seed, F.lit("copies")), F.lit(1 << 30)) / F.lit(1 << 30)
     drawn = F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
-    return F.greatest(drawn, F.when(rate >= 0.5, 1).otherwise(0)).cast("int")
+    return (F.greatest(drawn, F.when(rate >= 0.5, 1).otherwise(0)) if keep_once else drawn).cast("int")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """The documents themselves, each as often as mix() says, with the columns of `docs`."""
+    """The documents themselves, each as often as mix() says, with the columns of `docs`, whatever they are called.
+
+    Texts are cut into words and scored once, and written beside their rows.  Null and empty texts have a rate by
+    their posteriors like any other; rows that repeat do so on top of it; without labels all stay; an empty table
+    gives an empty result.
+    """
     fitted = fit_domains(docs, labels)
     if fitted is None:
         return docs
     seen = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    mixture = fit_rates(staged(posteriors(seen, fitted).select("tokens", "p"), "members"), fitted[1], targets)
-    rows = posteriors(seen, fitted).withColumn("_n", copies(mixture.rate(F.col("p")), F.col("doc_id")))
+    rows = staged(posteriors(seen, fitted).select("_row", "doc_id", "tokens", "p"), "scored")
+    mixture = fit_rates(rows, fitted[1], targets)
+    rows = rows.withColumn("_n", copies(mixture.rate(F.col("p")), F.col("doc_id")))
     return rows.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
 
 

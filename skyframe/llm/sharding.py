@@ -2,9 +2,11 @@
 
 A link column groups documents (equal texts, one host, ...); all members of a group are neighbours.  A group is
 a star around its value rather than all pairs, and what a member needs to know of it is how many members each shard
-holds: one row for each group.  A round counts those votes, lets every document propose the best open shard, and
-admits proposals as far as the shard's quota goes, those that gain most first.  Documents without links are the
-ballast that keeps shards even: they give way to linked ones, and only as many move as must.
+holds: one row for each group.  A round counts those votes and lets every document propose the best shard.  As many
+proposals from one shard to another are admitted as come back from there, and beyond that as many as there is room
+for, those that gain most first.  Every other round only shards with room may be proposed, for what finds no exchange.
+Documents without links are the ballast that keeps shards even: they give way to linked ones, and only as many move
+as must.
 """
 
 from __future__ import annotations
@@ -12,16 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, cut, gapless_rank, hot_lookup, staged
+from .common import cut, gapless_rank, hot_lookup, shuffle_partitions, staged
 
-STEPS = 1024  # hash steps that a shard's proposals of equal gain are admitted in
 
-
-def balanced_shards(nodes: DataFrame, links: list[str], shards: int = 24, rounds: int = 40) -> DataFrame:
+def balanced_shards(nodes: DataFrame, links: list[str], shards: int = 24, rounds: int = 40, settled: float = 1e-4) -> DataFrame:
     """Adds shard and slot to `nodes`, whose `node` counts from 0 without gaps; shard sizes differ by one at most.
 
-    `slot` counts from 0 without gaps within a shard.  Rounds end when none moves anything; `rounds` bounds them.
-    Null link values link nothing.  An empty table gives an empty result.
+    `slot` counts from 0 without gaps within a shard.  Rounds end when two in turn move fewer than `settled` of the
+    linked documents; `rounds` bounds them.  Null link values link nothing.  An empty table gives an empty result.
     """
     shards = int(shards)
     rows = nodes.count()
@@ -34,40 +34,23 @@ def balanced_shards(nodes: DataFrame, links: list[str], shards: int = 24, rounds
         linked = linked | F.coalesce(f"_linked_{c}", F.lit(False))
     nodes = staged(nodes.withColumn("_linked", linked), "nodes")
     state = cut(nodes.where("_linked").select("node", "shard", *links))
-    members, closed = state.count(), set()
+    members, quiet, exchange = state.count(), 0, True
+    parts = shuffle_partitions(nodes.sparkSession)  # rounds are written as tables, from which no conditions of earlier rounds are inferred
     for turn in range(rounds if members else 0):
         load = _sizes(state, shards)
-        voted = state
-        for c in links:
-            votes = state.where(F.col(c).isNotNull()).groupBy(c, "shard").agg(F.count(F.lit(1)).alias("n"))
-            votes = votes.groupBy(c).agg(F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias(f"_v_{c}"), F.sum("n").alias("_n"))
-            voted = hot_lookup(voted, cut(votes), c, members)
-        score = lambda s: sum((F.coalesce(F.try_element_at(f"_v_{c}", s), F.lit(0)) for c in links), F.lit(0))
-        # Equal scores: the first shard after the group's own number, the same for all of its members.
-        rated = lambda s: F.struct(score(s).alias("score"), F.pmod(F.hash(*links) - s, F.lit(shards)).alias("tie"), s.alias("shard"))
-        is_open = F.array(*(F.lit(load[s] < quota[s] and s not in closed) for s in range(shards)))
-        choice = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: (s == F.col("shard")) | is_open[s])
-        asked = voted.withColumn("best", F.array_max(F.transform(choice, rated))).withColumn("own", rated(F.col("shard")))
-        gain = F.floor(F.log2(F.col("best.score") - F.col("own.score") + F.lit(len(links)) + 1)).cast("int")
-        asked = cut(asked.select("node", "shard", *links, F.col("best.shard").alias("to"), gain.alias("gain"), bucket_of(STEPS, "node", F.lit(turn)).alias("step")))
-        wants = asked.where("to <> shard").groupBy("to", "gain", "step").agg(F.count(F.lit(1)).alias("n"))
-        # At most shards x gains x STEPS rows: the cut of each shard is found without seeing documents.
-        over = "PARTITION BY to ORDER BY gain DESC, step"
-        wants = wants.selectExpr("*", f"sum(n) OVER ({over}) AS total", "sum(n) OVER (PARTITION BY to) AS wanted")
-        room = F.array(*(F.lit(quota[s] - load[s]) for s in range(shards)))
-        cuts = wants.withColumn("fits", F.col("total") <= room[F.col("to")]).groupBy("to").agg(
-            F.max("wanted").alias("wanted"), F.sum(F.when(F.col("fits"), F.col("n")).otherwise(0)).alias("taken"),
-            F.max(F.when(F.col("fits"), F.struct((-F.col("gain")).alias("g"), "step"))).alias("last"),
-        ).collect()  # one row for each shard
-        moved = sum(r["taken"] for r in cuts)
-        full = {r["to"] for r in cuts if r["taken"] < r["wanted"]}
-        if not moved and full <= closed:
-            break
-        closed |= full
-        last = F.create_map(*(x for r in cuts if r["last"] for x in (F.lit(r["to"]), F.struct(F.lit(r["last"]["g"]).alias("g"), F.lit(r["last"]["step"]).alias("step"))))) if moved else None
+        room = [max(0, q - n) for q, n in zip(quota, load)]
+        asked = staged(_proposals(state, links, members, shards, turn, [s for s in range(shards) if room[s] or exchange]).coalesce(parts), "asked")
+        flows = asked.where("to <> shard").groupBy("shard", "to", "gain").agg(F.count(F.lit(1)).alias("n")).collect()  # shards^2 x gains at most
+        limits = _admitted([tuple(r) for r in flows], room)
+        moved = sum(x[-1] for x in limits)
         if moved:
-            goes = (F.col("to") != F.col("shard")) & F.coalesce(F.struct((-F.col("gain")).alias("g"), "step") <= last[F.col("to")], F.lit(False))
-            state = cut(asked.select("node", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard"), *links))
+            state = staged(_moved(asked, limits, members, links).coalesce(parts), "state")
+        if moved > settled * members:
+            quiet = 0
+            continue
+        quiet, exchange = quiet + 1, not exchange
+        if quiet == 2:
+            break
     load = _sizes(state, shards)
     placed = gapless_rank(state.select("node", "shard"), ["shard"], ["node"], members, "slot") if members else state.select("node", "shard", F.lit(0).cast("long").alias("slot"))
     ballast = nodes.where("NOT _linked").select("node", "shard")
@@ -93,6 +76,93 @@ def balanced_shards(nodes: DataFrame, links: list[str], shards: int = 24, rounds
     return nodes.drop("shard", "_linked", *(f"_linked_{c}" for c in links)).join(placed, "node")
 
 
+def _proposals(state: DataFrame, links: list[str], members: int, shards: int, turn: int, allowed: list[int]) -> DataFrame:
+    """state with `to`, the allowed shard (or the own one) with most neighbours, and `gain`, the logarithm of how many more it has."""
+    voted = state
+    for c in links:
+        votes = state.where(F.col(c).isNotNull()).groupBy(c, "shard").agg(F.count(F.lit(1)).alias("n"))
+        votes = votes.groupBy(c).agg(F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias(f"_v_{c}"), F.sum("n").alias("_n"))
+        voted = hot_lookup(voted, cut(votes), c, members)
+    score = lambda s: sum((F.coalesce(F.try_element_at(f"_v_{c}", s), F.lit(0)) for c in links), F.lit(0))
+    # Equal scores: the first shard after the group's number for the round, the same for all of its members.
+    rated = lambda s: F.struct(score(s).alias("score"), F.pmod(F.hash(*links, F.lit(turn)) - s, F.lit(shards)).alias("tie"), s.alias("shard"))
+    choice = F.array_append(F.array(*map(F.lit, allowed)).cast("array<int>"), F.col("shard"))
+    voted = voted.withColumn("best", F.array_max(F.transform(choice, rated))).withColumn("own", rated(F.col("shard")))
+    gain = F.floor(F.log2(F.col("best.score") - F.col("own.score") + F.lit(len(links)) + 1)).cast("int")
+    return voted.select("node", "shard", *links, F.col("best.shard").alias("to"), gain.alias("gain"))
+
+
+def _admitted(flows: list[tuple[int, int, int, int]], room: list[int]) -> list[tuple[int, int, int, int]]:
+    """(shard, to, gain, proposals) -> (shard, to, gain, how many of them are admitted).
+
+    Exchanges, in which every shard gives as many as it takes, come first; what is left fills the room.
+    """
+    total: dict[tuple[int, int], int] = {}
+    for f, t, _, n in flows:
+        total[f, t] = total.get((f, t), 0) + n
+    swaps, room, out = _exchanges(total), list(room), []
+    for f, t, gain, n in sorted(flows, key=lambda x: (-x[2], x[0], x[1])):
+        swapped = min(n, swaps[f, t])
+        swaps[f, t] -= swapped
+        filled = min(n - swapped, room[t])
+        room[t] -= filled
+        if swapped + filled:
+            out.append((f, t, gain, swapped + filled))
+    return out
+
+
+def _exchanges(total: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
+    """What of the flows between shards goes round in circles: direct exchanges, then longer circles as a walk finds them."""
+    taken = {(f, t): min(n, total.get((t, f), 0)) for (f, t), n in total.items()}
+    left: dict[int, dict[int, int]] = {}
+    for (f, t), n in sorted(total.items()):
+        if n > taken[f, t]:
+            left.setdefault(f, {})[t] = n - taken[f, t]
+    for start in sorted(left):
+        path = [start]
+        while path:
+            ahead = left.get(path[-1])
+            if not ahead:  # leads nowhere
+                dead = path.pop()
+                if path:
+                    del left[path[-1]][dead]
+                continue
+            t = next(iter(ahead))
+            if t not in path:
+                path.append(t)
+                continue
+            circle = [*path[path.index(t) :], t]
+            push = min(left[a][b] for a, b in zip(circle, circle[1:]))
+            for a, b in zip(circle, circle[1:]):
+                taken[a, b] += push
+                left[a][b] -= push
+                if not left[a][b]:
+                    del left[a][b]
+            path = path[: path.index(t) + 1]
+    return taken
+
+
+def _moved(asked: DataFrame, limits: list[tuple[int, int, int, int]], members: int, links: list[str]) -> DataFrame:
+    """The new state: where not all proposals of a kind are admitted, the first ones in the order of a hash."""
+    kinds = asked.sparkSession.createDataFrame(limits, "shard int, to int, gain int, _most long")
+    counts = asked.where("to <> shard").groupBy("shard", "to", "gain").agg(F.count(F.lit(1)).alias("_all"))
+    kinds = F.broadcast(kinds.join(counts, ["shard", "to", "gain"]))  # shards^2 x gains at most
+    asked = asked.join(kinds, ["shard", "to", "gain"], "left")
+    partly = gapless_rank(asked.where("_most < _all").withColumn("_mix", F.xxhash64("node")), ["shard", "to", "gain"], ["_mix", "node"], members, "_k")
+    go = asked.where("_most IS NULL OR _most >= _all").withColumn("_go", F.col("_most").isNotNull())
+    go = go.select("node", "shard", "to", "_go", *links).unionByName(partly.select("node", "shard", "to", (F.col("_k") < F.col("_most")).alias("_go"), *links))
+    return go.select("node", F.when(F.col("_go"), F.col("to")).otherwise(F.col("shard")).alias("shard"), *links)
+
+
+def cut_share(placed: DataFrame, link: str) -> float:
+    """The share of linked rows that are not in the shard with most of their group: what propagation is to make small."""
+    here = placed.where(F.col(link).isNotNull()).groupBy(link, "shard").agg(F.count(F.lit(1)).alias("n"))
+    groups = here.groupBy(link).agg(F.sum("n").alias("n"), F.max("n").alias("top")).where("n > 1")
+    n, top = groups.agg(F.sum("n"), F.sum("top")).first()
+    return 1 - top / n if n else 0.0
+
+
+
 def _sizes(df: DataFrame, shards: int) -> list[int]:
     found = {r["shard"]: r["n"] for r in df.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     return [found.get(s, 0) for s in range(shards)]

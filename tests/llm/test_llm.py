@@ -101,6 +101,29 @@ def test_sharding_group_larger_than_a_shard(spark):
     assert len(hot) <= 10 and (hot == 100).sum() >= 6
 
 
+def test_sharding_where_every_text_occurs_twice(spark):
+    """All shards are full from the start, so only exchanges bring copies together."""
+    n = 4808
+    rows = [(i, f"text {i * 7919 % n // 2}") for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.shard_documents(df, 24)
+    check_shards(out.toPandas(), n, 24)
+    start = df.select(F.crc32(F.col("text").cast("binary")).alias("text_crc32"), (F.col("doc_id") % 24).alias("shard"))
+    assert sharding.cut_share(start, "text_crc32") > 0.4 and sharding.cut_share(out, "text_crc32") < 0.1
+
+
+def test_admitted_proposals_keep_loads_within_quotas():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        flows = [(f, t, g, int(rng.integers(1, 30))) for f in range(5) for t in range(5) for g in range(3) if f != t and rng.random() < 0.6]
+        room = rng.integers(0, 20, 5).tolist()
+        got = sharding._admitted(flows, room)
+        asked = {x[:3]: x[3] for x in flows}
+        assert all(0 < n <= asked[f, t, g] for f, t, g, n in got)
+        net = [sum(n for f, t, _, n in got if t == s) - sum(n for f, t, _, n in got if f == s) for s in range(5)]
+        assert all(x <= r for x, r in zip(net, room))
+
+
 # --- 2 token store --------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("ends", [[0], [5], [1, 1, 1, 9], list(range(0, 5000, 7)), [0, 0, 0, 100000], []])
 def test_elias_fano(ends):
@@ -469,6 +492,9 @@ def test_mixing_reaches_targets(spark):
     assert len(out) == real.count() and (out.rate >= 0).all()
     total = {d: (out.tokens * out[f"p_{d}"] * out.rate).sum() for d in queries.TARGETS}
     assert total["plain"] / total["good"] == pytest.approx(15 / 85, rel=0.05) and total["toxic"] < 0.05 * total["good"]
+    used = {d: (out.tokens * out[f"p_{d}"] * out.copies).sum() for d in queries.TARGETS}
+    assert used["good"] == pytest.approx(total["good"], rel=0.05) and used["plain"] == pytest.approx(total["plain"], rel=0.05)
+    assert (out.copies - out.rate).abs().max() < 1 and abs((out.copies - out.rate).mean()) < 0.05  # no fraction is rounded one way
     lab = duckdb.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.01/labels.parquet'").df()
     seen = out.merge(lab, on="doc_id")
     assert (seen[seen.toxic == 1].copies == 0).mean() > 0.9 and (seen[seen.toxic == 0].copies > 0).mean() > 0.97
@@ -481,7 +507,7 @@ def test_rates_are_projected_least_squares(spark):
     m = mixing.fit_rates(members, ["a", "b", "c"], {"a": 0.5, "b": 0.3, "c": 0.2}, steps=200, close=1e-9)
     rate = np.array([r[0] for r in members.select(m.rate(F.col("p"))).collect()])
     have = (t[:, None] * p).sum(0)
-    aim = np.array([0.5, 0.3, 0.2]) * max(have / [0.5, 0.3, 0.2])
+    aim = 1.25 * np.array([0.5, 0.3, 0.2]) * max(have / [0.5, 0.3, 0.2])
     r = np.ones(300)
     for _ in m.history:
         r = np.maximum(0, r - p @ ((((r * t)[:, None] * p).sum(0) - aim) / have))
@@ -503,6 +529,12 @@ def test_rates_reach_rare_and_overlapping_targets(spark):
     assert np.allclose(reached / reached.sum(), [0.52, 0.4799, 0.0001], rtol=1e-3)
 
 
+def test_copies_are_unbiased(spark):
+    df = spark.range(40_000).select("id", (F.col("id") % 8 * 0.3).alias("rate"))
+    got = df.select("rate", mixing.copies(F.col("rate"), F.col("id")).alias("n"), mixing.copies(F.col("rate"), F.col("id"), keep_once=True).alias("k")).groupBy("rate").agg(F.avg("n").alias("n"), F.min("k").alias("k")).toPandas()
+    assert np.allclose(got.n, got.rate, atol=0.03) and (got.k[got.rate >= 0.5] >= 1).all()
+
+
 def test_mixing_edges(spark, docs, empty):
     labels = spark.createDataFrame([(5, "good"), (9, "plain"), (9, "good"), (1, None), (None, "good")], "doc_id long, domain string")
     out = mixing.mix(docs, labels, {"good": 1.0, "plain": 1.0}).toPandas()
@@ -538,6 +570,25 @@ def test_pipeline_stages(spark, real, tok):
     assert packed.agg(F.sum("length")).first()[0] == want
 
 
+def test_stages_take_any_columns_and_rows(spark, docs, empty, real):
+    """Columns whose names clash with those that stages make, null and empty texts, repeated rows, empty tables."""
+    names = ["_letters", "_score", "_lang_pred", "row", "seen", "score", "_row", "_n", "_copy", "tokens", "p", "_words", "component_id", "fp", "least", "key"]
+    more = lambda df: df.withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    rows = more(real.unionByName(docs.select(*real.columns)))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, SF)
+        assert stage(spark, more(empty), SF).count() == 0
+        if name == "packing":
+            assert out.agg(F.count_distinct("doc_id")).first()[0] == rows.agg(F.count_distinct("doc_id")).first()[0]
+            continue
+        assert out.columns == rows.columns
+        kept = out.collect()
+        assert kept and all(r[n] == k for r in kept for k, n in enumerate(names))
+        assert {(r.doc_id, r.text) for r in kept} <= {(r.doc_id, r.text) for r in rows.collect()}
+        if name == "language":
+            rows = out
+
+
 # --- queries with SQL -----------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
