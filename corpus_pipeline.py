@@ -19,18 +19,22 @@ from skyframe.llm.simhash import deduplicated
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a letter; null, empty and letterless ones go, rows that repeat stay, other columns are kept."""
     return in_a_language(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group, once; empty and null texts are one group; rows without a doc_id all stay."""
     return deduplicated(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as its rate says, on average; rows that repeat do so on top of it; without labels all stay once."""
     return mixed(docs, domain_labels(spark, sf_dir), TARGETS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their sequence and offset: every row of the mixture is packed, a null or empty text as its end id."""
     return pack_documents(docs, byte_bpe(), end_id=0, capacity=2048)
 
 
