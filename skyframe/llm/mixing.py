@@ -201,6 +201,6 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> DataFr
     fitted = fit_domains(docs, labels)
     domains = fitted[1] if fitted else ["all"]
     members = staged(posteriors(docs, fitted).select("doc_id", "tokens", "p"), "members")
-    mixture = fit_rates(members, domains, targets if fitted else {"all": 1.0})
+    mixture = fit_rates(members, domains, targets) if fitted else Mixture(domains, [], 0.0)
     out = members.withColumn("rate", mixture.rate(F.col("p")))
     return out.select("doc_id", "tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
