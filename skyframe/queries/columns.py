@@ -122,15 +122,16 @@ _LAM = 1 - 0.3089
 _AGE = 2 / (67.74 * 3 * math.sqrt(_LAM)) * (3.085678e19 / 3.15576e7 / 1e9)
 
 
-@query("f18_cosmology", f"SELECT snap, round({_AGE!r} * asinh(pow(1 + redshift, -1.5) * {math.sqrt(_LAM / 0.3089)!r}), 6) AS age, round(redshift, 4) AS back FROM snapshots")
+@query("f18_cosmology", f"SELECT tracer_id, snap, round({_AGE!r} * asinh(pow(1 + redshift, -1.5) * {math.sqrt(_LAM / 0.3089)!r}), 6) AS age, round(redshift, 4) AS back FROM tracks JOIN snapshots USING (snap)")
 def f18(t):
     age = SIM.age_gyr("redshift")
-    return t.snapshots.select("snap", F.round(age, 6).alias("age"), F.round(SIM.redshift_at(age), 4).alias("back"))
+    rows = t.tracks.join(t.snapshots, "snap")
+    return rows.select("tracer_id", "snap", F.round(age, 6).alias("age"), F.round(SIM.redshift_at(age), 4).alias("back"))
 
 
 @query("f18b_comoving_distance")
 def f18b(t):
-    return t.snapshots.select("snap", F.round(SIM.comoving_distance("redshift"), 4).alias("mpc"))
+    return t.tracks.join(t.snapshots, "snap").select("tracer_id", "snap", F.round(SIM.comoving_distance("redshift"), 4).alias("mpc"))
 
 
 _SHIELD = "(0.00673 * pow(({0}) / 2.49e-18, -2.0 / 3) * pow(value / 1e4, 0.17) * pow(({1}) / 1e-12, 2.0 / 3) * pow(0.167 / 0.17, -1.0 / 3))".format("2.37e-18 + 0.5 * (2.27e-18 - 2.37e-18)", "3.03e-13 + 0.5 * (6e-13 - 3.03e-13)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching as M
 from ..operators import membership as O
-from ..operators.ordering import nth_rows
+from ..operators.ordering import nth_rows, row_index
 from ..plans.roles import query
 
 def step():
@@ -182,10 +182,9 @@ def j9(t):
     return rows.select("sub_id", F.round(separation("xyz", ["cx", "cy", "cz"], 1000.0), 6).alias("distance"), host.alias("host_mass"))
 
 
-@query("j10_owner_of_row", "SELECT i AS row_index, sub_id FROM range(0, 2000) r(i) LEFT JOIN (SELECT * FROM lens WHERE len > 2) ON i >= start AND i < start + len")
+@query("j10_owner_of_row", "SELECT row_index, l.sub_id FROM particles p LEFT JOIN (SELECT sub_id FROM lens WHERE len > 2) l ON p.sub_id = l.sub_id")
 def j10(t):
-    points = t.particles.where("row_index < 2000").select("row_index")
-    return O.interval_lookup(points, t.lens.where("len > 2"), "row_index", "start", "len", ["sub_id"])
+    return O.interval_lookup(t.particles.select("row_index"), t.lens.where("len > 2"), "row_index", "start", "len", ["sub_id"])
 
 
 @query("j11_owner_halo_of_row", "SELECT halo_id, count(*) AS n FROM particles WHERE sub_id IN (SELECT sub_id FROM lens) GROUP BY 1")
@@ -231,17 +230,16 @@ def j16(t):
     return t.particles.select("sub_id", "row_index").join(t.subs.where("mass > 450000").select("sub_id"), "sub_id")
 
 
-@query("j17_ordered_children", "SELECT row_index, halo_id, pt, CAST(row_number() OVER (PARTITION BY halo_id ORDER BY pt, row_index) - 1 AS BIGINT) AS place FROM particles WHERE halo_id < 50")
+@query("j17_ordered_children", "SELECT row_index, halo_id, pt, CAST(row_number() OVER (PARTITION BY halo_id ORDER BY pt, row_index) - 1 AS BIGINT) AS place FROM particles WHERE halo_id IS NOT NULL")
 def j17(t):
-    from pyspark.sql import Window
+    """Children of every halo by type and row, in two levels, so that a halo with most of the rows is many tasks' work."""
+    rows = t.particles.where("halo_id is not null").select("row_index", "halo_id", "pt")
+    return row_index(rows, ["pt", "row_index"], F.struct("pt", F.floor(F.col("row_index") / 65536)), ["halo_id"], "place")
 
-    w = Window.partitionBy("halo_id").orderBy("pt", "row_index")
-    return t.particles.where("halo_id < 50").select("row_index", "halo_id", "pt", (F.row_number().over(w) - 1).cast("long").alias("place"))
 
-
-@query("j18_typed_parents", "SELECT event_id, CASE WHEN s_suppkey IS NOT NULL THEN 2 WHEN n_nationkey IS NOT NULL THEN 1 END AS parent_type FROM events LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) ON user_id = s_suppkey LEFT JOIN nation ON user_id = n_nationkey")
+@query("j18_typed_parents", "SELECT event_id, CASE WHEN n_nationkey IS NOT NULL THEN 1 WHEN s_suppkey IS NOT NULL THEN 2 END AS parent_type FROM events LEFT JOIN supplier ON user_id = s_suppkey LEFT JOIN nation ON user_id = n_nationkey")
 def j18(t):
-    kinds = [(2, t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("row"))), (1, t.nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").cast("long").alias("row")))]
+    kinds = [(1, t.nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").cast("long").alias("row"))), (2, t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("row")))]
     return M.resolve_typed(t.events.select("event_id", "user_id"), kinds, "user_id", "id", "row").select("event_id", "parent_type")
 
 
@@ -281,10 +279,12 @@ def j33(t):
     return M.nearest_time(t.events.withColumn("z", F.col("value") / 100), t.snapshots, "z", "redshift", "snap", "snap").select("event_id", F.col("snap").cast("int").alias("snap"))
 
 
-@query("j34_matched_snapshots", "SELECT a.snap AS snap_a, (SELECT max_by(b.s, (-abs(b.z - a.redshift), b.s)) FROM (SELECT CAST(s AS INTEGER) AS s, 2.9 - s * 0.25 AS z FROM range(12) r(s)) b) AS snap_b FROM snapshots a")
+@query("j34_matched_snapshots", "SELECT tracer_id, snap AS snap_a, snap_b FROM tracks JOIN (SELECT a.snap, max_by(b.s, (-abs(b.z - a.redshift), b.s)) AS snap_b FROM snapshots a, (SELECT CAST(n_nationkey AS INTEGER) AS s, 2.9 - n_nationkey * 0.125 AS z FROM nation) b GROUP BY 1) USING (snap)")
 def j34(t):
-    other = t.spark.range(12).select(F.col("id").cast("int").alias("s"), (F.lit(2.9) - F.col("id") * 0.25).alias("z"))
-    return M.nearest_time(t.snapshots, other, "redshift", "z", "s", "snap_b").select(F.col("snap").alias("snap_a"), F.col("snap_b").cast("int").alias("snap_b"))
+    """Every track point with the snapshot of another run, of a different spacing, that is nearest in redshift."""
+    other = t.nation.select(F.col("n_nationkey").cast("int").alias("s"), (F.lit(2.9) - F.col("n_nationkey") * 0.125).alias("z"))
+    both = M.nearest_time(t.snapshots, other, "redshift", "z", "s", "snap_b")
+    return t.tracks.join(both, "snap").select("tracer_id", F.col("snap").alias("snap_a"), F.col("snap_b").cast("int").alias("snap_b"))
 
 
 @query("j38_all_pairs", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, abs(a.s_acctbal - b.s_acctbal) < 100 AS near FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey = b.s_nationkey")

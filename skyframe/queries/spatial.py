@@ -277,14 +277,15 @@ def a40(t):
     return f.groupBy("r", "thr").agg(F.round(F.avg("f"), 8).alias("mean"), F.round(F.stddev_pop("f"), 8).alias("std"))
 
 
-@query("a92_stacked_cutouts", f"SELECT CAST(round((ix + 0.5) * 50 - x) AS INTEGER) // 50 AS dx, count(*) AS n, round(round(sum(value), 2) / count(*), 8) AS mean FROM {_MAP}, (SELECT CAST(s_suppkey * 9 % 1000 AS DOUBLE) AS x FROM supplier WHERE s_suppkey % 10 = 0) WHERE abs((ix + 0.5) * 50 - x) < 200 AND (ix + 0.5) * 50 >= x GROUP BY 1")
+@query("a92_stacked_cutouts", f"SELECT CAST(round((ix + 0.5) * 50 - x) AS INTEGER) // 50 AS dx, count(*) AS n, round(round(sum(value), 2) / count(*), 8) AS mean FROM {_MAP}, (SELECT CAST(s_suppkey * 9 % 1000 AS DOUBLE) AS x FROM supplier) WHERE abs((ix + 0.5) * 50 - x) < 200 AND (ix + 0.5) * 50 >= x GROUP BY 1")
 def a92(t):
-    sources = t.supplier.where("s_suppkey % 10 = 0").select(F.expr("s_suppkey * 9 % 1000").cast("double").alias("x"))
+    """Sources at one place are counted first, so pairs are places times pixels however many sources there are."""
+    sources = t.supplier.groupBy(F.expr("s_suppkey * 9 % 1000").cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"))
     sources = sources.withColumn("tx", F.explode(F.sequence(F.floor(F.col("x") / 200), F.floor(F.col("x") / 200) + 1)))
     pixels = flat(t).withColumn("tx", F.floor((F.col("ix") + 0.5) * 50 / 200))
     d = (F.col("ix") + 0.5) * 50 - F.col("x")
     rows = sources.join(pixels, "tx").where((d >= 0) & (d < 200))
-    return rows.groupBy(F.floor(F.round(d).cast("int") / 50).cast("int").alias("dx")).agg(F.count(F.lit(1)).alias("n"), F.round(F.round(F.sum("value"), 2) / F.count(F.lit(1)), 8).alias("mean"))
+    return rows.groupBy(F.floor(F.round(d).cast("int") / 50).cast("int").alias("dx")).agg(F.sum("c").alias("n"), F.round(F.round(F.sum(F.col("value") * F.col("c")), 2) / F.sum("c"), 8).alias("mean"))
 
 
 @query("a93_azimuthal_profile", f"SELECT CAST(floor(b / 100) AS INTEGER) AS band, CAST(floor(least(degrees(atan2(dy, dx)), 89.999) / 15) AS INTEGER) AS theta, round(median(value), 4) AS mid, round(round(sum(value), 2) / count(*), 8) AS mean FROM {_PIX} GROUP BY ALL")

@@ -75,3 +75,32 @@ def test_pairs_of_all_points(spark, small):
     for r in got.itertuples():
         rows = (subs.sub_id % 5 == r.split).to_numpy()
         assert r.dd == pytest.approx((np.outer(w, w) * (k == r.bin))[rows].sum(), abs=1e-3)
+
+
+def test_direction_samples(spark, small):
+    path, subs, _ = small
+    got = run(spark, "a83_direction_samples", path).set_index("sample")
+    assert len(got) == 18 * len(subs)
+    ways = {1: (1, 0, 0), -1: (-1, 0, 0), 2: (0, 1, 0), -2: (0, -1, 0), 3: (0, 0, 1), -3: (0, 0, -1)}
+    places = subs[list("xyz")].to_numpy()
+    for s in subs.head(40).itertuples():
+        for r in (20, 60, 180):
+            for k, way in ways.items():
+                gap = np.abs((np.array([s.x, s.y, s.z]) + r * np.array(way)) % BOX - places)
+                d = np.sqrt((np.minimum(gap, BOX - gap) ** 2).sum(1))
+                near = np.lexsort((subs.sub_id, d))[:8]
+                u = d[near] / d[near].max()
+                w = np.where(u < 0.5, 1 - 6 * u ** 2 * (1 - u), 2 * (1 - u) ** 3)
+                row = got.loc[s.sub_id * 1000 + r * 4 + k]
+                assert row.distance == pytest.approx(d[near].max(), abs=1e-5)
+                assert row.mass == pytest.approx((w * subs.mass.to_numpy()[near]).sum() / w.sum(), rel=1e-6)
+
+
+def test_comoving_distance_by_quadrature(spark):
+    rows = roles.QUERIES["f18b_comoving_distance"](spark, "/root/testdata/sf0.001").select("snap", "mpc").distinct().collect()
+    assert len(rows) == len({r.snap for r in rows}) > 5
+    for r in rows:
+        z = np.linspace(0, (29 - r.snap) / 10, 20001)
+        inverse = 1 / np.sqrt(0.3089 * (1 + z) ** 3 + 1 - 0.3089)
+        want = 299792.458 / 67.74 * ((inverse[1:] + inverse[:-1]) / 2 * np.diff(z)).sum()
+        assert r.mpc == pytest.approx(want, rel=1e-3)
