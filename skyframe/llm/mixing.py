@@ -3,8 +3,10 @@
 A classifier learnt from a labelled table gives every document its posteriors over domains.  Document i has t_i
 tokens and a rate r_i >= 0, the expected number of times it is used; domain d then has sum_i r_i t_i p_id expected
 tokens.  The rates minimise the squared distances of those totals from the targets, each over the domain's tokens at
-rate 1, by projected gradient steps from rate 1, and Newton steps where those leave a target unmet.  A step needs one number for each domain from the whole corpus, and
-a document's rate is a fold over those numbers, so no state of the size of the corpus is kept between steps.
+rate 1, by projected gradient steps from rate 1.  A step needs one number for each domain from the whole corpus, and
+a document's rate is a fold over those numbers, so no state of the size of the corpus is kept between steps.  Where
+plain steps would go on for thousands of passes, steps scaled by the curvature (one number for each two domains) go to
+the same end: rates max(0, 1 - p_i y) with the least pull to rate 1, for every domain, those with target 0 included.
 """
 
 from __future__ import annotations
@@ -93,74 +95,101 @@ def posteriors(docs: DataFrame, fitted: tuple[PipelineModel, list[str]] | None)
     return rows.drop("_words", "_a", "_b", "_c", "_d", "_tf", "_x", "_p", "_y", "_z")
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], scale: float | None = None, steps: int = 40, close: float = 1e-4, exact: int = 30, headroom: float = 1.25, keep_every: int = 8) -> Mixture:
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], scale: float | None = None, steps: int = 6, close: float = 1e-4, exact: int = 80, headroom: float | None = None, zero_pull: float = 1e-4, keep_every: int = 8) -> Mixture:
     """(tokens, p) and target weights -> the mixture whose expected totals are the targets' shares of all tokens.
 
-    `scale`: the expected tokens of the result over those of the input.  By default as many as let every domain
-    with a target keep at least `headroom` times what it has, so that a mixture repeats rather than drops: a document
+    `scale`: the expected tokens of the result over those of the input; by default as many as let every domain with a
+    target keep at least `headroom` (1.25) times what it has, so that a mixture repeats rather than drops: a document
     of such a domain is then wanted at least once, even if a little of it looks like a domain to leave out.  A domain
-    without a target has target 0.  Gradient steps end when no total moves by more than `close` of its target (of all tokens,
-    where that is 0), or after `steps`.  A small move is not a small distance, so up to `exact` Newton steps over the
-    domains with a target follow, until each total is within `close` of its target; one that does not help is
-    replaced by a gradient step.  After every `keep_every` steps the rates are written, so that a step costs no more
-    the later it comes.  `reached` has the totals, which are off where no rates >= 0 have those of the targets.
+    without a target has target 0.
+
+    Plain gradient steps end when no total moves by more than `close` of its target (of all tokens, where that is 0),
+    or after `steps`.  A small move is not a small distance: unless every total is then within `close` of its target,
+    scaled steps follow (settled(), at most `exact` passes).  `reached` has the totals; they are off where no rates
+    >= 0 have those of the targets, as of a domain with target 0 that every document belongs to a little: the nearer
+    such a total comes to 0, the more documents have rate 0, down to a few with very high rates.  `zero_pull` says
+    how much that domain's distance weighs against rates far from 1 (less: nearer to 0).
     """
     k = len(domains)
     weight = [max(0.0, float(targets.get(d, 0.0))) for d in domains]
-    pairs = [(d, e) for d in range(k) if weight[d] for e in range(d, k) if weight[e]]
     at = {"rows": members.select("tokens", "p", F.lit(1.0).alias("_r0")), "steps": 0}
 
     def seen(mixture):
-        if len(mixture.history) - at["steps"] > keep_every:  # the last step may yet be replaced
-            done = Mixture(domains, mixture.history[:-1], mixture.step)
-            at["rows"] = staged(at["rows"].select("tokens", "p", done.rate(F.col("p"), F.col("_r0"), at["steps"]).alias("_r0")), "rates")
-            at["steps"] = len(done.history)
+        if len(mixture.history) - at["steps"] > keep_every:
+            at["rows"] = staged(at["rows"].select("tokens", "p", mixture.rate(F.col("p"), F.col("_r0"), at["steps"]).alias("_r0")), "rates")
+            at["steps"] = len(mixture.history)
         return at["rows"].select("tokens", "p", mixture.rate(F.col("p"), F.col("_r0"), at["steps"]).alias("_r"))
 
     totals = [F.sum(F.col("_r") * F.col("tokens") * F.col("p")[d]).alias(f"s{d}") for d in range(k)]
-    bends = [F.sum(F.when(F.col("_r") > 0, F.col("tokens") * F.col("p")[d] * F.col("p")[e])).alias(f"m{d}_{e}") for d, e in pairs]
-    sums = lambda mixture, *more: [x or 0.0 for x in seen(mixture).agg(*totals, *more).first()]
+    sums = lambda mixture: [x or 0.0 for x in seen(mixture).agg(*totals).first()]
     mixture = Mixture(domains, [], 1.0)
     have = mixture.reached = sums(mixture)
     total, wanted = sum(have), sum(weight)
     if not total or not wanted:
         return Mixture(domains, [], 0.0, have, have)
     if scale is None:
-        scale = headroom * max([h / (w / wanted) for h, w in zip(have, weight) if w and h] or [total]) / total
+        scale = (headroom or 1.25) * max([h / (w / wanted) for h, w in zip(have, weight) if w and h] or [total]) / total
     aim = mixture.aim = [scale * total * w / wanted for w in weight]
     base = [max(h, 1e-9 * total) for h in have]
-    grads = lambda now: [(s - a) / b for s, a, b in zip(now, aim, base)]
     now = have
     for _ in range(steps):
-        mixture.history.append(grads(now))
+        mixture.history.append([(s - a) / b for s, a, b in zip(now, aim, base)])
         was, now = now, sums(mixture)
         if all(abs(s - w) <= close * (a or total) for s, w, a in zip(now, was, aim)):
             break
-    gap = lambda now: max(abs(s - a) / a for s, a in zip(now, aim) if a)
-    bent = []
-    for _ in range(exact):
-        if gap(now) <= close:
-            break
-        bent = bent or sums(mixture, *bends)[k:]
-        mixture.history.append(newton(now, aim, dict(zip(pairs, bent))))
-        found = sums(mixture, *bends)
-        if not gap(found[:k]) <= 0.9 * gap(now):
-            mixture.history[-1] = grads(now)
-            found = sums(mixture, *bends)
-        now, bent = found[:k], found[k:]
     mixture.reached = now
+    if any(abs(s - a) > close * a for s, a in zip(now, aim)):
+        y, mixture.reached = settled(members, aim, base, [1e-8 if x else zero_pull for x in aim], close, exact)
+        mixture.history, mixture.step = [y], 1.0
     return mixture
 
 
-def newton(now: list[float], aim: list[float], bent: dict[tuple[int, int], float]) -> list[float]:
-    """The step that takes the totals with a target to it, as long as the same documents have a rate over 0."""
-    at = [d for d, a in enumerate(aim) if a]
-    m = np.array([[bent[min(d, e), max(d, e)] for e in at] for d in at])
-    step = np.linalg.lstsq(m, np.array([now[d] - aim[d] for d in at]), rcond=1e-12)[0]
-    out = [0.0] * len(aim)
-    for d, x in zip(at, step):
-        out[d] = float(x)
-    return out
+def settled(members: DataFrame, aim: list[float], base: list[float], least_pull: list[float], close: float = 1e-4, passes: int = 80) -> tuple[list[float], list[float]]:
+    """y and the totals of the rates max(0, 1 - p_i y) that minimise the squared distances plus a small pull to rate 1.
+
+    With pulls e_d, by which each domain's squared distance is divided, the least squares have one minimiser, where
+    e_d base_d y_d = totals_d - aim_d; its rates are where projected gradient steps stand still.  y minimises a convex function of as many numbers as there are domains, whose value,
+    gradient (the totals) and curvature (sums over the documents with a rate over 0) one pass gives; steps are halved
+    until they lower it.  The pull goes down tenfold each time the gradient is within `close` of every domain's own
+    target or total, to each domain's `least_pull`.
+    """
+    k, a, b, least = len(aim), np.array(aim), np.array(base), np.array(least_pull)
+    pairs = [(d, e) for d in range(k) for e in range(d, k)]
+    p = F.col("p")
+
+    def seen(y):
+        r = F.lit(1.0)
+        for d in range(k):
+            r = r - p[d] * F.lit(float(y[d]))
+        r = F.greatest(F.lit(0.0), r)
+        weighed = members.select("p", r.alias("_r"), (r * F.col("tokens")).alias("_rt"), F.when(r > 0, F.col("tokens")).alias("_t"))
+        row = weighed.agg(F.sum(F.col("_r") * F.col("_rt")), *(F.sum(F.col("_rt") * p[d]) for d in range(k)), *(F.sum(F.col("_t") * p[d] * p[e]) for d, e in pairs)).first()
+        v = [x or 0.0 for x in row]
+        bend = np.zeros((k, k))
+        for (d, e), x in zip(pairs, v[k + 1 :]):
+            bend[d, e] = bend[e, d] = x
+        return v[0] / 2, np.array(v[1 : k + 1]), bend
+
+    y, pull, n = np.zeros(k), np.maximum(1.0, least), 1
+    value, s, bend = seen(y)
+    while n < passes:
+        slope = pull * b * y + a - s
+        if (np.abs(slope) <= close * np.maximum(np.maximum(a, s), 1e-9 * b.sum())).all():
+            if (pull <= least).all():
+                break
+            pull = np.maximum(pull / 10, least)
+            continue
+        step = np.linalg.solve(bend + np.diag(pull * b), -slope)
+        height = lambda y, value: value + (pull * b * y * y).sum() / 2 + (a * y).sum()  # noqa: B023, E731
+        size, before = 1.0, height(y, value)
+        while n < passes:
+            tried = seen(y + size * step)
+            n += 1
+            if height(y + size * step, tried[0]) <= before + 1e-4 * size * (slope * step).sum() + 1e-12 * abs(before):
+                break
+            size /= 2
+        y, (value, s, bend) = y + size * step, tried
+    return y.tolist(), s.tolist()
 
 
 def copies(rate: Column, *seed: Column, keep_once: bool = False) -> Column:
@@ -173,9 +202,10 @@ def copies(rate: Column, *seed: Column, keep_once: bool = False) -> Column:
     return (F.greatest(drawn, F.when(rate >= 0.5, 1).otherwise(0)) if keep_once else drawn).cast("int")
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], headroom: float | None = None, zero_pull: float = 3e-2) -> DataFrame:
     """The documents themselves, each as often as mix() says, with the columns of `docs`, whatever they are called.
 
+    `zero_pull` is larger than in mix(), so documents that only look a little like a domain to leave out stay.
     Texts are cut into words and scored once, and written beside their rows.  Null and empty texts have a rate by
     their posteriors like any other; rows that repeat do so on top of it; without labels all stay; an empty table
     gives an empty result.
@@ -185,7 +215,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> Data
         return docs
     seen = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = staged(posteriors(seen, fitted).select("_row", "doc_id", "tokens", "p"), "scored")
-    mixture = fit_rates(rows, fitted[1], targets)
+    mixture = fit_rates(rows, fitted[1], targets, headroom=headroom, zero_pull=zero_pull)
     rows = rows.withColumn("_n", copies(mixture.rate(F.col("p")), F.col("doc_id")))
     return rows.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
 

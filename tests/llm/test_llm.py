@@ -514,6 +514,27 @@ def test_rates_are_projected_least_squares(spark):
     assert np.allclose(rate, r) and np.allclose(((rate * t)[:, None] * p).sum(0), aim, rtol=1e-3)
 
 
+def test_rates_of_a_domain_to_leave_out(spark):
+    """A zero target against long accelerated projected-gradient descent on the same objective, and against its optimum."""
+    rng = np.random.default_rng(8)
+    p, t = rng.dirichlet([0.4, 0.4, 0.2], 250), rng.integers(1, 50, 250)
+    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p)], "tokens long, p array<double>").cache()
+    have, weight = (t[:, None] * p).sum(0), np.array([0.7, 0.3, 0.0])
+    for zero_pull in (1e-2, 1e-4):
+        m = mixing.fit_rates(members, ["a", "b", "zero"], {"a": 0.7, "b": 0.3}, scale=1.0, zero_pull=zero_pull)
+        rate = np.array([r[0] for r in members.select(m.rate(F.col("p"))).collect()])
+        reached, aim = ((rate * t)[:, None] * p).sum(0), weight * have.sum()
+        assert np.allclose(m.aim, aim) and np.allclose(m.reached, reached) and np.allclose(reached[:2], aim[:2], rtol=1e-3)
+        pull = np.array([1e-8, 1e-8, zero_pull])
+        cost = lambda r: ((((r * t)[:, None] * p).sum(0) - aim) ** 2 / have / pull).sum() / 2 + (t * (r - 1) ** 2).sum() / 2  # noqa: B023, E731
+        r, ahead, step = rate.copy(), rate.copy(), 1 / (np.linalg.norm(p * np.sqrt(t)[:, None] / np.sqrt(have * pull), 2) ** 2 + 1)
+        for k in range(4000):  # goes on from the result: nothing may be left to gain
+            new = np.maximum(0, ahead - step * (p @ ((((ahead * t)[:, None] * p).sum(0) - aim) / have / pull) + ahead - 1))
+            r, ahead = new, new + k / (k + 3) * (new - r)
+        assert cost(rate) <= cost(r) * (1 + 1e-3)
+    assert reached[2] < 0.1 * have[2]
+
+
 def test_rates_reach_rare_and_overlapping_targets(spark):
     """With the defaults: a domain below 1e-4 of all tokens, and posteriors that differ little."""
     rng = np.random.default_rng(3)
