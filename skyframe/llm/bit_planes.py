@@ -111,8 +111,11 @@ def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
                 values = np.floor(flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, WIDTH) * scale)
                 whole = values.astype(np.int64) if not values.size or np.abs(values).max() < 2.0**62 else np.array([[int(v) for v in row] for row in values], object)
                 planes = to_planes(whole)
-                offsets = np.arange(len(planes) + 1, dtype=np.int32) * planes.shape[1]
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, planes.view(np.int64).ravel())], names=["vec_id", "planes"])
+                change = np.hstack([np.ones((len(planes), 1), bool), planes[:, 1:] != planes[:, :-1]])
+                width = planes.shape[1] - np.argmax(change[:, ::-1], axis=1)  # each row's own number of planes, whatever the others need
+                flat = planes[np.arange(planes.shape[1]) < width[:, None]]
+                offsets = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, flat.view(np.int64))], names=["vec_id", "planes"])
 
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) * scale == float("inf")))
     return vectors.where((F.size("embedding") == WIDTH) & ~bad).mapInArrow(run, "vec_id long, planes array<long>")
