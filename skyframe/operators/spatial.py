@@ -146,10 +146,11 @@ def isolation(rows: DataFrame, key: str, dims: list[str], box: float, radius: fl
     return rows.join(top, key, "left").select(key, *(flag(*rule).cast("int").alias(name) for name, rule in rules.items()))
 
 
-def pair_counts(a: DataFrame, b: DataFrame, id_a: str, id_b: str, dims: list[str], box: float, edges: list[float], auto: bool, weight: str | None = None, tags: tuple[str, str] | None = None) -> DataFrame:
+def pair_counts(a: DataFrame, b: DataFrame, id_a: str, id_b: str, dims: list[str], box: float, edges: list[float], auto: bool, weight: str | None = None, tags: tuple[str, str] | None = None, skip_self: bool = False) -> DataFrame:
     """Ordered pairs in bins (edge_i, edge_i+1] (distance 0 in the first), optionally by tags of both sides.
 
-    `auto`: b is a itself; each pair is looked at once and counted both ways.
+    `auto`: b is a itself; each pair is looked at once and counted both ways.  `skip_self`: a row of b is no pair with
+    the one of a that has its id.
     """
     from ..functions.columns import edge_bin
 
@@ -158,6 +159,7 @@ def pair_counts(a: DataFrame, b: DataFrame, id_a: str, id_b: str, dims: list[str
     left = a.select(id_a, *dims, *(F.col(x).alias("_wa") for x in w), *([F.col(tag_a).alias("tag_a")] if tag_a else []))
     right = b.select(id_b, *dims, *(F.col(x).alias("_wb") for x in w), *([F.col(tag_b).alias("tag_b")] if tag_b else []))
     pairs = radius_join(left, right, id_a, id_b, dims, box, edges[-1], keep=[*(["_wb"] if w else []), *(["tag_b"] if tag_b else [])], keep_center=[*(["_wa"] if w else []), *(["tag_a"] if tag_a else [])], half=auto)
+    pairs = pairs.where("center <> point") if skip_self else pairs
     k = F.when((F.col("distance") == 0) & F.lit(edges[0] == 0), F.lit(0)).otherwise(edge_bin("distance", edges, "right"))
     value = F.sum(F.col("_wa") * F.col("_wb")) if w else F.count(F.lit(1)).cast("double")
     dd = pairs.withColumn("bin", k).where("bin is not null").groupBy("bin", *(["tag_a", "tag_b"] if tags else [])).agg(value.alias("dd"))

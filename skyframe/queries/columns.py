@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import columns as C
 from ..functions.physics import SimContext
+from ..operators import lookup as L
 from ..plans.roles import query
 
 SIM = SimContext()
@@ -118,6 +119,35 @@ def f17(t):
     return t.particles.where("pt = 'A'").select("row_index", (F.round(C.on_grid_2d(u, v, list(range(6)), list(range(5)), table), 6) + F.lit(0.0)).alias("v"))
 
 
+#: nodes: ten units of quantity, three hundredths of discount and of tax; the value is the mean magnitude of the rows at the node
+_NODES = "(SELECT floor((l_quantity - 1) / 10) AS q, floor(round(l_discount * 100) / 3) AS d, floor(round(l_tax * 100) / 3) AS x, avg(log10(l_extendedprice)) AS v FROM lineitem GROUP BY ALL)"
+
+
+def nodes(t, *more):
+    rows = t.lineitem.withColumns({"q": F.floor((F.col("l_quantity") - 1) / 10), "d": F.floor(F.round(F.col("l_discount") * 100) / 3), "x": F.floor(F.round(F.col("l_tax") * 100) / 3)})
+    return rows.groupBy("q", "d", "x", *more).agg(F.avg(F.log10("l_extendedprice")).alias("v"))
+
+
+@query("f17b_table_3d", f"""WITH g AS {_NODES}, r AS (SELECT row_number() OVER () AS n, l_orderkey, l_linenumber, least(greatest(l_quantity / 10, 0), 4) AS a, least(greatest(l_discount * 100 / 3, 0), 3) AS b, least(greatest(l_tax * 100 / 3 - 0.25, 0), 2) AS c FROM lineitem),
+    f AS (SELECT *, least(floor(a), 3) AS i, least(floor(b), 2) AS j, least(floor(c), 1) AS k FROM r)
+    SELECT any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber, round(sum(v * (CASE WHEN q = i THEN 1 - (a - i) ELSE a - i END) * (CASE WHEN d = j THEN 1 - (b - j) ELSE b - j END) * (CASE WHEN x = k THEN 1 - (c - k) ELSE c - k END)), 6) AS v
+    FROM f, range(2) u(di), range(2) w(dj), range(2) z(dk) JOIN g ON q = i + di AND d = j + dj AND x = k + dk GROUP BY n""")
+def f17b(t):
+    """Multilinear in three dimensions, rows beyond the grid at its edges."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 10).alias("a"), (F.col("l_discount") * 100 / 3).alias("b"), (F.col("l_tax") * 100 / 3 - 0.25).alias("c"))
+    out = L.interpolated(rows, nodes(t), {"q": "a", "d": "b", "x": "c"}, "v", "v")
+    return out.select("l_orderkey", "l_linenumber", F.round("v", 6).alias("v"))
+
+
+@query("f17c_table_4d_spline")
+def f17c(t):
+    """A cubic spline in four dimensions: the nodes' values of each line number are a slice of the grid."""
+    grid = nodes(t).withColumn("n", F.explode(F.array(*(F.lit(float(k)) for k in range(1, 8))))).withColumn("v", F.col("v") + F.sin(F.col("n") + F.col("q")))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 10).alias("a"), (F.col("l_discount") * 100 / 3).alias("b"), (F.col("l_tax") * 100 / 3).alias("c"), (F.col("l_linenumber") + F.col("l_tax")).alias("e"))
+    out = L.interpolated(rows, grid, {"q": "a", "d": "b", "x": "c", "n": "e"}, "v", "v", order=3)
+    return out.select("l_orderkey", "l_linenumber", F.round("v", 6).alias("v"))
+
+
 _LAM = 1 - 0.3089
 _AGE = 2 / (67.74 * 3 * math.sqrt(_LAM)) * (3.085678e19 / 3.15576e7 / 1e9)
 

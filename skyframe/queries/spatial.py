@@ -8,13 +8,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import correlation as K
 from ..operators import maps as P
 from ..operators import shapes as S
 from ..operators import spatial as J
 from ..operators.binning import median
+from ..operators.lineage import cut, scratch
+from ..operators.lookup import interpolated
+from ..operators.photometry import band_magnitudes
 from ..operators.segments import clump_properties, components, dense_labels
 from ..plans.roles import query
-from .aggregates import members
+from .aggregates import _MEMBERS, members
 
 _MI = lambda d: f"(CASE WHEN {d} > 500 THEN {d} - 1000 WHEN {d} < -500 THEN {d} + 1000 ELSE {d} END)"
 _D = f"sqrt(pow({_MI('(a.x - b.x)')}, 2) + pow({_MI('(a.y - b.y)')}, 2) + pow({_MI('(a.z - b.z)')}, 2))"
@@ -163,6 +167,61 @@ def a57(t):
     return dd.groupBy(F.col("tag_a").alias("split"), "bin").agg(F.round(F.sum("dd"), 4).alias("dd"))
 
 
+_CUBED = "(SELECT *, CASE WHEN least(x, y, z) <= 0 THEN -1 ELSE CAST((ceil(x / 500) - 1) * 4 + (ceil(y / 500) - 1) * 2 + ceil(z / 500) - 1 AS INTEGER) END AS cube FROM subs)"
+_COVAR = "(SELECT a.bin AS bin_a, b.bin AS bin_b, {n} / {m}.0 * sum((a.xi - fa.xi) * (b.xi - fb.xi)) / 6 AS covar FROM s a JOIN s b ON a.k = b.k JOIN f fa ON a.bin = fa.bin JOIN f fb ON b.bin = fb.bin GROUP BY ALL)"
+
+
+@query("a56b_jackknife_covariance", f"""WITH p AS {_CUBED},
+    c AS (SELECT CAST(greatest(ceil({_D} / 20) - 1, 0) AS INTEGER) AS bin, a.cube AS ca, b.cube AS cb, count(*) AS dd FROM p a, p b WHERE a.sub_id <> b.sub_id AND {_D} <= 120 GROUP BY ALL),
+    f AS (SELECT bin, sum(dd) / ({_RR('bin')} * pow((SELECT count(*) FROM p), 2) / 1e9) - 1 AS xi FROM c GROUP BY 1),
+    s AS (SELECT r.k, bin, coalesce(sum(dd) FILTER (ca <> r.k AND cb <> r.k), 0) / ({_RR('bin')} * pow(any_value(n.n), 2) / 1e9) - 1 AS xi FROM c, range(8) r(k) JOIN (SELECT g.k, count(*) AS n FROM p, range(8) g(k) WHERE cube <> g.k GROUP BY 1) n ON n.k = r.k GROUP BY 1, 2),
+    v AS {_COVAR.format(n=7, m=8)}
+    SELECT v.bin_a, v.bin_b, round(f.xi, 8) AS xi, round(sqrt(e.covar), 8) AS xi_err, round(v.covar, 10) AS covar FROM v JOIN f ON f.bin = v.bin_a JOIN v e ON e.bin_a = v.bin_a AND e.bin_b = v.bin_a""")
+def a56b(t):
+    full, _, covar = K.jackknife(t.subs, "sub_id", ["x", "y", "z"], 1000.0, EDGES, 2)
+    return with_covariance(full, covar)
+
+
+def with_covariance(full, covar):
+    out = covar.join(full.select(F.col("bin").alias("bin_a"), F.round("xi", 8).alias("xi"), F.round("xi_err", 8).alias("xi_err")), "bin_a")
+    return out.select("bin_a", "bin_b", "xi", "xi_err", F.round("covar", 10).alias("covar"))
+
+
+#: weighted pairs of all objects with those of a fifth, and the expected ones, by fifth and bin
+_BY_SPLIT = f"""d AS (SELECT CAST(b.sub_id % 5 AS INTEGER) AS k, CAST(greatest(ceil({_D} / 20) - 1, 0) AS INTEGER) AS bin, sum(a.mass / 1e5 * b.mass / 1e5) AS dd FROM subs a, subs b WHERE a.sub_id <> b.sub_id AND {_D} <= 120 GROUP BY ALL),
+    e AS (SELECT d.*, {_RR('bin')} / 1e9 * pow((SELECT avg(mass / 1e5) FROM subs), 2) * (SELECT count(*) FROM subs) * n AS rr FROM d JOIN (SELECT sub_id % 5 AS k, count(*) AS n FROM subs GROUP BY 1) USING (k))"""
+
+
+def pair_table(t):
+    """A table of weighted pairs in five splits, still empty, and a function that adds some of them."""
+    table = K.PairTable(t.spark, scratch(t.spark, "pair-table"), 1000.0, EDGES)
+    points = t.subs.withColumns({"split": F.expr("cast(sub_id % 5 as int)"), "wt": F.col("mass") / 1e5})
+    return table, lambda *splits: table.add(points, list(splits), "sub_id", ["x", "y", "z"], "split", "wt")
+
+
+@query("a57b_split_covariance", f"""WITH {_BY_SPLIT}, f AS (SELECT bin, sum(dd) / sum(rr) - 1 AS xi FROM e GROUP BY 1),
+    s AS (SELECT r.k, bin, sum(dd) FILTER (e.k <> r.k) / sum(rr) FILTER (e.k <> r.k) - 1 AS xi FROM e, range(5) r(k) GROUP BY ALL), v AS {_COVAR.format(n=4, m=5)}
+    SELECT v.bin_a, v.bin_b, round(f.xi, 8) AS xi, round(sqrt(w.covar), 8) AS xi_err, round(v.covar, 10) AS covar FROM v JOIN f ON f.bin = v.bin_a JOIN v w ON w.bin_a = v.bin_a AND w.bin_b = v.bin_a""")
+def a57b(t):
+    table, add = pair_table(t)
+    add(0, 1, 2, 3, 4)
+    return with_covariance(*table.combined())
+
+
+@query("r2_running_correlation", f"""WITH {_BY_SPLIT}, g AS (SELECT u.m, e.* FROM e, (VALUES (2), (5)) u(m) WHERE k < u.m),
+    f AS (SELECT m, bin, sum(dd) / sum(rr) - 1 AS xi FROM g GROUP BY ALL), s AS (SELECT m, r.k, bin, sum(dd) FILTER (g.k <> r.k) / sum(rr) FILTER (g.k <> r.k) - 1 AS xi FROM g, range(5) r(k) WHERE r.k < m GROUP BY ALL)
+    SELECT CAST(m AS INTEGER) AS splits, bin, round(any_value(f.xi), 8) AS xi, round(sqrt((m - 1.0) / m * sum(pow(s.xi - f.xi, 2)) / 6), 8) AS xi_err FROM s JOIN f USING (m, bin) GROUP BY 1, 2, m""")
+def r2(t):
+    """The correlation from two splits of five and, when the others have been added to the same table, from all."""
+    table, add = pair_table(t)
+    out = None
+    for splits in ((0, 1), (2, 3, 4)):
+        add(*splits)
+        now = cut(table.combined()[0])
+        out = now if out is None else out.unionByName(now)
+    return out.select("splits", "bin", F.round("xi", 8).alias("xi"), F.round("xi_err", 8).alias("xi_err"))
+
+
 #: two masses of an object beside its total, for criteria on different components
 _STARS = "(SELECT sub_id, halo_id, x, y, z, mass * (0.2 + sub_id % 7 / 10.0) AS m2, mass * (0.1 + sub_id % 5 / 10.0) AS m30 FROM subs)"
 
@@ -186,6 +245,18 @@ def a59(t):
     return per.groupBy("bin").agg(F.round(F.avg(F.col("red") / F.col("n")), 8).alias("mean_share"), F.round(F.sum("red") / F.sum("n"), 8).alias("stacked"))
 
 
+@query("a59b_conformity_errors", f"""WITH p AS {_CUBED}, n AS (SELECT a.sub_id AS center, a.cube AS ca, b.cube AS cb, CAST(floor({_D} / 40) AS INTEGER) AS bin, CASE WHEN b.mass > 250000 THEN 1.0 ELSE 0 END AS red FROM p a, p b WHERE a.sub_id <> b.sub_id AND {_D} < 120),
+    r AS (SELECT bin, k, avg(f) AS mean_share, sum(red) / sum(n) AS stacked FROM (SELECT center, bin, k, avg(red) AS f, sum(red) AS red, count(*) AS n FROM n, range(-2, 8) g(k) WHERE k <> -1 AND ca <> k AND cb <> k GROUP BY ALL) GROUP BY ALL)
+    SELECT f.bin, round(any_value(f.mean_share), 8) AS mean_share, round(sqrt(7 / 8.0 * sum(pow(s.mean_share - f.mean_share, 2)) / 3), 8) AS mean_err, round(any_value(f.stacked), 8) AS stacked, round(sqrt(7 / 8.0 * sum(pow(s.stacked - f.stacked, 2)) / 3), 8) AS stacked_err
+    FROM r f JOIN r s ON f.bin = s.bin AND f.k = -2 AND s.k >= 0 GROUP BY 1""")
+def a59b(t):
+    some = t.subs.select("sub_id", "x", "y", "z", K.cube_of(["x", "y", "z"], 1000.0, 2).alias("cube_a"))
+    other = t.subs.select("sub_id", "x", "y", "z", K.cube_of(["x", "y", "z"], 1000.0, 2).alias("cube_b"), (F.col("mass") > 250000).alias("flag"))
+    pairs = J.radius_join(some, other, "sub_id", "sub_id", ["x", "y", "z"], 1000.0, 120.0, closed=False, keep=["cube_b", "flag"], keep_center=["cube_a"]).where("center <> point")
+    out = K.conformity(pairs.withColumn("bin", F.floor(F.col("distance") / 40).cast("int")), 2, 3)
+    return out.select("bin", *(F.round(c, 8).alias(c) for c in ("mean_share", "mean_err", "stacked", "stacked_err")))
+
+
 @query("a60_nth_overdensity", f"SELECT center, round(5 / ({4 / 3 * math.pi!r} * pow(d, 3)) / ((SELECT count(*) FROM subs) / 1e9) - 1, 6) AS delta FROM (SELECT a.sub_id AS center, {_D} AS d, row_number() OVER (PARTITION BY a.sub_id ORDER BY {_D}, b.sub_id) AS k FROM subs a, subs b WHERE a.sub_id % 50 = 0 AND a.sub_id <> b.sub_id) WHERE k = 5")
 def a60(t):
     found = J.nearest(t.subs.where("sub_id % 50 = 0"), t.subs, "sub_id", "sub_id", ["x", "y", "z"], 1000.0, 5, 60.0).where("rank = 5")
@@ -337,6 +408,27 @@ def a18(t):
     return t.rows.groupBy("sub_id").agg(R6(-2.5 * F.log10(F.sum(F.pow(F.lit(10.0), -0.4 * mag)))).alias("mag"))
 
 
+#: magnitudes on a grid of (tax step, quantity step), each object's rows looked up in it less 2.5 log of the row's mass
+_GRID2 = "(SELECT floor((l_quantity - 1) / 10) AS q, floor(round(l_tax * 100) / 3) AS x, 20 - 2 * avg(log10(l_extendedprice)) AS v FROM lineitem GROUP BY ALL)"
+_SHARE = lambda u, w: f"(list_sum(list_transform(range(101), lambda i: exp(-0.5 * pow((i * {w / 100} - {w / 2} - {u}) / 60.0, 2)))) * {w / 100 / (math.sqrt(2 * math.pi) * 60.0)!r})"
+
+
+@query("a18b_table_magnitudes", f"""WITH g AS {_GRID2}, m AS {_MEMBERS}, r AS (SELECT sub_id, dx, dy, dz, mass, least(greatest(mass / 10, 0), 4) AS a, least(greatest((w - 0.01) * 100 / 3, 0), 2) AS c FROM m),
+    f AS (SELECT *, least(floor(a), 3) AS i, least(floor(c), 1) AS k FROM r),
+    s AS (SELECT f.*, pow(10, -0.4 * ((g00.v * (1 - (c - k)) + g01.v * (c - k)) * (1 - (a - i)) + (g10.v * (1 - (c - k)) + g11.v * (c - k)) * (a - i) - 2.5 * log10(mass))) AS light
+        FROM f JOIN g g00 ON g00.q = i AND g00.x = k JOIN g g01 ON g01.q = i AND g01.x = k + 1 JOIN g g10 ON g10.q = i + 1 AND g10.x = k JOIN g g11 ON g11.q = i + 1 AND g11.x = k + 1),
+    p AS (SELECT sub_id, light, view, CASE view WHEN 'x' THEN dy ELSE dx END AS u, CASE view WHEN 'z' THEN dy ELSE dz END AS v FROM s, (VALUES ('x'), ('y'), ('z')) t(view)),
+    w AS (SELECT sub_id, view, sum(light) FILTER (u * u + v * v <= 90000) AS circle, sum(light * {_SHARE('u', 500.0)} * {_SHARE('v', 200.0)}) FILTER (abs(u) <= 550 AND abs(v) <= 400) AS slit FROM p GROUP BY ALL)
+    SELECT sub_id, view, round(CASE WHEN circle > 0 THEN -2.5 * log10(circle) END, 6) AS circle, round(CASE WHEN slit > 0 THEN -2.5 * log10(slit) END, 6) AS slit FROM w""")
+def a18b(t):
+    """Magnitudes by table lookup, in a circle and through a slit with seeing, along three axes."""
+    grid = t.lineitem.groupBy(F.floor((F.col("l_quantity") - 1) / 10).alias("q"), F.floor(F.round(F.col("l_tax") * 100) / 3).alias("x")).agg((20 - 2 * F.avg(F.log10("l_extendedprice"))).alias("v"))
+    rows = members(t).withColumns({"_a": F.col("mass") / 10, "_b": (F.col("w") - 0.01) * 100 / 3})
+    rows = interpolated(rows, grid, {"q": "_a", "x": "_b"}, "v", "mag").withColumn("mag", F.col("mag") - 2.5 * F.log10("mass"))
+    out = band_magnitudes(rows, "sub_id", "mag", {a: f"d{a}" for a in "xyz"}, 300.0, (500.0, 200.0), 60.0)
+    return out.select("sub_id", "view", R6("circle").alias("circle"), R6("slit").alias("slit"))
+
+
 _CELLS = "(SELECT CAST(floor(x / 50) * 20 + floor(y / 50) AS BIGINT) AS id FROM subs GROUP BY 1 HAVING sum(mass) > 1.12 * (SELECT sum(mass) / 400 FROM subs))"
 
 
@@ -421,8 +513,3 @@ def f25(t):
     shells = [C.in_cone("x", "y", "z", lo, hi, tan_y, tan_z, y0, z0) for lo, hi in ((0.0, 300.0), (300.0, 600.0), (600.0, 1400.0))]
     shell = F.coalesce(*(F.when(c, F.lit(k)) for k, c in enumerate(shells)))
     return remapped(t).select("sub_id", shell.alias("shell")).where("shell is not null")
-
-
-# The names under which the jobs over all objects were registered before the queries themselves took all objects.
-for _name, _job in {"j24_radius_join": j24, "a19_neighbour_statistics": a19, "a20_restricted_neighbours": a20, "a21_neighbour_profiles": a21, "a22_reductions_in_bins": a22, "a23_kernel_mean": a23, "a25_profile_terms": a25, "a59_conformity": a59, "a104_clump_profiles": a104, "a55_two_point_correlation": a55, "a56_jackknife": a56, "a57_split_correlation": a57}.items():
-    query(f"{_name}_whole")(_job)

@@ -34,16 +34,16 @@ def run(spark, name, path):
 def test_every_object_is_a_center(spark, small):
     path, subs, d = small
     ids, mass = subs.sub_id.to_numpy(), subs.mass.to_numpy()
-    got = run(spark, "j24_radius_join_whole", path)
+    got = run(spark, "j24_radius_join", path)
     assert set(zip(got.center, got.point)) == {(ids[i], ids[j]) for i, j in np.argwhere(d <= 60)}
-    got = run(spark, "a19_neighbour_statistics_whole", path).set_index("center").loc[ids]
+    got = run(spark, "a19_neighbour_statistics", path).set_index("center").loc[ids]
     near = d <= 120
     assert (~near.any(1)).sum() > 10 and len(got) == len(ids)
     assert (got.n.to_numpy() == near.sum(1)).all() and np.allclose(got.total, (near * mass).sum(1))
     assert got.lo.isna().to_numpy().tolist() == (~near.any(1)).tolist()
     ratio = mass[None] / mass[:, None]
     want = (near & (mass > 50000) & (mass < 400000) & (ratio > 0.5) & (ratio < 2)).sum(1)
-    assert (run(spark, "a20_restricted_neighbours_whole", path).set_index("center").loc[ids].n.to_numpy() == want).all()
+    assert (run(spark, "a20_restricted_neighbours", path).set_index("center").loc[ids].n.to_numpy() == want).all()
 
 
 @pytest.mark.parametrize("name, zero, at", [("a21_neighbour_profiles", True, lambda d: np.floor(d / 20)), ("a22_reductions_in_bins", False, lambda d: np.ceil(d / 20) - 1)])
@@ -52,7 +52,7 @@ def test_profiles_of_every_object(spark, small, name, zero, at):
     ids, mass, want = subs.sub_id.to_numpy(), subs.mass.to_numpy(), {}
     for i, j in np.argwhere((d < 120) & ((d > 0) | zero)):
         want[ids[i], int(at(d[i, j]))] = want.get((ids[i], int(at(d[i, j]))), 0) + mass[j]
-    got = run(spark, f"{name}_whole", path)
+    got = run(spark, f"{name}", path)
     total = got["mass" if "mass" in got else "total"]
     assert {k: pytest.approx(v, abs=0.02) for k, v in want.items()} == dict(zip(zip(got.center, got.bin), total))
 
@@ -62,15 +62,15 @@ def test_pairs_of_all_points(spark, small):
     n, k = len(subs), np.maximum(np.ceil(np.where(np.isinf(d), 1e9, d) / 20) - 1, 0).astype(int)
     shell = lambda b: 4 / 3 * math.pi * 20 ** 3 * ((b + 1) ** 3 - b ** 3)
     want = {b: (k == b).sum() for b in range(6) if (k == b).any()}
-    got = run(spark, "a55_two_point_correlation_whole", path)
+    got = run(spark, "a55_two_point_correlation", path)
     assert dict(zip(got.bin, got.dd)) == want
     assert np.allclose(got.xi, [want[b] / (shell(b) * n * n / BOX ** 3) - 1 for b in got.bin])
     cube = (subs.x // 500 * 4 + subs.y // 500 * 2 + subs.z // 500).to_numpy()
-    got = run(spark, "a56_jackknife_whole", path)
+    got = run(spark, "a56_jackknife", path)
     for r in got.itertuples():
         keep = cube != r.cube
         assert r.dd == (k[keep][:, keep] == r.bin).sum()
-    got = run(spark, "a57_split_correlation_whole", path)
+    got = run(spark, "a57_split_correlation", path)
     w = subs.mass.to_numpy() / 1e5
     for r in got.itertuples():
         rows = (subs.sub_id % 5 == r.split).to_numpy()
