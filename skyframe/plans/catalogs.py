@@ -46,14 +46,28 @@ class Definition:
         return {"mean": lambda: weighted_mean(v, w), "std": lambda: weighted_std(v, w), "max": lambda: F.max(v), "min": lambda: F.min(v), "count": lambda: F.count(v)}[self.op]()
 
 
-REDUCERS: dict[str, Callable] = {}
+@dataclass(frozen=True)
+class Reducer:
+    """A user's reduction: of a pandas frame with all rows of an object, or of the numbers that parts of it were reduced to."""
+
+    whole: Callable | None = None
+    part: Callable | None = None
+    finish: Callable | None = None
+
+
+REDUCERS: dict[str, Reducer] = {}
 
 
-def reducer(name: str):
-    """Registers a user's reduction: a function of a pandas frame of one object's rows that returns one number."""
+def reducer(name: str, finish: Callable | None = None):
+    """Registers a user's reduction.
+
+    Without `finish`, a function of a pandas frame of one object's rows that returns one number.  With it, a function
+    of a frame with some of an object's rows that returns a list of numbers; `finish` gets an array with such a list in
+    each row, in no certain order, and returns the number.
+    """
 
     def keep(f):
-        REDUCERS[name] = f
+        REDUCERS[name] = Reducer(part=f, finish=finish) if finish else Reducer(whole=f)
         return f
 
     return keep
@@ -66,13 +80,33 @@ def build(rows: DataFrame, objects: DataFrame, key: str, catalogs: dict[str, Def
     return objects.select(key).join(got, key, "left").fillna(zero)
 
 
-def reduce_custom(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """A registered reduction for each object, in pandas: for statistics that have no aggregate form."""
-    f = REDUCERS[name]
+def reduce_custom(rows: DataFrame, key: str, name: str, most: int = 1_000_000) -> DataFrame:
+    """A registered reduction for each object, in pandas: for statistics that have no aggregate form.
 
-    def one(pdf):
-        import pandas as pd
+    A reduction in parts gets at most about `most` rows at a time however many an object has, and its parts are put
+    together by object.  One of whole objects needs all of an object's rows in one task: an object with more than
+    `most` rows is an error that asks for parts, before any row is moved.
+    """
+    import numpy as np
+    import pandas as pd
 
-        return pd.DataFrame({key: [pdf[key].iloc[0]], name: [float(f(pdf))]})
+    f, kind = REDUCERS[name], rows.schema[key].dataType.simpleString()
 
-    return rows.groupBy(key).applyInPandas(one, f"{key} {rows.schema[key].dataType.simpleString()}, {name} double")
+    def one(pdf):
+        return pd.DataFrame({key: [pdf[key].iloc[0]], name: [float(f.whole(pdf))]})
+
+    def part(pdf):
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "_part": [[float(v) for v in f.part(pdf.drop(columns="_slice"))]]})
+
+    def finish(pdf):
+        return pd.DataFrame({key: [pdf[key].iloc[0]], name: [float(f.finish(np.stack(pdf["_part"].to_list())))]})
+
+    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    if f.whole:
+        if not large.isEmpty():
+            raise ValueError(f"{name}: an object has over {most} rows; register it in parts")
+        return rows.groupBy(key).applyInPandas(one, f"{key} {kind}, {name} double")
+    slices = F.ceil(F.coalesce("_n", F.lit(1)) / most)
+    rows = rows.join(large, key, "left").withColumn("_slice", F.pmod(F.xxhash64(*rows.columns, F.monotonically_increasing_id()), slices)).drop("_n")
+    parts = rows.groupBy(key, "_slice").applyInPandas(part, f"{key} {kind}, _part array<double>")
+    return parts.groupBy(key).applyInPandas(finish, f"{key} {kind}, {name} double")

@@ -373,6 +373,25 @@ def trimmed_mean(pdf) -> float:
     return v.iloc[len(v) // 10 : len(v) - len(v) // 10].mean()
 
 
-@query("x2_custom_reduction")
+@query("x2_custom_reduction", "SELECT halo_id, round(avg(value) FILTER (k >= n // 10 AND k < n - n // 10), 4) AS trimmed_mean FROM (SELECT halo_id, value, row_number() OVER (PARTITION BY halo_id ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY halo_id) AS n FROM particles WHERE halo_id IS NOT NULL) GROUP BY 1")
 def x2(t):
     return reduce_custom(t.rows.select("halo_id", "value").where("halo_id is not null"), "halo_id", "trimmed_mean").select("halo_id", F.round("trimmed_mean", 4).alias("trimmed_mean"))
+
+
+def softest(parts) -> float:
+    top = parts[:, 0].max()
+    return top + math.log((parts[:, 1] * [math.exp(p - top) for p in parts[:, 0]]).sum())
+
+
+@reducer("log_total", finish=softest)
+def log_total(pdf) -> list[float]:
+    """The largest value of a part, and the sum of exp(value - largest): parts add up without overflow."""
+    v = pdf["value"].to_numpy() / 100
+    return [v.max(), sum(math.exp(x - v.max()) for x in v)]
+
+
+@query("x2b_reduction_in_parts", "SELECT halo_id, round(any_value(top) + ln(sum(exp(value / 100 - top))), 6) AS log_total FROM particles JOIN (SELECT halo_id, max(value) / 100 AS top FROM particles GROUP BY 1) USING (halo_id) GROUP BY 1")
+def x2b(t):
+    """A reduction that is put together from parts, so an object may have any number of rows."""
+    rows = t.rows.select("halo_id", "value").where("halo_id is not null")
+    return reduce_custom(rows, "halo_id", "log_total", most=100_000).select("halo_id", F.round("log_total", 6).alias("log_total"))
