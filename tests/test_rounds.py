@@ -1,10 +1,10 @@
-"""Fits of large objects in rounds, reductions in parts: the same as in one group, and as NumPy."""
+"""Fits of large objects in rounds, reductions in parts, rays through cells: the same as in one group, and as NumPy."""
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from skyframe.operators import shapes
+from skyframe.operators import shapes, sightlines
 from skyframe.plans import catalogs
 
 
@@ -87,3 +87,23 @@ def test_reductions_in_parts(spark):
     assert catalogs.reduce_custom(df, "o", "median_of_test").toPandas().set_index("o").median_of_test[1] == pytest.approx(pdf.v[:60].median())
     with pytest.raises(ValueError, match="register it in parts"):
         catalogs.reduce_custom(df, "o", "median_of_test", most=7)
+
+
+@pytest.mark.parametrize("n, radius, most", [(40, 2.0, 100_000), (1, 5.0, 100_000), (300, 8.0, 40)])
+def test_rays_through_sparse_periodic_cells(spark, n, radius, most):
+    """Candidates within the first radius are far too few on the sparse tables; on the dense one rays are cut into slices."""
+    rng, box = np.random.default_rng(n), 100.0
+    cells = pd.DataFrame(rng.uniform(0, box, (n, 3)), columns=list("xyz")).assign(cell=range(n))
+    lines = pd.DataFrame(rng.uniform(0, box, (12, 2)), columns=list("xy")).assign(ray=range(12))
+    got = sightlines.rays_through_cells(spark.createDataFrame(lines), spark.createDataFrame(cells), "ray", "cell", ["x", "y"], "z", box, radius, most).toPandas().sort_values(["ray", "seq"])
+    assert np.allclose(got.groupby("ray").dl.sum().reindex(range(12)), box)
+    z = np.linspace(0.013, box - 0.013, 700)
+    for r in lines.itertuples():
+        one = got[got.ray == r.ray]
+        assert (one.seq.to_numpy() == np.arange(len(one))).all() and (one.cell.to_numpy()[1:] != one.cell.to_numpy()[:-1]).all()
+        gap = np.abs(cells[["x", "y"]].to_numpy() - [r.x, r.y])
+        d2 = (np.minimum(gap, box - gap) ** 2).sum(1)
+        dz = np.abs(z[:, None] - cells.z.to_numpy()[None])
+        total = d2[None] + np.minimum(dz, box - dz) ** 2
+        found = one.cell.to_numpy()[np.searchsorted(np.cumsum(one.dl.to_numpy())[:-1], z)]
+        assert np.allclose(total[np.arange(len(z)), found], total.min(1), atol=1e-6)
