@@ -370,12 +370,13 @@ def x4(t):
 @reducer("trimmed_mean")
 def trimmed_mean(pdf) -> float:
     v = pdf["value"].sort_values()
-    return v.iloc[len(v) // 10 : len(v) - len(v) // 10].mean()
+    kept = v.iloc[len(v) // 10 : len(v) - len(v) // 10]
+    return round(kept.sum(), 2) / len(kept)
 
 
-@query("x2_custom_reduction", "SELECT halo_id, round(avg(value) FILTER (k >= n // 10 AND k < n - n // 10), 4) AS trimmed_mean FROM (SELECT halo_id, value, row_number() OVER (PARTITION BY halo_id ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY halo_id) AS n FROM particles WHERE halo_id IS NOT NULL) GROUP BY 1")
+@query("x2_custom_reduction", "SELECT halo_id, round(round(sum(value), 2) / count(*), 8) AS trimmed_mean FROM (SELECT halo_id, value, row_number() OVER (PARTITION BY halo_id ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY halo_id) AS n FROM particles WHERE halo_id IS NOT NULL) WHERE k >= n // 10 AND k < n - n // 10 GROUP BY 1")
 def x2(t):
-    return reduce_custom(t.rows.select("halo_id", "value").where("halo_id is not null"), "halo_id", "trimmed_mean").select("halo_id", F.round("trimmed_mean", 4).alias("trimmed_mean"))
+    return reduce_custom(t.rows.select("halo_id", "value").where("halo_id is not null"), "halo_id", "trimmed_mean").select("halo_id", F.round("trimmed_mean", 8).alias("trimmed_mean"))
 
 
 def softest(parts) -> float:

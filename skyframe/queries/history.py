@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history as H
 from ..operators import matching as M
+from ..operators import tracers as T
 from ..operators.ordering import even_sample, islands, prefix_sum, row_index
 from ..plans.roles import query
 
@@ -236,11 +237,106 @@ def w12(t):
     return islands(t.tracks.where("r < 1.2"), ["tracer_id"], "snap", 2)
 
 
-@query("w13_step_changes", "SELECT tracer_id, snap FROM (SELECT tracer_id, snap, step, median(step) OVER (PARTITION BY tracer_id) AS mid FROM (SELECT tracer_id, snap, snap - lag(snap) OVER (PARTITION BY tracer_id ORDER BY snap) AS step FROM tracks)) WHERE step > 1.5 * mid")
+@query("w13_step_changes", """WITH l AS (SELECT tracer_id, snap, log10(snap + 1) - lag(log10(snap + 1)) OVER w AS step, row_number() OVER w AS k FROM tracks WINDOW w AS (PARTITION BY tracer_id ORDER BY snap)),
+    s AS (SELECT tracer_id, snap, k, coalesce(step, lead(step) OVER (PARTITION BY tracer_id ORDER BY snap)) AS step FROM l),
+    m AS (SELECT *, coalesce(step < 0.8 * median(step) OVER (PARTITION BY tracer_id), false) AS small FROM s),
+    g AS (SELECT *, k - row_number() OVER (PARTITION BY tracer_id, small ORDER BY snap) AS run FROM m)
+    SELECT tracer_id, snap FROM (SELECT *, row_number() OVER (PARTITION BY tracer_id, small, run ORDER BY snap) AS place, count(*) OVER (PARTITION BY tracer_id, small, run) AS size FROM g) WHERE NOT small OR size = 1 OR place % 2 = 0""")
 def w13(t):
-    steps = t.tracks.withColumn("step", F.col("snap") - F.lag("snap").over(track()))
-    mid = steps.groupBy("tracer_id").agg(F.percentile("step", F.lit(0.5)).alias("mid"))
-    return steps.join(mid, "tracer_id").where("step > 1.5 * mid").select("tracer_id", "snap")
+    """Snapshots whose steps are even: where they get small, every second one goes."""
+    return H.evened_steps(t.tracks.select("tracer_id", "snap", (F.col("snap") + 1).alias("scale")), "tracer_id", "snap", "scale").select("tracer_id", "snap")
+
+
+@query("w4b_quadratic_smooth", """WITH r AS (SELECT tracer_id, (max(snap) + min(snap)) / 2.0 AS mid FROM tracks GROUP BY 1 HAVING count(*) >= 3),
+    s AS (SELECT tracer_id, any_value(mid) AS mid, CAST(count(*) AS DOUBLE) AS s0, sum(u) AS s1, sum(u * u) AS s2, sum(u * u * u) AS s3, sum(u * u * u * u) AS s4, sum(value) AS v0, sum(value * u) AS v1, sum(value * u * u) AS v2
+        FROM (SELECT tracer_id, mid, (snap - mid) / 15.0 AS u, value FROM tracks JOIN r USING (tracer_id)) GROUP BY 1),
+    d AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM s),
+    c AS (SELECT tracer_id, mid, (v0 * (s2 * s4 - s3 * s3) - s1 * (v1 * s4 - v2 * s3) + s2 * (v1 * s3 - v2 * s2)) / det AS c0, (s0 * (v1 * s4 - v2 * s3) - v0 * (s1 * s4 - s2 * s3) + s2 * (s1 * v2 - s2 * v1)) / det AS c1, (s0 * (s2 * v2 - s3 * v1) - s1 * (s1 * v2 - s2 * v1) + v0 * (s1 * s3 - s2 * s2)) / det AS c2 FROM d)
+    SELECT tracer_id, snap, round(c0 + c1 * (snap - mid) / 15.0 + c2 * pow((snap - mid) / 15.0, 2), 4) + 0.0 AS smooth FROM tracks JOIN c USING (tracer_id)""")
+def w4b(t):
+    rows = t.tracks.join(t.tracks.groupBy("tracer_id").agg(F.count(F.lit(1)).alias("c")).where("c >= 3"), "tracer_id")
+    return H.polynomial(rows, "tracer_id", "snap", "value", 2, "smooth").select("tracer_id", "snap", (F.round("smooth", 4) + F.lit(0.0)).alias("smooth"))
+
+
+#: each tracer's parent id at each snapshot, without its type; the id tables of every snapshot and type; branches with holes
+_TP = "(SELECT tracer_id, snap, CAST(tracer_id % 10 * 3 + snap % 3 AS BIGINT) AS parent_id FROM tracks)"
+_IDS = "(SELECT CAST(o_orderkey % 30 AS INTEGER) AS snap, CASE left(o_orderpriority, 1) WHEN '1' THEN 'bh' WHEN '2' THEN 'bh' WHEN '3' THEN 'stars' ELSE 'gas' END AS kind, o_orderkey // 30 % 30 AS id, (o_orderkey // 30 % 30 // 3 + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) % 10 AS obj, o_totalprice AS value FROM orders)"
+_PAR = f"(SELECT tracer_id, snap, parent_id, kind, obj, value FROM {_TP} LEFT JOIN (SELECT snap, id AS parent_id, kind, obj, value, row_number() OVER (PARTITION BY snap, id ORDER BY CASE kind WHEN 'gas' THEN 1 WHEN 'stars' THEN 2 ELSE 3 END, obj, value) AS k FROM {_IDS}) USING (snap, parent_id) WHERE coalesce(k, 1) = 1)"
+_BR = "(SELECT DISTINCT o_custkey % 10 AS root, CAST(o_orderkey % 30 AS INTEGER) AS snap, o_custkey % 10 AS obj FROM orders WHERE (o_custkey % 10 + o_orderkey % 30) % 9 <> 0)"
+
+
+def parents(t):
+    rows = t.tracks.select("tracer_id", "snap", F.expr("cast(tracer_id % 10 * 3 + snap % 3 as bigint)").alias("parent_id"))
+    kind = F.expr("CASE left(o_orderpriority, 1) WHEN '1' THEN 'bh' WHEN '2' THEN 'bh' WHEN '3' THEN 'stars' ELSE 'gas' END")
+    ids = t.orders.select(F.expr("cast(o_orderkey % 30 as int)").alias("snap"), kind.alias("kind"), F.expr("o_orderkey div 30 % 30").alias("id"), F.expr("(o_orderkey div 30 % 30 div 3 + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) % 10").alias("obj"), F.col("o_totalprice").alias("value"))
+    return T.typed_parents(rows, ids, ["gas", "stars", "bh"], "snap", "parent_id", ["obj", "value"])
+
+
+def branch_rows(t):
+    return t.orders.where("(o_custkey % 10 + o_orderkey % 30) % 9 <> 0").select(F.expr("o_custkey % 10").alias("root"), F.expr("cast(o_orderkey % 30 as int)").alias("snap"), F.expr("o_custkey % 10").alias("obj")).distinct()
+
+
+@query("j20b_typed_parents", f"SELECT tracer_id, snap, parent_id, kind, obj, value FROM {_PAR}")
+def j20b(t):
+    """The parent of every tracer at every snapshot: its type by precedence, its object, its value."""
+    return parents(t)
+
+
+_FINAL = f"(SELECT tracer_id, coalesce(f.root, -1) AS root FROM (SELECT tracer_id, max_by(coalesce(obj, -1), snap) AS last FROM {_PAR} GROUP BY 1) LEFT JOIN (SELECT DISTINCT obj AS last, obj // 2 * 2 AS root FROM {_IDS}) f USING (last))"
+
+
+def finals(t):
+    """Each tracer's rows with -1 for no object, and the branch of the central of its last halo (two objects each)."""
+    found = parents(t).select(F.col("tracer_id").alias("tracer"), "snap", F.coalesce("obj", F.lit(-1)).alias("obj"))
+    objects = t.orders.select(F.expr("(o_orderkey div 30 % 30 div 3 + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) % 10").alias("obj")).distinct()
+    halo_of = objects.select("obj", F.expr("obj div 2").alias("halo"), F.expr("obj div 2 * 2").alias("first_obj"))
+    return found, T.branch_of_final(found, halo_of, branch_rows(t))
+
+
+@query("j21b_branch_of_final_central", f"SELECT tracer_id AS tracer, CASE WHEN b.obj IS NULL THEN -1 ELSE root END AS root, b.snap, coalesce(b.obj, -1) AS obj FROM {_FINAL} LEFT JOIN {_BR} b USING (root)")
+def j21b(t):
+    return finals(t)[1]
+
+
+@query("a69b_accretion_modes", f"""WITH par AS (SELECT tracer_id, snap, coalesce(obj, -1) AS obj FROM {_PAR}), m AS (SELECT f.tracer_id, b.snap, b.obj AS main FROM {_FINAL} f JOIN {_BR} b USING (root)),
+    e AS (SELECT tracer_id, min(snap) FILTER (r < 0.5) AS acc FROM tracks GROUP BY 1),
+    j AS (SELECT e.tracer_id, acc, par.snap, par.obj, main FROM e LEFT JOIN par USING (tracer_id) LEFT JOIN m ON m.tracer_id = e.tracer_id AND m.snap = par.snap),
+    s AS (SELECT tracer_id, acc, max(main) FILTER (snap = acc) AS main, coalesce(max(obj) FILTER (snap = acc), -1) AS obj, coalesce(bool_or(obj <> -1 AND (main IS NULL OR obj <> main)) FILTER (snap <= acc), false) AS other FROM j GROUP BY ALL)
+    SELECT tracer_id AS tracer, CASE WHEN acc IS NULL THEN 'none' WHEN acc = (SELECT min(snap) FROM par) THEN 'smooth' WHEN main IS NULL THEN 'none' WHEN obj <> main THEN 'merger' WHEN other THEN 'stripped' ELSE 'smooth' END AS mode FROM s""")
+def a69b(t):
+    """A tracer's object against the object of the branch it ends in, at the snapshot of entry and before."""
+    found, branch = finals(t)
+    entered = t.tracks.groupBy(F.col("tracer_id").alias("tracer")).agg(F.min(F.when(F.col("r") < 0.5, F.col("snap"))).alias("acc"))
+    return T.accretion_modes(found, branch.where("obj <> -1").select("tracer", "snap", "obj"), entered)
+
+
+_FORM = "(SELECT o_custkey AS root, CAST(o_orderkey % 30 AS INTEGER) AS snap, min(sub_id) AS sub FROM orders JOIN subs ON sub_id = o_orderkey GROUP BY ALL)"
+
+
+@query("a66b_formation_in_halo", f"""WITH b AS (SELECT f.root, f.snap, f.sub, f.sub % 50 AS halo, x, y, z, mass, mass * (0.5 + f.sub % 5 / 10.0) AS dm FROM {_FORM} f JOIN subs ON sub_id = f.sub),
+    h AS (SELECT snap, halo, min(sub) AS first_sub, min_by(x, sub) AS x, min_by(y, sub) AS y, min_by(z, sub) AS z, CASE WHEN halo % 10 = 0 THEN 0.0 ELSE 20.0 + halo END AS rvir FROM b GROUP BY snap, halo),
+    f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY root ORDER BY snap) = 1),
+    d AS (SELECT f.*, first_sub, rvir, sqrt(pow(least(abs(f.x - h.x), 1000 - abs(f.x - h.x)), 2) + pow(least(abs(f.y - h.y), 1000 - abs(f.y - h.y)), 2) + pow(least(abs(f.z - h.z), 1000 - abs(f.z - h.z)), 2)) AS d FROM f JOIN h USING (snap, halo))
+    SELECT root, snap, CAST(first_sub <> sub AS INTEGER) AS satellite, CASE WHEN d = 0 THEN 0 WHEN rvir = 0 THEN 'inf'::DOUBLE ELSE round(d / rvir, 8) END AS distance_rvir, round(dm / mass, 8) AS dm_fraction FROM d""")
+def a66b(t):
+    first = t.subs.groupBy(F.col("halo_id").alias("root"), F.expr("cast(sub_id % 30 as int)").alias("snap")).agg(F.min("sub_id").alias("sub"))
+    branch = first.join(t.subs.select(F.col("sub_id").alias("sub"), "x", "y", "z", "mass"), "sub").withColumns({"halo": F.expr("sub % 50"), "dm": F.col("mass") * (0.5 + F.expr("sub % 5") / 10.0)})
+    halos = branch.groupBy("snap", "halo").agg(F.min("sub").alias("first_sub"), *(F.min_by(d, "sub").alias(d) for d in "xyz")).withColumn("rvir", F.expr("CASE WHEN halo % 10 = 0 THEN 0.0D ELSE 20.0D + halo END"))
+    out = T.at_formation(branch, halos, ["x", "y", "z"], 1000.0)
+    return out.select("root", "snap", "satellite", F.round("distance_rvir", 8).alias("distance_rvir"), F.round("dm_fraction", 8).alias("dm_fraction"))
+
+
+@query("a98b_crossing_events", """WITH s AS (SELECT tracer_id, CAST(snap AS DOUBLE) AS t, r, r >= 1.0 + snap * 0.01 AS above, r < 0.6 + snap * 0.01 AS below FROM tracks),
+    p AS (SELECT *, lag(t) OVER w AS pt, lag(r) OVER w AS pr, lag(above) OVER w AS was FROM s WINDOW w AS (PARTITION BY tracer_id ORDER BY t)),
+    c AS (SELECT *, pt + (1.0 + pt * 0.01 - pr) / ((r - pr) / (t - pt) - 0.01) AS hi, pt + (0.6 + pt * 0.01 - pr) / ((r - pr) / (t - pt) - 0.01) AS lo, above AND NOT coalesce(was, false) AS enters, NOT above AND coalesce(was, false) AS leaves FROM p),
+    n AS (SELECT *, count(*) FILTER (enters) OVER (PARTITION BY tracer_id ORDER BY t) AS n FROM c),
+    b AS (SELECT tracer_id, min(t) AS start, min_by(below, t) AS b, min_by(coalesce(lo, t), t) FILTER (NOT below) AS stop FROM c GROUP BY 1)
+    SELECT tracer_id, 'below' AS event, 1 AS n, start, round(stop, 6) AS stop FROM b WHERE b
+    UNION ALL SELECT tracer_id, 'above', n, round(max(coalesce(hi, t)) FILTER (enters), 6), round(max(hi) FILTER (leaves), 6) FROM n WHERE enters OR leaves GROUP BY tracer_id, n""")
+def a98b(t):
+    """One row for each stay above the upper boundary, and the first exit from below the lower one."""
+    out = H.stays_above(t.tracks, "tracer_id", "snap", "r", (0.6, 0.01), (1.0, 0.01))
+    return out.select("tracer_id", "event", "n", R6("start").alias("start"), R6("stop").alias("stop"))
 
 
 @query("w14_first_of_each", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
