@@ -95,7 +95,7 @@ def posteriors(docs: DataFrame, fitted: tuple[PipelineModel, list[str]] | None)
     return rows.drop("_words", "_a", "_b", "_c", "_d", "_tf", "_x", "_p", "_y", "_z")
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], scale: float | None = None, steps: int = 6, close: float = 1e-4, exact: int = 80, headroom: float | None = None, zero_pull: float = 1e-4, keep_every: int = 8) -> Mixture:
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], scale: float | None = None, steps: int = 2, close: float = 1e-4, exact: int = 80, headroom: float | None = None, zero_pull: float = 1e-4, keep_every: int = 8) -> Mixture:
     """(tokens, p) and target weights -> the mixture whose expected totals are the targets' shares of all tokens.
 
     `scale`: the expected tokens of the result over those of the input; by default as many as let every domain with a
@@ -150,7 +150,7 @@ def settled(members: DataFrame, aim: list[float], base: list[float], least_pull:
     With pulls e_d, by which each domain's squared distance is divided, the least squares have one minimiser, where
     e_d base_d y_d = totals_d - aim_d; its rates are where projected gradient steps stand still.  y minimises a convex function of as many numbers as there are domains, whose value,
     gradient (the totals) and curvature (sums over the documents with a rate over 0) one pass gives; steps are halved
-    until they lower it.  The pull goes down tenfold each time the gradient is within `close` of every domain's own
+    until they lower it.  The pull goes down a hundredfold each time the gradient is within `close` of every domain's own
     target or total, to each domain's `least_pull`.
     """
     k, a, b, least = len(aim), np.array(aim), np.array(base), np.array(least_pull)
@@ -177,7 +177,7 @@ def settled(members: DataFrame, aim: list[float], base: list[float], least_pull:
         if (np.abs(slope) <= close * np.maximum(np.maximum(a, s), 1e-9 * b.sum())).all():
             if (pull <= least).all():
                 break
-            pull = np.maximum(pull / 10, least)
+            pull = np.maximum(pull / 100, least)
             continue
         step = np.linalg.solve(bend + np.diag(pull * b), -slope)
         height = lambda y, value: value + (pull * b * y * y).sum() / 2 + (a * y).sum()  # noqa: B023, E731
