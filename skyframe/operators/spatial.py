@@ -125,6 +125,54 @@ def nearest(centers: DataFrame, points: DataFrame, center: str, point: str, dims
         radius *= 2
 
 
+def adaptive_size(centers: DataFrame, points: DataFrame, center: str, point: str, dims: list[str], box: float, number: float, radius: float = 50.0) -> DataFrame:
+    """(center, size): the size at which the kernel-weighted number of points around each center is `number`.
+
+    The weighted number, 4 pi / 3 times the sum of the cubic spline kernel (integral 1 in a unit ball) over distances
+    in units of the size, grows with it, so bisection in its cube finds it, for a batch of centers at once, on lists of
+    neighbours that are looked up once.  A list is long enough if its farthest point is not nearer than the size; the
+    other centers go on with lists twice as long.  Null where all points together are fewer than `number`.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def weighed(u):
+        return 4 / 3 * np.pi * 8 / np.pi * np.where(u < 0.5, 1 - 6 * u * u + 6 * u**3, np.where(u < 1, 2 * (1 - u) ** 3, 0.0))
+
+    def solve(batches):
+        for pdf in batches:
+            sizes = np.full(len(pdf), np.nan)
+            width = max((len(d) for d in pdf["near"]), default=0)
+            d = np.full((len(pdf), width), np.inf)
+            for i, near in enumerate(pdf["near"]):
+                d[i, : len(near)] = near
+            # Beyond the farthest listed point others might count; a list with all points has no such end.
+            high = np.where(pdf["all"], 1e6, 1.0) * np.where(np.isfinite(d), d, 0).max(1, initial=0.0) ** 3
+            with np.errstate(divide="ignore", invalid="ignore"):
+                count = lambda h3: weighed(np.nan_to_num(d / np.cbrt(h3)[:, None], nan=0.0)).sum(1)
+                found = (high > 0) & (count(high) >= number)
+                low = np.zeros(len(pdf))
+                for _ in range(70):
+                    mid = (low + high) / 2
+                    more = count(mid) >= number
+                    high, low = np.where(more, mid, high), np.where(more, low, mid)
+            sizes[found] = np.cbrt(high[found])
+            yield pd.DataFrame({"center": pdf["center"], "size": pd.Series(sizes).astype(object).where(found, None), "all": pdf["all"]})
+
+    total, k, left, done = points.count(), int(2 * number) + 1, centers, None
+    kind = centers.schema[center].dataType.simpleString()
+    while True:
+        near = nearest(left, points, center, point, dims, box, k, radius, skip_self=False)
+        near = near.groupBy("center").agg(F.sort_array(F.collect_list("distance")).alias("near")).withColumn("all", F.lit(k >= total))  # at most k
+        out = cut(near.mapInPandas(solve, f"center {kind}, size double, all boolean"))
+        settled = out.where("all or size is not null").select("center", "size")
+        done = settled if done is None else done.unionByName(settled)
+        left = cut(left.join(settled.select(F.col("center").alias(center)), center, "left_anti"))
+        if k >= total or left.isEmpty():
+            return done
+        k *= 2
+
+
 def positional_match(a: DataFrame, b: DataFrame, key: str, dims: list[str], box: float, mass: str, dex: float, radius: float) -> DataFrame:
     """(key, other): each row's nearest row of another table, however far; -1 if the masses differ by more than `dex`."""
     best = nearest(a, b, key, key, dims, box, 1, radius, skip_self=False).select(F.col("center").alias(key), F.col("point").alias("other"))

@@ -274,6 +274,20 @@ def j32(t):
     return out.withColumn("distance", F.round("distance", 6))
 
 
+@query("j32b_matched_realisations", """WITH t AS (SELECT s_suppkey, s_nationkey, s_acctbal AS bal, r FROM supplier, range(4) g(r)),
+    b AS (SELECT t.s_suppkey, t.r, c_custkey, abs(bal - c_acctbal) AS d, row_number() OVER (PARTITION BY t.s_suppkey, t.r ORDER BY abs(bal - c_acctbal), c_custkey) AS k FROM t JOIN customer ON s_nationkey = c_nationkey
+        AND CASE r WHEN 0 THEN c_acctbal > bal - 500 WHEN 1 THEN c_acctbal > bal + 7000 WHEN 2 THEN c_acctbal < bal - 7000 ELSE c_acctbal < bal END)
+    SELECT t.s_suppkey, CAST(t.r AS INTEGER) AS r, round(d, 6) AS distance, last_value(c_custkey IGNORE NULLS) OVER (PARTITION BY t.s_suppkey ORDER BY t.r ROWS UNBOUNDED PRECEDING) AS c_custkey FROM t LEFT JOIN b ON t.s_suppkey = b.s_suppkey AND t.r = b.r AND k = 1""")
+def j32b(t):
+    """Four realisations of each target with limits of their own; where none fits, the one before is used again."""
+    targets = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("bal")).withColumn("r", F.explode(F.array(*(F.lit(k) for k in range(4)))))
+    items = t.customer.select("c_custkey", F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("bal"))
+    gap, r = F.col("c.bal") - F.col("t.bal"), F.col("t.r")
+    fits = F.when(r == 0, gap > -500).when(r == 1, gap > 7000).when(r == 2, gap < -7000).otherwise(gap < 0)
+    out = M.matched_realisations(targets, items, ["nation"], lambda a, b: fits, {"bal": 1.0}, "s_suppkey", "r", "c_custkey")
+    return out.withColumn("distance", F.round("distance", 6))
+
+
 @query("j33_nearest_snapshot", "SELECT event_id, (SELECT max_by(snap, (-abs(redshift - value / 100), snap)) FROM snapshots) AS snap FROM events")
 def j33(t):
     return M.nearest_time(t.events.withColumn("z", F.col("value") / 100), t.snapshots, "z", "redshift", "snap", "snap").select("event_id", F.col("snap").cast("int").alias("snap"))

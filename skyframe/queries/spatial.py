@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import correlation as K
+from ..operators import images as I  # noqa: E741
 from ..operators import maps as P
 from ..operators import shapes as S
 from ..operators import spatial as J
@@ -73,6 +74,13 @@ def j27(t):
     return found.groupBy("center").agg(R6((d(32) + d(33)) / 2).alias("h"))
 
 
+@query("j27b_weighted_size")
+def j27b(t):
+    """The size within which the kernel-weighted number of objects is 32."""
+    out = J.adaptive_size(t.subs.where("sub_id % 50 = 0"), t.subs, "sub_id", "sub_id", ["x", "y", "z"], 1000.0, 32.0, 80.0)
+    return out.select("center", R6("size").alias("size"))
+
+
 #: the central objects of a second run of the same volume
 _OTHER = "(SELECT sub_id, (x + sub_id % 11 + 995) % 1000 AS x, (y + sub_id % 7 + 997) % 1000 AS y, z, log10(mass * (0.4 + sub_id % 13 / 10.0)) AS lm FROM subs WHERE sub_id IN (SELECT first_sub FROM halos))"
 
@@ -396,6 +404,29 @@ def a16(t):
     return img.groupBy("c").agg(F.round(gini, 8).alias("gini"), F.count_if(F.col("value") > 1.5 * F.col("total") / F.col("n")).alias("area"))
 
 
+@query("a16b_brightest_moment", """WITH i AS (SELECT class AS c, CAST(floor(x / 50) AS INTEGER) AS ix, CAST(floor(y / 50) AS INTEGER) AS iy, sum(mass) AS v FROM subs GROUP BY ALL),
+    s AS (SELECT *, sum(v) OVER (PARTITION BY c ORDER BY v, ix, iy) AS upto, sum(v) OVER (PARTITION BY c) AS total FROM i),
+    t AS (SELECT c, min(v) FILTER (upto >= 0.8 * total) AS threshold, sum(ix * v) / sum(v) AS cx, sum(iy * v) / sum(v) AS cy FROM s GROUP BY 1),
+    m AS (SELECT c, sum(ix * ix * v) - any_value(cx) * sum(ix * v) + sum(iy * iy * v) - any_value(cy) * sum(iy * v) AS a,
+        sum(ix * ix * v) FILTER (v >= threshold) - any_value(cx) * sum(ix * v) FILTER (v >= threshold) + sum(iy * iy * v) FILTER (v >= threshold) - any_value(cy) * sum(iy * v) FILTER (v >= threshold) AS b FROM i JOIN t USING (c) GROUP BY 1)
+    SELECT c, round(CASE WHEN a > 0 AND b > 0 THEN log10(b / a) END, 8) AS m20 FROM m""")
+def a16b(t):
+    return I.m20(class_images(t), "c", "ix", "iy", "value").select("c", F.round("m20", 8).alias("m20"))
+
+
+@query("a16c_bounding_ellipses")
+def a16c(t):
+    """The ellipse of least area around the pixels of each image with over 1.5 times its mean."""
+    img = class_images(t)
+    img = img.join(img.groupBy("c").agg(F.avg("value").alias("mean")), "c").withColumn("rel", F.col("value") / F.col("mean"))
+    out = I.bounding_ellipses(img, "c", "ix", "iy", "rel", 1.5)
+    return out.select("c", *(F.round(x, 4).alias(x) for x in ("major", "minor", "angle", "cx", "cy")))
+
+
+def class_images(t):
+    return t.subs.groupBy(F.col("class").alias("c"), F.floor(F.col("x") / 50).cast("int").alias("ix"), F.floor(F.col("y") / 50).cast("int").alias("iy")).agg(F.sum("mass").alias("value"))
+
+
 @query("a17_velocity_maps", "SELECT c, round(max(v), 6) AS vmax, round(max(s), 6) AS smax FROM (SELECT class AS c, floor(x / 100) AS ix, floor(y / 100) AS iy, sum(mass * vz) / sum(mass) AS v, stddev_pop(vz) AS s FROM subs GROUP BY ALL) GROUP BY 1")
 def a17(t):
     pix = t.subs.groupBy(F.col("class").alias("c"), F.floor(F.col("x") / 100), F.floor(F.col("y") / 100)).agg((F.sum(F.col("mass") * F.col("vz")) / F.sum("mass")).alias("v"), F.stddev_pop("vz").alias("s"))
