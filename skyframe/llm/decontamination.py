@@ -221,7 +221,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     windows = staged(item_windows(items, window), "item-windows")
     shingles = staged(window_shingles(windows.select("win").distinct(), shingle), "item-shingles")
     sizes = sorted(r["size"] for r in shingles.select("size").distinct().collect())  # at most `shingle` of them
-    chosen = staged(prefixes(shingles, shingle_counts(docs, shingles, sizes), least), "prefixes")
+    counts = staged(shingle_counts(docs, shingles, sizes), "shingle-counts")  # looked up several times
+    chosen = staged(prefixes(shingles, counts, least), "prefixes")
     rows = staged(candidates(docs, chosen, sizes, window), "candidates")
     found = rows.select("row", F.col("n_words").alias("doc_words"), F.explode("found").alias("f")).select("row", "doc_words", "f.*")
     owners = windows.groupBy("win").agg(F.collect_set("item").alias("items"))
