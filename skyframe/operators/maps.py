@@ -45,11 +45,17 @@ def deposit(rows: DataFrame, x: str, y: str, size: str, mass: str, box: float, p
 def mass_map(rows: DataFrame, x: str, y: str, size: str, mass: str, box: float, pixels: int, most: int = 500, size_y: str | None = None, spread: int | None = None) -> DataFrame:
     """(ix, iy, value): the sum of deposit() for each pixel, by a vectorised kernel.
 
-    Each task adds up its rows' shares and sends one row for each pixel that it has met.  `spread` deals the rows to
-    that many tasks first; a table of many files needs no such shuffle.
+    Each task adds up its rows' shares and sends one row for each pixel that it has met, in parts of at most about a
+    million pixels, so that a task's memory does not grow with the map.  `spread` deals the rows to that many tasks
+    first; a table of many files needs no such shuffle.
     """
     p = box / pixels
 
+    def packed(total):
+        cells = np.fromiter(total, np.int64, len(total))
+        cols = [pa.array((cells // pixels).astype(np.int32)), pa.array((cells % pixels).astype(np.int32)), pa.array(list(total.values()), pa.float64())]
+        return pa.RecordBatch.from_arrays(cols, names=["ix", "iy", "value"])
+
     def run(batches):
         total: dict[int, float] = {}
         for batch in batches:
@@ -71,15 +77,64 @@ def mass_map(rows: DataFrame, x: str, y: str, size: str, mass: str, box: float,
                     some, where = np.unique(pixel[w > 0], return_inverse=True)
                     for a, b in zip(some.tolist(), np.bincount(where, share[w > 0]).tolist()):
                         total[a] = total.get(a, 0.0) + b
-        cells = np.fromiter(total, np.int64, len(total))
-        cols = [pa.array((cells // pixels).astype(np.int32)), pa.array((cells % pixels).astype(np.int32)), pa.array(list(total.values()), pa.float64())]
-        yield pa.RecordBatch.from_arrays(cols, names=["ix", "iy", "value"])
+                    if len(total) > 1_000_000:
+                        yield packed(total)
+                        total = {}
+        yield packed(total)
 
     some = rows.select(*(F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate((x, y, size, size_y or size, mass))))
     some = some.repartition(spread) if spread else some
     return some.mapInArrow(run, "ix int, iy int, value double").groupBy("ix", "iy").agg(F.sum("value").alias("value"))
 
 
+def level_grid(rows: DataFrame, pos: list[str], size: str, mass: str, box: float, finest: int, levels: int) -> DataFrame:
+    """(level, i<dim>..., value): rows deposited on periodic grids of 1, 2, 4, ... times the finest pixel, in 2-D or 3-D.
+
+    A row goes to the level whose pixel is the first of at least half its size (the last one if none is), so it meets
+    a few pixels in each direction however large it is.  Its shares are the kernel at the pixels' centers, adding to
+    one; a row smaller than its pixel goes into that one.  `finest` must be divisible by 2^(levels - 1).
+    """
+    if finest % (1 << (levels - 1)):
+        raise ValueError("finest must be divisible by 2^(levels - 1)")
+    dims, p0 = len(pos), box / finest
+
+    def run(batches):
+        for batch in batches:
+            x = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(dims)], axis=1) % box
+            h, m = (batch.column(dims + k).to_numpy(zero_copy_only=False).astype(float) for k in range(2))
+            level = np.clip(np.ceil(np.log2(np.maximum(h / (2 * p0), 1e-300))), 0, levels - 1).astype(int)
+            reach = np.ceil(h / (p0 * 2.0**level)).astype(int)
+            for at_level, r in np.unique(np.stack([level, reach], axis=1), axis=0).tolist():
+                same, p, n = np.flatnonzero((level == at_level) & (reach == r)), p0 * (1 << at_level), finest >> at_level
+                step = np.stack([g.ravel() for g in np.meshgrid(*[np.arange(-r, r + 1)] * dims, indexing="ij")], axis=1)
+                for a in range(0, len(same), many := max(1, 500_000 // len(step))):
+                    k = same[a : a + many]
+                    cell = np.floor(x[k] / p)[:, None, :] + step[None]
+                    u = np.sqrt((((cell + 0.5) * p - x[k][:, None, :]) ** 2).sum(2)) / np.maximum(h[k], 1e-300)[:, None]
+                    w = np.where(u < 0.5, 1 - 6 * u * u + 6 * u**3, np.where(u < 1, 2 * np.maximum(1 - u, 0) ** 3, 0.0))
+                    full = w.sum(1, keepdims=True)
+                    w = np.where(full > 0, w, (step == 0).all(1)[None])
+                    share = m[k][:, None] * w / np.where(full > 0, full, 1.0)
+                    number = np.ravel_multi_index(tuple((cell % n).astype(np.int64)[..., d] for d in range(dims)), (n,) * dims)
+                    some, where = np.unique(number[w > 0], return_inverse=True)
+                    places = np.unravel_index(some, (n,) * dims)
+                    cols = [pa.array(np.full(len(some), at_level, np.int32)), *(pa.array(i.astype(np.int32)) for i in places), pa.array(np.bincount(where, share[w > 0], len(some)))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["level", *names, "value"])
+
+    names = [f"i{d}" for d in pos]
+    some = rows.select(*(F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate((*pos, size, mass))))
+    return some.mapInArrow(run, f"level int, {', '.join(f'{n} int' for n in names)}, value double").groupBy("level", *names).agg(F.sum("value").alias("value"))
+
+
+def refined(grid: DataFrame, names: list[str]) -> DataFrame:
+    """level_grid() on its finest grid: (names, value); a coarse pixel's value is shared evenly by those it consists of."""
+    children = F.pow(F.lit(2.0), F.col("level")).cast("int")
+    out = grid
+    for n in names:
+        out = out.withColumn(n, F.explode(F.transform(F.sequence(F.lit(0), children - 1), lambda k: F.col(n) * children + k)))  # noqa: B023
+    return out.groupBy(*names).agg(F.sum(F.col("value") / F.pow(children, F.lit(float(len(names))))).alias("value"))
+
+
 def pyramid(image: DataFrame, levels: int) -> DataFrame:
     """Means of 2 x 2 pixels, level by level; level 0 is the image."""
     out, now = image.select(F.lit(0).alias("level"), "ix", "iy", "value"), image

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import running_sums
+
 
 def weighted_mean(v, w) -> Column:
     """sum(w v) / sum(w); the plain mean if all weights are zero; null without rows."""
@@ -34,31 +36,39 @@ def aperture(members: DataFrame, objects: DataFrame, key: str, distance2: Column
     return out.fillna(fill) if fill else out
 
 
-def enclosing_radius(rows: DataFrame, key: str, r: str, w: str, fraction: float, tie: list[str], name: str = "radius") -> DataFrame:
-    """Radius that holds a fraction of the weight: running sums in order of r, linear between rows, from 0 before the first."""
-    order = Window.partitionBy(key).orderBy(r, *tie)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    c = rows.withColumn("_c", F.sum(w).over(upto)).withColumn("_t", F.sum(w).over(Window.partitionBy(key)))
-    c = c.withColumn("_pc", F.coalesce(F.lag("_c").over(order), F.lit(0.0))).withColumn("_pr", F.coalesce(F.lag(r).over(order), F.lit(0.0)))
-    goal = F.col("_t") * fraction
-    hit = c.where((F.col("_c") >= goal) & (F.col("_pc") < goal))
-    at = F.col("_pr") + (goal - F.col("_pc")) / (F.col("_c") - F.col("_pc")) * (F.col(r) - F.col("_pr"))
-    return hit.groupBy(key).agg(F.min(at).alias(name))
+def enclosing_radii(rows: DataFrame, key: str, r: str, w: str, fractions: dict[str, float], tie: list[str], small: int = 1_000_000) -> DataFrame:
+    """Radii that hold fractions of an object's weight: running sums in order of r, linear between rows, from 0 before the first.
+
+    All fractions come from one order of the rows; the rows before and after each are found by partial aggregation.
+    """
+    rows = running_sums(rows.select(*dict.fromkeys([key, r, w, *tie])), key, r, tie, {"_c": w}, small)
+    row = F.struct(F.col(r).alias("r"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(tie)), F.col("_c").alias("c"))
+    rows = rows.join(rows.groupBy(key).agg(F.max(row)["c"].alias("_t")), key)  # the last running sum
+    sums = []
+    for n, f in fractions.items():
+        reached = F.col("_c") >= F.col("_t") * f
+        sums += [F.max(F.when(~reached, row)).alias(f"_a_{n}"), F.min(F.when(reached, row)).alias(f"_b_{n}")]
+    found = rows.groupBy(key, "_t").agg(*sums)
+    out = {}
+    for n, f in fractions.items():
+        pr, pc = (F.coalesce(F.col(f"_a_{n}.{x}"), F.lit(0.0)) for x in "rc")
+        out[n] = pr + (F.col("_t") * f - pc) / (F.col(f"_b_{n}.c") - pc) * (F.col(f"_b_{n}.r") - pr)
+    return found.where("_t > 0").select(key, *(v.alias(n) for n, v in out.items()))
 
 
-def ordered_value(rows: DataFrame, key: str, by: str, tie: list[str], index: int, name: str) -> DataFrame:
+def ordered_value(rows: DataFrame, key: str, by: str, tie: list[str], index: int, name: str, small: int = 1_000_000) -> DataFrame:
     """The element at `index` (from 0) in order, or the last one."""
-    w = Window.partitionBy(key)
-    ranked = rows.withColumn("_k", F.row_number().over(w.orderBy(by, *tie)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("_k") == F.least(F.col("_n") - 1, F.lit(index))).select(key, F.col(by).alias(name))
+    ranked = running_sums(rows.select(*dict.fromkeys([key, by, *tie])), key, by, tie, {"_k": F.lit(1)}, small)
+    row = F.struct(by, *tie)
+    best = ranked.groupBy(key).agg(F.max(F.when(F.col("_k") <= index + 1, row)).alias("_b"))
+    return best.select(key, F.col(f"_b.{by}").alias(name))
 
 
-def overdensity(rows: DataFrame, key: str, r: str, mass: str, tie: list[str], deltas: list[float], density: float) -> DataFrame:
+def overdensity(rows: DataFrame, key: str, r: str, mass: str, tie: list[str], deltas: list[float], density: float, small: int = 1_000_000) -> DataFrame:
     """For each multiple of a density, the last radius within which the mean density is above it, and the mass there."""
     import math
 
-    w = Window.partitionBy(key).orderBy(r, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    c = rows.where(F.col(r) > 0).withColumn("_m", F.sum(mass).over(w)).withColumn("_rho", F.col("_m") / (F.pow(F.col(r), F.lit(3.0)) * (4 / 3 * math.pi)))
+    c = running_sums(rows.where(F.col(r) > 0), key, r, tie, {"_m": mass}, small).withColumn("_rho", F.col("_m") / (F.pow(F.col(r), F.lit(3.0)) * (4 / 3 * math.pi)))
     out = []
     for d in deltas:
         above = F.when(F.col("_rho") > d * density, F.struct(F.col(r).alias("r"), F.col("_m").alias("m")))

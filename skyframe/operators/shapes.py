@@ -15,25 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .sizes import by_size, sender
 
 SMALL = 200_000
 _PAIRS = [(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)]
 
 
-def sender(keys: DataFrame, most: int = 100_000) -> Callable[[DataFrame], DataFrame]:
-    """F.broadcast for tables with a row for each key, or for fewer of them, if there are at most `most`; else tables stay as they are."""
-    return F.broadcast if keys.limit(most + 1).count() <= most else lambda df: df
-
-
-def by_size(rows: DataFrame, key: str, small: int) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of objects with up to `small` rows, and those of the others (None if there are none)."""
-    large = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small).select(key))
-    if large.isEmpty():
-        return rows, None
-    send = sender(large)
-    return rows.join(send(large), key, "left_anti"), rows.join(send(large), key, "left_semi")
-
-
 def in_rounds(rows: DataFrame, key: str, state: DataFrame, sums: dict[str, Column], step: Callable[[pd.DataFrame], pd.DataFrame], rounds: int) -> DataFrame:
     """Steps all objects together until none is `open`.
 
@@ -250,16 +237,22 @@ def cuboid_remap(rows: DataFrame, key: str, pos: list[str], lattice: list[list[i
     for i in range(3):
         e[i] = u[i] - sum((u[i] @ e[j]) / (e[j] @ e[j]) * e[j] for j in range(i))
     size = np.linalg.norm(e, axis=1)
-    frame, shifts = e / size[:, None], [np.array([a, b, c]) for a in range(-4, 5) for b in range(-4, 5) for c in range(-4, 5)]
+    frame, reach = e / size[:, None], range(-4, 5)
+    cube = np.array([[a, b, c] for a in (0, 1) for b in (0, 1) for c in (0, 1)]) @ frame.T
+    moved = [(np.array([a, b, c]), cube + frame @ [a, b, c]) for a in reach for b in reach for c in reach]
+    shifts = [s for s, at in moved if (at.max(0) >= -1e-9).all() and (at.min(0) <= size + 1e-9).all()]  # the images that can meet the cuboid
 
     def run(batches):
         for pdf in batches:
             x = pdf[pos].to_numpy(float) / box
             out, done = np.full_like(x, np.nan), np.zeros(len(x), bool)
             for s in shifts:
-                y = (x + s) @ frame.T
-                hit = ~done & (y >= -1e-12).all(1) & (y < size - 1e-12).all(1)
-                out[hit], done[hit] = y[hit], True
+                left = np.flatnonzero(~done)
+                if not len(left):
+                    break
+                y = (x[left] + s) @ frame.T
+                hit = (y >= -1e-12).all(1) & (y < size - 1e-12).all(1)
+                out[left[hit]], done[left[hit]] = y[hit], True
             yield pd.DataFrame({key: pdf[key], **{p: out[:, k] * box for k, p in enumerate(pos)}})
 
     return rows.select(key, *pos).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, " + ", ".join(f"{p} double" for p in pos))

@@ -20,24 +20,25 @@ def _half(steps: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
     return [s for s in steps if s >= (0,) * len(s)]
 
 
-def _in_blocks(c: DataFrame, p: DataFrame, keys: list[str], crowd: int) -> tuple[DataFrame, DataFrame, list[str]]:
+def _in_blocks(c: DataFrame, p: DataFrame, arriving: DataFrame, keys: list[str], crowd: int, most: int = 200_000) -> tuple[DataFrame, DataFrame, list[str]]:
     """Cuts crowded cells into blocks of centers and of points, every two of which meet in a task of their own.
 
-    A cell is crowded with more than `crowd` rows of a side (or, in huge tables, a 100,000th of all rows, so that
-    fewer than 200,000 cells are, and their list can be broadcast).
+    A cell is crowded with more than `crowd` rows of a side, however many cells are; their list is broadcast if it has
+    at most `most` rows, else joined.  `arriving`: (keys, _nc), how many centers come to each cell.
     """
-    sides = c.select(*keys, F.lit(1).alias("_side")).unionByName(p.select(*keys, F.lit(0).alias("_side")))
-    sizes = sides.groupBy(*keys).agg(F.sum("_side").alias("_nc"), F.count_if(F.col("_side") == 0).alias("_np"))
-    top, rows = sizes.agg(F.greatest(F.max("_nc"), F.max("_np")), F.sum(F.col("_nc") + F.col("_np"))).first()
-    limit = max(crowd, (rows or 0) // 100_000)
-    if not top or top <= limit:
+    sides = arriving.withColumn("_np", F.lit(0).cast("long")).unionByName(p.groupBy(*keys).agg(F.count(F.lit(1)).alias("_np")).withColumn("_nc", F.lit(0).cast("long")))
+    sizes = sides.groupBy(*keys).agg(F.sum("_nc").alias("_nc"), F.sum("_np").alias("_np"))
+    limit, over = crowd, (F.col("_nc") > crowd) | (F.col("_np") > crowd)
+    listed = sizes.agg(F.count_if(over)).first()[0]
+    if not listed:
         return c, p, keys
+    send = F.broadcast if listed <= most else lambda df: df
     blocks = lambda n: F.ceil(F.col(n) / limit).cast("int")
     crowded = sizes.where((F.col("_nc") > limit) | (F.col("_np") > limit)).select(*keys, F.greatest(blocks("_nc"), F.lit(1)).alias("_bc"), F.greatest(blocks("_np"), F.lit(1)).alias("_bp"))
 
     def deal(df: DataFrame, row: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
         one = F.lit(1)
-        df = df.join(F.broadcast(crowded), keys, "left").withColumn(own, F.pmod(F.xxhash64(row), F.coalesce(n_own, one)).cast("int"))
+        df = df.join(send(crowded), keys, "left").withColumn(own, F.pmod(F.xxhash64(row), F.coalesce(n_own, one)).cast("int"))
         return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(n_other, one) - 1))).drop("_bc", "_bp")
 
     return deal(c, "_c", "_kc", "_bc", "_kp", "_bp"), deal(p, "_p", "_kp", "_bp", "_kc", "_bc"), [*keys, "_kc", "_kp"]
@@ -64,19 +65,29 @@ def radius_join(centers: DataFrame, points: DataFrame, center: str, point: str,
     steps = list(product((-1, 0, 1), repeat=len(dims))) if near else list(product(range(n), repeat=len(dims)))
     steps = _half(steps) if near and half else steps
     shift = F.explode(F.array(*(F.array(*(F.lit(v) for v in s)) for s in steps)))
-    c = centers.select(F.col(center).alias("_c"), *(inside[d].alias(f"_c{d}") for d in dims), *keep_center, (F.col(own_radius) if own_radius else F.lit(float(radius))).alias("_r"), *(cell[d].alias(f"_g{d}") for d in dims)).withColumn("_d", shift)
-    if half:
-        c = c.withColumn("_own", F.forall("_d", lambda v: v == 0) if near else F.lit(True))
-    for k, d in enumerate(dims):
-        at = F.col(f"_g{d}") + F.col("_d")[k]
-        if near and box:  # a center next to the edge goes to the far side as its image there, so distances are plain
-            moved = F.col(f"_c{d}") + F.when(at < 0, F.lit(float(box))).when(at >= n, F.lit(-float(box))).otherwise(F.lit(0.0))
-            c = c.withColumns({f"_c{d}": moved, f"_g{d}": F.pmod(at, F.lit(n))})
-        else:
-            c = c.withColumn(f"_g{d}", at if near else F.col("_d")[k])
+    c = centers.select(F.col(center).alias("_c"), *(inside[d].alias(f"_c{d}") for d in dims), *keep_center, (F.col(own_radius) if own_radius else F.lit(float(radius))).alias("_r"), *(cell[d].alias(f"_g{d}") for d in dims))
+    keys = [f"_g{d}" for d in dims]
+
+    def spread(df: DataFrame, placed: bool) -> DataFrame:
+        """Sends rows of the columns `keys` to their own and the neighbouring cells; `placed`: their positions go along."""
+        df = df.withColumn("_d", shift)
+        if half and placed:
+            df = df.withColumn("_own", F.forall("_d", lambda v: v == 0) if near else F.lit(True))
+        for k, d in enumerate(dims):
+            at = F.col(f"_g{d}") + F.col("_d")[k]
+            if near and box:  # a center next to the edge goes to the far side as its image there, so distances are plain
+                moved = F.when(at < 0, F.lit(float(box))).when(at >= n, F.lit(-float(box))).otherwise(F.lit(0.0))
+                df = df.withColumns({**({f"_c{d}": F.col(f"_c{d}") + moved} if placed else {}), f"_g{d}": F.pmod(at, F.lit(n))})
+            else:
+                df = df.withColumn(f"_g{d}", at if near else F.col("_d")[k])
+        return df.drop("_d")
+
+    # Centers are counted in their own cells, and the counts sent on, not the rows.
+    arriving = spread(c.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nc")), False).groupBy(*keys).agg(F.sum("_nc").alias("_nc"))
+    c = spread(c, True)
     p = points.select(F.col(point).alias("_p"), *(inside[d].alias(f"_p{d}") for d in dims), *keep, *(cell[d].alias(f"_g{d}") for d in dims))
     gap = {d: F.col(f"_c{d}") - F.col(f"_p{d}") for d in dims}
-    c, p, keys = _in_blocks(c.drop("_d"), p, [f"_g{d}" for d in dims], crowd)
+    c, p, keys = _in_blocks(c, p, arriving, keys, crowd)
     # A fixed number of partitions: what is shuffled is small, but its pairs are not, so it must not be coalesced.
     parts = int(centers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     c, p = c.repartition(parts, *keys), p.repartition(parts, *keys)

@@ -27,6 +27,8 @@ def members(t, indexed: bool = False):
 
 
 R6 = lambda c, n=6: F.round(c, n)
+#: the order of the rows of one object, as in the row index
+ROW_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "value", "mass", "w"]
 
 
 @query("a1_aperture_reduction", f"SELECT sub_id, round(coalesce(m, 0), 2) AS mass, round(mean, 9) AS mean, round(top, 2) AS top FROM subs LEFT JOIN (SELECT sub_id, sum(mass) AS m, sum(value * w) / sum(w) AS mean, max(value) AS top FROM {_MEMBERS} WHERE r2 <= 250000 AND pt <> 'R' GROUP BY 1) USING (sub_id)")
@@ -65,22 +67,19 @@ _ENC = lambda f: f"max(CASE WHEN c >= {f} * t AND c - mass < {f} * t THEN pr + (
 
 @query("a6_enclosing_radius", f"SELECT sub_id, round({_ENC(0.5)}, 4) AS half, round({_ENC(0.8)}, 4) AS r80 FROM {_CUM} GROUP BY 1")
 def a6(t):
-    rows = members(t, True).withColumn("r", F.sqrt("r2"))
-    half = R.enclosing_radius(rows, "sub_id", "r", "mass", 0.5, ["row_index"], "half")
-    out = half.join(R.enclosing_radius(rows, "sub_id", "r", "mass", 0.8, ["row_index"], "r80"), "sub_id")
+    out = R.enclosing_radii(members(t).withColumn("r", F.sqrt("r2")), "sub_id", "r", "mass", {"half": 0.5, "r80": 0.8}, ROW_ORDER)
     return out.select("sub_id", F.round("half", 4).alias("half"), F.round("r80", 4).alias("r80"))
 
 
 @query("a7_concentration", f"SELECT sub_id, round(5 * log10({_ENC(0.8)} / {_ENC(0.2)}), 4) AS c FROM {_CUM} GROUP BY 1 HAVING {_ENC(0.2)} > 0")
 def a7(t):
-    rows = members(t, True).withColumn("r", F.sqrt("r2"))
-    out = R.enclosing_radius(rows, "sub_id", "r", "mass", 0.8, ["row_index"], "hi").join(R.enclosing_radius(rows, "sub_id", "r", "mass", 0.2, ["row_index"], "lo"), "sub_id").where("lo > 0")
+    out = R.enclosing_radii(members(t).withColumn("r", F.sqrt("r2")), "sub_id", "r", "mass", {"hi": 0.8, "lo": 0.2}, ROW_ORDER).where("lo > 0")
     return out.select("sub_id", F.round(5 * F.log10(F.col("hi") / F.col("lo")), 4).alias("c"))
 
 
 @query("a8_nth_member_distance", f"SELECT halo_id, round(r2, 2) AS r2 FROM (SELECT halo_id, r2, row_number() OVER (PARTITION BY halo_id ORDER BY r2, row_index) - 1 AS k, count(*) OVER (PARTITION BY halo_id) AS n FROM {_MEMBERS}) WHERE k = least(n - 1, 16)")
 def a8(t):
-    return R.ordered_value(members(t, True), "halo_id", "r2", ["row_index"], 16, "r2")
+    return R.ordered_value(members(t), "halo_id", "r2", ["sub_id", *ROW_ORDER], 16, "r2")
 
 
 @query("a9_rotational_support", f"""WITH m AS {_MEMBERS}, c AS (SELECT sub_id, sum(mass * vx) / sum(mass) AS cx, sum(mass * vy) / sum(mass) AS cy, sum(mass * vz) / sum(mass) AS cz FROM m GROUP BY 1)
@@ -282,8 +281,8 @@ def a61(t):
 @query("a62_overdensity_radius", f"""WITH c AS (SELECT halo_id, r, sum(mass) OVER (PARTITION BY halo_id ORDER BY r, row_index ROWS UNBOUNDED PRECEDING) AS m FROM (SELECT halo_id, row_index, mass, sqrt(r2) AS r FROM {_MEMBERS}) WHERE r > 0)
     SELECT halo_id, round(max(r) FILTER (m / ({4 / 3 * math.pi!r} * pow(r, 3)) > 2e-6), 4) AS r2, round(max(r) FILTER (m / ({4 / 3 * math.pi!r} * pow(r, 3)) > 5e-6), 4) AS r5 FROM c GROUP BY 1""")
 def a62(t):
-    rows = members(t, True).withColumn("r", F.sqrt("r2"))
-    return R.overdensity(rows, "halo_id", "r", "mass", ["row_index"], [2, 5], 1e-6).select("halo_id", F.round("r2", 4).alias("r2"), F.round("r5", 4).alias("r5"))
+    rows = members(t).withColumn("r", F.sqrt("r2"))
+    return R.overdensity(rows, "halo_id", "r", "mass", ["sub_id", *ROW_ORDER], [2, 5], 1e-6).select("halo_id", F.round("r2", 4).alias("r2"), F.round("r5", 4).alias("r5"))
 
 
 @query("a63_enclosed_mass", f"SELECT row_index, round(sum(mass) OVER (PARTITION BY halo_id ORDER BY r2, row_index ROWS UNBOUNDED PRECEDING), 2) AS enclosed FROM {_MEMBERS}")

@@ -285,10 +285,22 @@ _DEP = """(WITH q AS (SELECT sub_id, mass, x, y, h, floor(x / 50) + i AS jx, flo
     SELECT CAST((jx + 20) % 20 AS INTEGER) AS ix, CAST((jy + 20) % 20 AS INTEGER) AS iy, mass * w / sum(w) OVER (PARTITION BY sub_id) AS share FROM k WHERE w > 0)"""
 
 
+def tasks(t):
+    return int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @query("a30_kernel_map", f"SELECT ix, iy, round(sum(share), 4) AS value FROM {_DEP} GROUP BY ALL")
 def a30(t):
     rows = t.subs.withColumn("h", F.expr("cast(60.0 + sub_id % 40 as double)"))
-    return P.mass_map(rows, "x", "y", "h", "mass", 1000.0, 20, spread=8).select("ix", "iy", F.round("value", 4).alias("value"))
+    return P.mass_map(rows, "x", "y", "h", "mass", 1000.0, 20, spread=tasks(t)).select("ix", "iy", F.round("value", 4).alias("value"))
+
+
+@query("a30b_level_grid_3d")
+def a30b(t):
+    """Mass on 3-D grids of three resolutions, each object on the one that suits its size, put together on the finest."""
+    rows = t.subs.withColumn("h", F.expr("cast(10.0 + sub_id % 190 as double)"))
+    out = P.refined(P.level_grid(rows, ["x", "y", "z"], "h", "mass", 1000.0, 32, 3), ["ix", "iy", "iz"])
+    return out.select("ix", "iy", "iz", F.round("value", 4).alias("value"))
 
 
 @query("a31_intensity_projection", f"SELECT ix, iy, round(max(share), 6) AS top, round(min(share), 6) AS low FROM {_DEP} GROUP BY ALL")
@@ -300,7 +312,7 @@ def a31(t):
 @query("a32_asymmetric_map")
 def a32(t):
     rows = t.subs.withColumns({"h": F.expr("cast(60.0 + sub_id % 40 as double)"), "k": F.lit(120.0)})
-    return P.mass_map(rows, "x", "y", "h", "mass", 1000.0, 20, size_y="k", spread=8).select("ix", "iy", F.round("value", 4).alias("value"))
+    return P.mass_map(rows, "x", "y", "h", "mass", 1000.0, 20, size_y="k", spread=tasks(t)).select("ix", "iy", F.round("value", 4).alias("value"))
 
 
 @query("a33_pixel_dispersion", "WITH m AS (SELECT CAST(floor(x / 50) AS INTEGER) AS ix, CAST(floor(y / 50) AS INTEGER) AS iy, sum(mass * vx) / sum(mass) AS ref FROM subs GROUP BY ALL) SELECT ix, iy, round(sqrt(sum(mass * pow(vx - ref, 2)) / sum(mass)), 6) AS sigma FROM subs JOIN m ON floor(x / 50) = ix AND floor(y / 50) = iy GROUP BY ALL")

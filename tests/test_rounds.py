@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from skyframe.operators import shapes, sightlines
+from skyframe.operators import maps, reduce, shapes, sightlines
 from skyframe.plans import catalogs
 
 
@@ -107,3 +107,58 @@ def test_rays_through_sparse_periodic_cells(spark, n, radius, most):
         total = d2[None] + np.minimum(dz, box - dz) ** 2
         found = one.cell.to_numpy()[np.searchsorted(np.cumsum(one.dl.to_numpy())[:-1], z)]
         assert np.allclose(total[np.arange(len(z)), found], total.min(1), atol=1e-6)
+
+
+@pytest.mark.parametrize("dims", [2, 3])
+def test_level_grid(spark, dims):
+    rng, box, finest = np.random.default_rng(dims), 64.0, 16
+    names = list("xyz")[:dims]
+    pdf = pd.DataFrame(rng.uniform(0, box, (60, dims)), columns=names).assign(h=rng.choice([0.5, 3.0, 9.0, 20.0, 40.0], 60), m=rng.uniform(1, 2, 60))
+    grid = maps.level_grid(spark.createDataFrame(pdf), names, "h", "m", box, finest, 3)
+    want = {}
+    for r in pdf.to_dict("records"):
+        level = int(np.clip(np.ceil(np.log2(r["h"] / 8.0)), 0, 2))
+        n, p = finest >> level, 4.0 * 2**level
+        k = int(np.ceil(r["h"] / p))
+        at = {}
+        for step in np.ndindex(*[2 * k + 1] * dims):
+            cell = [int(r[d] // p) + s - k for d, s in zip(names, step)]
+            u = np.sqrt(sum(((c + 0.5) * p - r[d]) ** 2 for c, d in zip(cell, names))) / r["h"]
+            w = 1 - 6 * u * u + 6 * u**3 if u < 0.5 else 2 * (1 - u) ** 3 if u < 1 else 0.0
+            if w:
+                at[tuple(c % n for c in cell)] = at.get(tuple(c % n for c in cell), 0) + w
+        at = at or {tuple(int(r[d] // p) for d in names): 1.0}
+        for c, w in at.items():
+            want[(level, *c)] = want.get((level, *c), 0) + r["m"] * w / sum(at.values())
+    got = {tuple(r)[:-1]: r.value for r in grid.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    fine = np.zeros((finest,) * dims)
+    for (level, *c), v in want.items():
+        fine[tuple(slice(i << level, (i + 1) << level) for i in c)] += v / 2 ** (level * dims)
+    out = maps.refined(grid, [f"i{d}" for d in names]).collect()
+    assert sum(r.value for r in out) == pytest.approx(pdf.m.sum())
+    assert all(r.value == pytest.approx(fine[tuple(r)[:-1]]) for r in out) and len(out) == (fine > 0).sum()
+
+
+def test_radii_and_order_of_large_objects(spark):
+    """Objects cut into steps give what one window gives."""
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"k": rng.integers(0, 3, 500), "r": np.round(rng.exponential(5, 500), 1), "id": range(500), "w": rng.integers(1, 9, 500) * 0.5})
+    df = spark.createDataFrame(pdf)
+    for small in (10**6, 20):
+        got = reduce.enclosing_radii(df, "k", "r", "w", {"half": 0.5, "most": 0.9}, ["id"], small).toPandas().set_index("k")
+        nth = reduce.ordered_value(df, "k", "r", ["id"], 16, "r", small).toPandas().set_index("k").r
+        over = reduce.overdensity(df, "k", "r", "w", ["id"], [1, 50], 1e-3, small).toPandas().set_index("k")
+        for k, one in pdf.groupby("k"):
+            one = one.sort_values(["r", "id"])
+            c = one.w.cumsum().to_numpy()
+            r = one.r.to_numpy()
+            assert nth[k] == r[16]
+            for n, f in (("half", 0.5), ("most", 0.9)):
+                i = int(np.searchsorted(c, f * c[-1]))
+                pr, pc = (r[i - 1], c[i - 1]) if i else (0.0, 0.0)
+                assert got.loc[k, n] == pytest.approx(pr + (f * c[-1] - pc) / (c[i] - pc) * (r[i] - pr))
+            inside = one[one.r > 0]
+            rho = inside.w.cumsum() / (4 / 3 * np.pi * inside.r**3)
+            for d in (1, 50):
+                assert over.loc[k, f"r{d}"] == pytest.approx(inside.r[rho > d * 1e-3].max())
