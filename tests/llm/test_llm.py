@@ -112,6 +112,29 @@ def test_sharding_where_every_text_occurs_twice(spark):
     assert sharding.cut_share(start, "text_crc32") > 0.4 and sharding.cut_share(out, "text_crc32") < 0.1
 
 
+def test_sharding_by_two_links(spark):
+    """Votes of both links meet by joins: cut edges counted one by one fall, sizes stay even, null links link nothing."""
+    rng, n = np.random.default_rng(12), 1200
+    host = rng.integers(0, 60, n)
+    pdf = pd.DataFrame({"node": np.arange(n), "host": host, "topic": host // 6 * 10 + rng.integers(0, 3, n)}).astype("Int64")
+    pdf.loc[rng.random(n) < 0.1, "host"] = pd.NA
+    pdf.loc[rng.random(n) < 0.1, "topic"] = pd.NA
+    rows = [tuple(None if v is pd.NA else int(v) for v in r) for r in pdf.itertuples(index=False)]
+    out = sharding.balanced_shards(spark.createDataFrame(rows, "node long, host long, topic long"), ["host", "topic"], 8).toPandas()
+    check_shards(out, n, 8)
+    shard = out.set_index("node").shard
+
+    def cut_edges(at):
+        total = cut = 0
+        for link in ("host", "topic"):
+            for _, group in pdf.dropna(subset=[link]).groupby(link):
+                s = at[group.node.to_numpy(dtype=int)].to_numpy()
+                total += len(s) * (len(s) - 1) // 2
+                cut += sum(int(s[i] != s[j]) for i in range(len(s)) for j in range(i))
+        return cut / total
+
+    assert cut_edges(shard) < 0.45 < 0.8 < cut_edges(pd.Series(np.arange(n) % 8, index=np.arange(n)))
+
 def test_admitted_proposals_keep_loads_within_quotas():
     rng = np.random.default_rng(6)
     for _ in range(50):
