@@ -212,20 +212,32 @@ def shrinking_centers(rows: DataFrame, key: str, pos: list[str], box: float = 0.
 
 
 def power_spectra(grids: DataFrame, key: str, n: int, box: float) -> DataFrame:
-    """Shell means of the power of a gridded field (key, ix, iy, iz, value), times 4 pi k^2; one grid is one group."""
+    """Shell means of the power of gridded fields (key, ix, iy, iz, value), times 4 pi k^2; missing cells are 0.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = np.zeros((n, n, n))
-        g[pdf["ix"], pdf["iy"], pdf["iz"]] = pdf["value"]
-        power = np.abs(np.fft.fftn(g) / n ** 3) ** 2
-        k = np.fft.fftfreq(n, 1 / n)
-        r = np.sqrt(k[:, None, None] ** 2 + k[None, :, None] ** 2 + k[None, None, :] ** 2)
-        shell = np.rint(r).astype(int)
-        count, total = np.bincount(shell.ravel()), np.bincount(shell.ravel(), power.ravel())
-        wave = np.arange(1, n // 2) * 2 * np.pi / box
-        return pd.DataFrame({key: pdf[key].iloc[0], "shell": np.arange(1, n // 2), "power": total[1 : n // 2] / count[1 : n // 2] * 4 * np.pi * wave ** 2})
-
-    return grids.groupBy(key).applyInPandas(run, f"{key} {grids.schema[key].dataType.simpleString()}, shell int, power double")
+    The transform goes axis by axis: lines of n cells along one axis are put together, transformed many at a time, and
+    dealt anew along the next, so no task holds more than some lines of a grid.
+    """
+    rows = grids.groupBy(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c[1]}") for c in ("ix", "iy", "iz"))).agg(F.sum("value").cast("double").alias("_re")).withColumn("_im", F.lit(0.0))
+    kind = rows.schema["_key"].dataType.simpleString()
+
+    for axis, others in (("_z", ["_x", "_y"]), ("_y", ["_x", "_z"]), ("_x", ["_y", "_z"])):
+        def transform(batches, others=others):
+            for pdf in batches:
+                field = np.zeros((len(pdf), n), complex)
+                for i, (at, re, im) in enumerate(zip(pdf["at"], pdf["re"], pdf["im"])):
+                    field[i, at] = re + 1j * im
+                field = np.fft.fft(field, axis=1) / n
+                yield pd.DataFrame({"_key": pdf["_key"], **{o: pdf[o] for o in others}, "re": list(field.real), "im": list(field.imag)})
+
+        lines = rows.groupBy("_key", *others).agg(F.collect_list(F.struct(axis, "_re", "_im")).alias("_l"))  # at most n
+        lines = lines.select("_key", *others, F.col(f"_l.{axis}").alias("at"), F.col("_l._re").alias("re"), F.col("_l._im").alias("im"))
+        done = lines.mapInPandas(transform, f"_key {kind}, {others[0]} int, {others[1]} int, re array<double>, im array<double>")
+        rows = done.select("_key", *others, F.posexplode(F.arrays_zip("re", "im")).alias(axis, "_v")).select("_key", "_x", "_y", "_z", F.col("_v.re").alias("_re"), F.col("_v.im").alias("_im"))
+    wave = [F.when(F.col(c) < (n + 1) // 2, F.col(c)).otherwise(F.col(c) - n) for c in ("_x", "_y", "_z")]
+    shell = F.rint(F.sqrt(sum((w * w for w in wave[1:]), wave[0] * wave[0]))).cast("int")
+    means = rows.groupBy("_key", shell.alias("shell")).agg(F.avg(F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")).alias("_p")).where((F.col("shell") >= 1) & (F.col("shell") < n // 2))
+    k = F.col("shell") * (2 * np.pi / box)
+    return means.select(F.col("_key").alias(key), "shell", (F.col("_p") * (4 * np.pi) * k * k).alias("power"))
 
 
 def cuboid_remap(rows: DataFrame, key: str, pos: list[str], lattice: list[list[int]], box: float = 1.0) -> DataFrame:

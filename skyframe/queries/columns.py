@@ -252,7 +252,8 @@ def f34(t):
     return t.supplier.select("s_suppkey", F.round(SIM.wind_energy(F.col("s_acctbal") / 1e6), 8).alias("wind"))
 
 
-@query("f32_variable_convolution")
+@query("f32_variable_convolution", """WITH g AS (SELECT k, d, exp(-0.5 * pow(d / (0.5 + k / 40.0), 2)) AS w FROM range(64) a(k), range(-4, 5) b(d)), n AS (SELECT k, sum(w) AS total FROM g GROUP BY 1)
+    SELECT vec_id, CAST(p.k + d AS INTEGER) AS k, round(sum(abs(CAST(e AS DOUBLE)) * w / total), 6) AS tau FROM pixels p JOIN g ON p.k = g.k JOIN n ON p.k = n.k WHERE p.k + d BETWEEN 0 AND 63 GROUP BY ALL""")
 def f32(t):
     """Each pixel is spread over its neighbours by a Gaussian that widens along the spectrum; cut at the ends."""
     half = 4

@@ -309,7 +309,11 @@ def a31(t):
     return P.deposit(rows, "x", "y", "h", "mass", 1000.0, 20).groupBy("ix", "iy").agg(R6(F.max("share")).alias("top"), R6(F.min("share")).alias("low"))
 
 
-@query("a32_asymmetric_map")
+@query("a32_asymmetric_map", """WITH q AS (SELECT sub_id, mass, floor(x / 50) + i AS jx, floor(y / 50) + j AS jy, sqrt(pow(((floor(x / 50) + i + 0.5) * 50 - x) / h, 2) + pow(((floor(y / 50) + j + 0.5) * 50 - y) / 120, 2)) AS u
+        FROM (SELECT *, 60.0 + sub_id % 40 AS h FROM subs), range(-2, 3) a(i), range(-3, 4) b(j)),
+    k AS (SELECT sub_id, mass, jx, jy, CASE WHEN u < 0.5 THEN 1 - 6 * u * u + 6 * u * u * u WHEN u < 1 THEN 2 * pow(1 - u, 3) ELSE 0 END AS w FROM q),
+    d AS (SELECT CAST((jx + 20) % 20 AS INTEGER) AS ix, CAST((jy + 20) % 20 AS INTEGER) AS iy, mass * w / sum(w) OVER (PARTITION BY sub_id) AS share FROM k WHERE w > 0)
+    SELECT ix, iy, round(sum(share), 4) AS value FROM d GROUP BY ALL""")
 def a32(t):
     rows = t.subs.withColumns({"h": F.expr("cast(60.0 + sub_id % 40 as double)"), "k": F.lit(120.0)})
     return P.mass_map(rows, "x", "y", "h", "mass", 1000.0, 20, size_y="k", spread=tasks(t)).select("ix", "iy", F.round("value", 4).alias("value"))

@@ -162,3 +162,31 @@ def test_radii_and_order_of_large_objects(spark):
             rho = inside.w.cumsum() / (4 / 3 * np.pi * inside.r**3)
             for d in (1, 50):
                 assert over.loc[k, f"r{d}"] == pytest.approx(inside.r[rho > d * 1e-3].max())
+
+
+@pytest.mark.parametrize("n", [6, 9])
+def test_power_spectra(spark, n):
+    rng, box = np.random.default_rng(n), 50.0
+    grids = {k: np.where(rng.random((n, n, n)) < 0.3, rng.normal(size=(n, n, n)), 0.0) for k in ("a", "b")}
+    rows = [(k, int(x), int(y), int(z), float(v / 2)) for k, g in grids.items() for (x, y, z), v in np.ndenumerate(g) if v for _ in range(2)]  # cells in two parts
+    got = shapes.power_spectra(spark.createDataFrame(rows, "k string, ix int, iy int, iz int, value double"), "k", n, box).toPandas()
+    f = np.fft.fftfreq(n, 1 / n)
+    shell = np.rint(np.sqrt(f[:, None, None] ** 2 + f[None, :, None] ** 2 + f[None, None, :] ** 2)).astype(int)
+    assert len(got) == 2 * (n // 2 - 1)
+    for r in got.itertuples():
+        power = np.abs(np.fft.fftn(grids[r.k]) / n**3) ** 2
+        assert r.power == pytest.approx(power[shell == r.shell].mean() * 4 * np.pi * (r.shell * 2 * np.pi / box) ** 2)
+
+
+def test_principal_axes_of_tensors(spark):
+    """Largest moment first, its axis with z not negative; the moments are those of the rows."""
+    rng = np.random.default_rng(13)
+    pdf = pd.DataFrame(rng.normal(size=(90, 3)) * [3, 2, 1], columns=list("xyz")).assign(k=np.arange(90) % 3, m=rng.uniform(1, 2, 90))
+    got = shapes.principal_axes(reduce.inertia(spark.createDataFrame(pdf), "k", ["x", "y", "z"], "m"), "k").toPandas().set_index("k")
+    for k, one in pdf.groupby("k"):
+        x, m = one[["x", "y", "z"]].to_numpy(), one.m.to_numpy()
+        tensor = np.eye(3) * (m * (x**2).sum(1)).sum() - (x * m[:, None]).T @ x
+        value, vector = np.linalg.eigh(tensor)
+        assert np.allclose(got.loc[k, ["e1", "e2", "e3"]].to_numpy(float), value[::-1])
+        axis = got.loc[k, ["ax", "ay", "az"]].to_numpy(float)
+        assert axis[2] >= 0 and np.allclose(tensor @ axis, value[2] * axis) and np.isclose(axis @ axis, 1)
