@@ -132,8 +132,12 @@ def digests(docs: DataFrame) -> DataFrame:
     )
     rows = staged(rows, "digests")
     placed = cut(bucket_classes(_forms(docs, rows)).withColumn("sha", F.unhex("sha")))  # a handful by chance, or what an attacker of XXH64 made
+    several = not placed.isEmpty()  # else no row needs to meet them
     for x, name in (("o", "fingerprint"), ("n", "edited_fingerprint")):
-        p = placed.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("sha").alias(f"{x}_sha"), F.col("place").alias("_p"))
-        rows = rows.join(p, [f"{x}1", f"{x}2", f"{x}_sha"], "left")
-        rows = rows.withColumn(name, F.concat(hex_digits(F.col(f"{x}1"), F.col(f"{x}2")), F.when(F.col("_p") > 0, F.concat(F.lit("-"), F.col("_p").cast("string"))).otherwise(""))).drop("_p")
+        digits = hex_digits(F.col(f"{x}1"), F.col(f"{x}2"))
+        if several:
+            p = placed.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("sha").alias(f"{x}_sha"), F.col("place").alias("_p"))
+            rows = rows.join(p, [f"{x}1", f"{x}2", f"{x}_sha"], "left")
+            digits = F.concat(digits, F.when(F.col("_p") > 0, F.concat(F.lit("-"), F.col("_p").cast("string"))).otherwise(""))
+        rows = rows.withColumn(name, digits).drop("_p")
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
