@@ -41,9 +41,8 @@ def enclosing_radii(rows: DataFrame, key: str, r: str, w: str, fractions: dict[s
 
     All fractions come from one order of the rows; the rows before and after each are found by partial aggregation.
     """
-    rows = running_sums(rows.select(*dict.fromkeys([key, r, w, *tie])), key, r, tie, {"_c": w}, small)
+    rows = running_sums(rows.select(*dict.fromkeys([key, r, w, *tie])), key, r, tie, {"_c": w}, small, {"_t": "_c"})
     row = F.struct(F.col(r).alias("r"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(tie)), F.col("_c").alias("c"))
-    rows = rows.join(rows.groupBy(key).agg(F.max(row)["c"].alias("_t")), key)  # the last running sum
     sums = []
     for n, f in fractions.items():
         reached = F.col("_c") >= F.col("_t") * f
