@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import gapless_rank, staged
-from .tokens import encoded
+from .tokens import encoded, give_back
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -30,24 +30,31 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
     """
 
     def run(batches):
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            rows = []
-            names = batch.column("doc_id").to_pylist()
-            for i, ids in encoded(tokenizer, batch.column("text")):
-                ids += end
-                n = len(ids) // 4
-                at, k, size = 0, 0, n % capacity or min(n, capacity)
-                while at < n:
-                    rows.append((names[i], k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
-                    at, k, size = at + size, k + 1, capacity
-            cols = list(zip(*rows)) or [[]] * 5
-            kinds = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        yield from pieces_of(batches, tokenizer, end_id, capacity)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
+def pieces_of(batches, tokenizer: str, end_id: int, capacity: int, most: int = 1 << 20):
+    """The rows of token_pieces() for a task's batches, of which `most` bytes of text are worked on at a time."""
+    end = np.array([end_id], "<u4").tobytes()
+    for batch in batches:
+        rows = []
+        names = batch.column("doc_id").to_pylist()
+        for i, ids in encoded(tokenizer, batch.column("text"), most):
+            ids += end
+            n = len(ids) // 4
+            at, k, size = 0, 0, n % capacity or min(n, capacity)
+            while at < n:
+                rows.append((names[i], k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
+                at, k, size = at + size, k + 1, capacity
+        cols = list(zip(*rows)) or [[]] * 5
+        kinds = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        del batch, names, rows, cols
+    give_back()
+
+
 class Plan:
     """Rules (length, first rank, items, first bin, items a bin, offset) for a histogram {length: items}."""
 

@@ -8,6 +8,7 @@ ones, and puts a batch's ids together by one gather.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -133,6 +134,13 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system: a worker stays for later stages, beside an executor that then needs it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def encoded(path: str, texts: pa.Array, most: int = 1 << 23):
     """(position, ids) of each text, ids as little-endian unsigned 32-bit integers, a few MB of text at a time."""
     enc = encoder(path)
