@@ -156,11 +156,13 @@ def settled(members: DataFrame, aim: list[float], base: list[float], least_pull:
     k, a, b, least = len(aim), np.array(aim), np.array(base), np.array(least_pull)
     pairs = [(d, e) for d in range(k) for e in range(d, k)]
     p = F.col("p")
+    none = F.size("p") - k  # 0, but Spark does not know it
 
     def seen(y):
-        r = F.lit(1.0)
+        # Numbers looked up by a row are not written into the generated code, so the driver compiles it once and not for every pass.
+        numbers, r = F.array(*(F.lit(float(x)) for x in y)), F.lit(1.0)
         for d in range(k):
-            r = r - p[d] * F.lit(float(y[d]))
+            r = r - p[d] * numbers[none + d]
         r = F.greatest(F.lit(0.0), r)
         weighed = members.select("p", r.alias("_r"), (r * F.col("tokens")).alias("_rt"), F.when(r > 0, F.col("tokens")).alias("_t"))
         row = weighed.agg(F.sum(F.col("_r") * F.col("_rt")), *(F.sum(F.col("_rt") * p[d]) for d in range(k)), *(F.sum(F.col("_t") * p[d] * p[e]) for d, e in pairs)).first()
