@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Ranges, range_bounds, shuffle_partitions
-from .tokens import encoded, encoder
+from .tokens import encoded, encoder, give_back
 
 MAGIC, HEAD, EVERY = b"EFIDS1\0\0", struct.Struct("<8sBBHIIQ"), 64
 
@@ -110,13 +110,16 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
         for batch in batches:
             done = 0
             ids, size = [], 0
-            for i, one in encoded(tokenizer, batch.column("text")):
+            for i, one in encoded(tokenizer, batch.column("text"), 1 << 20):
                 ids.append(np.frombuffer(one + end, "<u4").astype(f"<u{width()}").tobytes())
                 size += len(ids[-1])
-                if size > 1 << 23 or i + 1 == batch.num_rows:
+                if size > 1 << 21 or i + 1 == batch.num_rows:
                     some = batch.slice(done, len(ids))
                     yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), pa.array(ids, pa.binary())], names=[*kept, "ids"])
                     done, ids, size = i + 1, [], 0
+                    some = None
+            batch = None
+        give_back()
 
     def shards(batches):
         wide = width()
@@ -143,8 +146,11 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
                 size += len(one) // wide
                 ends.append(size)
                 names.append(name if known else None)
+            batch = None
         if ends:
             yield shard()
+        ids.clear()
+        give_back()
 
     packed = rows.mapInArrow(tokenised, "_range int, _set long, _id long, _mix long, ids binary")
     dealt = packed.repartitionById(len(bounds) + 1, F.col("_range")).sortWithinPartitions("_range", *order, "ids")
