@@ -1,7 +1,7 @@
 """Whole-text token ids by the tokenizers library, fast enough to sit in a scan.
 
-A byte-level BPE with the usual word pattern never joins what stands before a single space and what follows it,
-so a text's ids are the ids of its space-led chunks one after another.  Chunks repeat, so each worker keeps the
+A byte-level BPE with the usual word pattern never joins what stands before a single space or line end and what
+follows it, so a text's ids are the ids of its chunks, led by a space or line end, one after another.  Chunks repeat, so each worker keeps the
 ids of those it has met (a bounded number, the ones met in most batches) in one array, gives the library only new
 ones, and puts a batch's ids together by one gather.
 """
@@ -12,13 +12,27 @@ import ctypes
 import json
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _loaded: dict = {}
-_SPACE = re.compile(r"(?= \S)")
+_CUT = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)")
+_BLANK = r"[\s\v\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD = _BLANK.replace(r"\s", r"\t\f\r") + rf"|^{_BLANK}|{_BLANK}{_BLANK}|{_BLANK}\z"
+_LETTER = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]"  # letters in every version of Unicode
+_MARKS = r"[!-/:-@\[-`{-~]+"
+_MARKED, _ENDS_MARKED = rf"(?s)\A(?P<bare>.*{_LETTER})(?P<marks>{_MARKS})\z", rf"{_LETTER}{_MARKS}\z"
+
+
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def _bytes(words: pa.Array) -> np.ndarray:
+    return pc.binary_length(words).to_numpy().astype(np.int64)
 
 
 class Encoder:
@@ -38,10 +52,10 @@ class Encoder:
         for piece, i in vocab.items():
             self.width[i] = len(piece)  # a character stands for a byte
         self.keep = keep
-        # A word's slot -> where its ids start in `ids` and how many they are, and the batches that it was met in.
+        # A word (without the space that leads it, with a line end that does) has a slot -> where its ids start in `ids` and how many they are, and the batches that it was met in.
         self.slot: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint16 if self.n_ids <= 1 << 16 else np.uint32)
-        self.start, self.size, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
+        self.start, self.size, self.met = (np.zeros(1 << 14, np.int32) for _ in range(3))
         self.used = 0
 
     def _append(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -55,23 +69,52 @@ class Encoder:
         self.start[n : n + m], self.size[n : n + m], self.met[n : n + m] = self.used + np.cumsum(sizes) - sizes, sizes, 0
         return np.arange(n, n + m)
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of " " + word by one call for many: the bytes that ids stand for show where a word ends."""
+    def _add(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        slots = self._append(ids, sizes)
+        self.used += len(ids)
+        self.slot.update(zip(_strings(words), slots.tolist()))
+
+    def _find(self, words: pa.Array) -> np.ndarray:
+        """The slots of words, -1 for new ones."""
+        return np.fromiter(map(self.slot.get, _strings(words), repeat(-1)), np.int64, len(words))
+
+    def _learn(self, words: pa.Array) -> None:
+        """Ids of words with what leads them by one call for many: the bytes that ids stand for show where a word ends.
+
+        A call's texts are short, as long ones take the library more time a word.
+        """
         for at in range(0, len(words), 5000):
-            some = words[at : at + 5000]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            size = [len(w) if w.isascii() else len(w.encode()) for w in some]
-            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size) + np.arange(1, len(some) + 1)) + 1
-            slots = self._append(ids, np.diff(ends, prepend=0))
-            self.used += len(ids)
-            self.slot.update(zip(some, slots.tolist()))
-
-    def _slots(self, words: list[str]) -> np.ndarray:
+            some = words.slice(at, 5000)
+            led = pc.starts_with(some, "\n")
+            names = _strings(pc.if_else(led, some, pc.binary_join_element_wise("", some, " ")))
+            texts = ["".join(names[k : k + 200]) for k in range(0, len(names), 200)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(_bytes(some) + ~led.to_numpy(zero_copy_only=False))) + 1
+            self._add(some, ids, np.diff(ends, prepend=0))
+
+    def _learn_marked(self, words: pa.Array) -> None:
+        """Words that end in a letter and marks: the pattern cuts between the two, so these are a word's ids and the marks'."""
+        parts = pc.extract_regex(words, _MARKED)
+        bare, marks = (parts.field(k).dictionary_encode() for k in range(2))
+        known = self._find(bare.dictionary)
+        self._learn(bare.dictionary.filter(pa.array(known < 0)))
+        slots = self._find(bare.dictionary)[bare.indices.to_numpy()]
+        ids = self._plain(_strings(marks.dictionary))
+        some = self._append(np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))[marks.indices.to_numpy()]
+        self._add(words, self._gather(np.stack([slots, some], 1).ravel()), self.size[slots] + self.size[some])
+
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _slots(self, words: pa.Array) -> np.ndarray:
         """The slots of different words."""
-        new = [w for w in words if w not in self.slot]
-        if new:
-            self._learn(new)
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        slots = self._find(words)
+        if len(new := np.flatnonzero(slots < 0)):
+            some = words.take(pa.array(new))
+            marked = pc.match_substring_regex(some, _ENDS_MARKED)
+            self._learn(some.filter(pc.invert(marked)))
+            self._learn_marked(some.filter(marked))
+            slots[new] = self._find(some)
         self.met[slots] += 1
         return slots
 
@@ -94,35 +137,36 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty) one after another, and where each text ends."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        plain = lambda some: [e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
         if not self.by_chunk:
-            out = plain(texts.to_pylist())
+            out = self._plain(texts.to_pylist())
             return np.array([i for ids in out for i in ids], np.uint32), np.cumsum([len(x) for x in out], dtype=np.int64)
         if len(self.slot) > self.keep:
             self._forget()
-        split = pc.split_pattern(texts, " ")
         # Runs of white space: such texts are cut only where a word begins.
-        odd = np.flatnonzero(pc.match_substring_regex(texts, r"^ | [ \t-\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| $").to_numpy(zero_copy_only=False)).tolist()
-        cut = {i: _SPACE.split(texts[i].as_py()) for i in odd}
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)).tolist()
+        cut = {i: _CUT.split(texts[i].as_py()) for i in odd}
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         code = split.flatten().dictionary_encode()
-        at, code, words = split.offsets.to_numpy(), code.indices.to_numpy().astype(np.int64), code.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at, code, words = split.offsets.to_numpy(), code.indices.to_numpy(), code.dictionary
         inner = np.ones(len(code), bool)
         inner[at[:-1]] = False
         for i in odd:
             inner[at[i] : at[i + 1]] = False
-        used = np.flatnonzero(np.bincount(code[inner], minlength=len(words)))
-        others = list(dict.fromkeys(w[1:] for i in odd for w in cut[i][1:]))
+        used = np.zeros(len(words), bool)
+        used[code[inner]] = True
+        others = list(dict.fromkeys(w.removeprefix(" ") for i in odd for w in cut[i][1:]))
         slot_of = np.zeros(len(words), np.int64)
-        slot_of[used] = self._slots([words[k] for k in used.tolist()])
-        other = dict(zip(others, self._slots(others).tolist()))
+        slot_of[used] = self._slots(words.filter(pa.array(used)))
+        other = dict(zip(others, self._slots(pa.array(others, pa.string())).tolist()))
         # The beginnings of texts have no space before them: they are looked up by nobody else, so they are not kept.
-        heads = plain([cut[i][0] if i in cut else words[code[at[i]]] for i in range(len(texts))])
+        first = _strings(words.take(pa.array(code[at[:-1]])))
+        heads = self._plain([cut[i][0] if i in cut else w for i, w in enumerate(first)])
         head = self._append(np.array([i for ids in heads for i in ids], np.uint32), np.array([len(x) for x in heads], np.int64))
         slots = slot_of[code]
         slots[at[:-1]] = head
         counts = np.diff(at).astype(np.int64)
         if odd:
-            pieces = [slots[at[i] : at[i + 1]] if i not in cut else np.array([head[i], *(other[w[1:]] for w in cut[i][1:])], np.int64) for i in range(len(texts))]
+            pieces = [slots[at[i] : at[i + 1]] if i not in cut else np.array([head[i], *(other[w.removeprefix(" ")] for w in cut[i][1:])], np.int64) for i in range(len(texts))]
             slots, counts = np.concatenate(pieces), np.array([len(p) for p in pieces])
         ends = np.cumsum(self.size[slots])[np.cumsum(counts) - 1] if len(texts) else np.zeros(0, np.int64)
         return self._gather(slots).astype(np.uint32), ends
