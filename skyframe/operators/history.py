@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,12 +127,14 @@ def stays_above(df: DataFrame, key: str, t: str, value: str, low: tuple[float, f
     "below": from the first row until the track first leaves the region under the lower boundary, if it begins there;
     "above": each stay at or over the upper one, numbered from 1.  Between rows a track is a straight line, so times
     of crossing are exact; a stay that begins with the track starts at its first row, and one that lasts has no stop.
+    Where times are whole numbers, boundaries at the rows are decimals, so a value written like one is on it.
     """
-    w = track(key, t)
     at = lambda b, x: b[0] + b[1] * x
-    rows = df.select(key, F.col(t).cast("double").alias("_t"), F.col(value).alias("_v"))
+    whole = df.schema[t].dataType.typeName() in ("byte", "short", "integer", "long")
+    level = lambda b: at([F.lit(Decimal(str(v))) for v in b] if whole else b, F.col(t))
+    rows = df.select(key, F.col(t).cast("double").alias("_t"), F.col(value).alias("_v"), (F.col(value) >= level(high)).alias("_above"), (F.col(value) < level(low)).alias("_below"))
     w = track(key, "_t")
-    rows = rows.withColumns({"_pt": F.lag("_t").over(w), "_pv": F.lag("_v").over(w), "_above": F.col("_v") >= at(high, F.col("_t")), "_below": F.col("_v") < at(low, F.col("_t"))})
+    rows = rows.withColumns({"_pt": F.lag("_t").over(w), "_pv": F.lag("_v").over(w)})
     cross = lambda b: F.col("_pt") + (at(b, F.col("_pt")) - F.col("_pv")) / ((F.col("_v") - F.col("_pv")) / (F.col("_t") - F.col("_pt")) - b[1])
     rows = rows.withColumn("_was", F.lag("_above").over(w))
     rows = rows.withColumn("_n", F.sum((F.col("_above") & ~F.coalesce("_was", F.lit(False))).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -145,10 +145,10 @@ def a97(t):
     SELECT tracer_id, count(*) FILTER (ps = 0 AND state > 0) AS exits, count(*) FILTER (ps < 2 AND state = 2) AS entries, count(*) FILTER (ps = 2 AND state < 2) AS leaves,
     round(min_by(pt + (1.0 + pt * 0.01 - pr) / ((r - pr) / (snap - pt) - 0.01), snap) FILTER (ps < 2 AND state = 2), 6) AS first_entry FROM p GROUP BY 1""")
 def a98(t):
-    low, high = 0.6 + F.col("snap") * 0.01, 1.0 + F.col("snap") * 0.01
+    low, high = F.expr("0.6 + snap * 0.01"), F.expr("1.0 + snap * 0.01")  # decimals: 1.14 at snapshot 14, which no double sum gives
     s = t.tracks.withColumn("state", F.when(F.col("r") < low, 0).when(F.col("r") < high, 1).otherwise(2))
     p = s.withColumns({"ps": F.lag("state").over(track()), "pr": F.lag("r").over(track()), "pt": F.lag("snap").over(track())})
-    at = F.col("pt") + (1.0 + F.col("pt") * 0.01 - F.col("pr")) / ((F.col("r") - F.col("pr")) / (F.col("snap") - F.col("pt")) - 0.01)
+    at = F.col("pt") + (F.expr("1.0 + pt * 0.01") - F.col("pr")) / ((F.col("r") - F.col("pr")) / (F.col("snap") - F.col("pt")) - 0.01)
     enters = (F.col("ps") < 2) & (F.col("state") == 2)
     return p.groupBy("tracer_id").agg(F.count_if((F.col("ps") == 0) & (F.col("state") > 0)).alias("exits"), F.count_if(enters).alias("entries"), F.count_if((F.col("ps") == 2) & (F.col("state") < 2)).alias("leaves"), R6(F.min_by(F.when(enters, at), F.when(enters, F.col("snap")))).alias("first_entry"))
 
