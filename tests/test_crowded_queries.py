@@ -50,3 +50,8 @@ def test_a19(spark, orders, i):
     assert (got.n, got.lo, got.hi, got.mid) == (len(near), near.min(), near.max(), np.median(near)) and got.total == round(near.sum(), 2)
 
 
+def test_a20(spark, orders):
+    d, m = around(orders[1], 7)
+    assert result(spark, orders, "a20_restricted_neighbours", 7).n[0] == ((d <= 120) & (m > 50000) & (m < 400000) & (m > m[7] / 2) & (m < m[7] * 2)).sum()
+
+
