@@ -55,3 +55,10 @@ def test_a20(spark, orders):
     assert result(spark, orders, "a20_restricted_neighbours", 7).n[0] == ((d <= 120) & (m > 50000) & (m < 400000) & (m > m[7] / 2) & (m < m[7] * 2)).sum()
 
 
+def test_a23(spark, orders):
+    d, m = around(orders[1], 7)
+    u = np.minimum(d / 120, 1)
+    w = np.where(u < 0.5, 1 - 6 * u * u + 6 * u**3, 2 * (1 - u) ** 3)
+    assert abs(result(spark, orders, "a23_kernel_mean", 7)["mean"][0] - (m * w).sum() / w.sum()) < 1e-5
+
+
