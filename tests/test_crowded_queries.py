@@ -62,3 +62,12 @@ def test_a23(spark, orders):
     assert abs(result(spark, orders, "a23_kernel_mean", 7)["mean"][0] - (m * w).sum() / w.sum()) < 1e-5
 
 
+def test_a58(spark, orders):
+    path, subs = orders
+    got = roles.QUERIES["a58_isolation"](spark, path).where(F.col("sub_id") == int(subs.sub_id[7])).first()
+    m30 = (subs.mass * (0.1 + subs.sub_id % 5 / 10.0)).to_numpy()
+    d, _ = around(subs, 7)
+    top = m30[(d > 0) & (d <= 120)].max()
+    assert m30[7] < 30000 and got["mstar30_max"] == -1 or got["mstar30_max"] == int(top <= m30[7])
+
+
