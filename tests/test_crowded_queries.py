@@ -71,3 +71,24 @@ def test_a58(spark, orders):
     assert m30[7] < 30000 and got["mstar30_max"] == -1 or got["mstar30_max"] == int(top <= m30[7])
 
 
+def per_place(subs):
+    """(rows of the center's place, bin of 20, rows there) for every two of the 8 places; a row is not its own neighbour."""
+    where = subs.groupby(list("xyz")).agg(n=("mass", "size"), red=("mass", lambda v: (v > 250000).sum()), total=("mass", "sum")).reset_index()
+    x = where[list("xyz")].to_numpy()
+    gap = np.abs(x[:, None] - x[None])
+    return where, np.sqrt((np.minimum(gap, 1000 - gap) ** 2).sum(-1))
+
+
+@pytest.mark.parametrize("name", ["a59_conformity", "a59b_conformity_errors"])
+def test_conformity(spark, orders, name):
+    path, subs = orders
+    where, d = per_place(subs)
+    got = {r["bin"]: r["stacked"] for r in roles.QUERIES[name](spark, path).collect()}
+    n, red = where.n.to_numpy(), where.red.to_numpy()
+    for b in range(3):
+        k = (d >= b * 40) & (d < b * 40 + 40)
+        own = np.eye(len(n), dtype=bool) & k
+        pairs, hits = (n[:, None] * n[None] * k).sum() - n[own.any(1)].sum(), (n[:, None] * red[None] * k).sum() - red[own.any(1)].sum()
+        assert (b in got) == (pairs > 0) and (not pairs or got[b] == round(hits / pairs, 8))
+
+
