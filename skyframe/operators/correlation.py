@@ -112,22 +112,24 @@ class PairTable:
         return full.join(errors(covar, "xi_err"), "bin", "left").withColumn("splits", F.lit(len(splits))), covar
 
 
-def conformity(pairs: DataFrame, side: int, bins: int) -> DataFrame:
+def conformity(counts: DataFrame, side: int, bins: int) -> DataFrame:
     """Shares of flagged neighbours around primaries, with errors from samples that leave one cube out of both sides.
 
-    `pairs`: (center, cube_a, cube_b, bin, flag), cubes as of cube_of().  Returns (bin, mean_share, mean_err, stacked,
+    `counts`: (center, m, cube_a, cube_b, bin, r, n): m primaries that have the same n neighbours, r of them flagged, in
+    a bin and cube; one row for each of these, cubes as of cube_of().  Returns (bin, mean_share, mean_err, stacked,
     stacked_err): the mean over the primaries that have neighbours in a bin, and the share of all neighbours together.
     A sample changes only primaries within the cube (gone) or with a neighbour in it, so corrections to the totals are
     added up by cube.
     """
-    part = cut(pairs.groupBy("center", "cube_a", "bin", "cube_b").agg(F.count_if("flag").alias("r"), F.count(F.lit(1)).alias("n")))
-    whole = part.groupBy("center", "cube_a", "bin").agg(F.sum("r").alias("hits"), F.sum("n").alias("all"))
-    totals = whole.groupBy("bin").agg(F.sum(F.col("hits") / F.col("all")).alias("shares"), F.count(F.lit(1)).alias("primaries"), F.sum("hits").alias("hits"), F.sum("all").alias("all"))
-    gone = whole.select("bin", F.col("cube_a").alias("replica"), (-F.col("hits") / F.col("all")).alias("s"), F.lit(-1).alias("c"), (-F.col("hits")).alias("r"), (-F.col("all")).alias("n"))
+    part = cut(counts)
+    whole = part.groupBy("center", "cube_a", "bin").agg(F.first("m").alias("m"), F.sum("r").alias("hits"), F.sum("n").alias("all"))
+    total = lambda x, name: F.sum(F.col("m") * x).alias(name)
+    totals = whole.groupBy("bin").agg(total(F.col("hits") / F.col("all"), "shares"), F.sum("m").alias("primaries"), total(F.col("hits"), "hits"), total(F.col("all"), "all"))
+    gone = whole.select("bin", "m", F.col("cube_a").alias("replica"), (-F.col("hits") / F.col("all")).alias("s"), F.lit(-1).alias("c"), (-F.col("hits")).alias("r"), (-F.col("all")).alias("n"))
     rest = F.col("all") - F.col("n")
-    less = part.join(whole, ["center", "cube_a", "bin"]).where("cube_b <> cube_a").select(
-        "bin", F.col("cube_b").alias("replica"), (F.when(rest > 0, (F.col("hits") - F.col("r")) / rest).otherwise(0.0) - F.col("hits") / F.col("all")).alias("s"), F.when(rest > 0, 0).otherwise(-1).alias("c"), (-F.col("r")).alias("r"), (-F.col("n")).alias("n"))
-    off = gone.unionByName(less).groupBy("replica", "bin").agg(*(F.sum(x).alias(x) for x in "scrn"))
+    less = part.join(whole.drop("m"), ["center", "cube_a", "bin"]).where("cube_b <> cube_a").select(
+        "bin", "m", F.col("cube_b").alias("replica"), (F.when(rest > 0, (F.col("hits") - F.col("r")) / rest).otherwise(0.0) - F.col("hits") / F.col("all")).alias("s"), F.when(rest > 0, 0).otherwise(-1).alias("c"), (-F.col("r")).alias("r"), (-F.col("n")).alias("n"))
+    off = gone.unionByName(less).groupBy("replica", "bin").agg(*(total(F.col(x), x) for x in "scrn"))
     share = lambda a, b: F.try_divide(a, b)
     full = cut(totals.select("bin", share(F.col("shares"), F.col("primaries")).alias("mean_share"), share(F.col("hits"), F.col("all")).alias("stacked")))
     grid = totals.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(side**3 - 1)))).join(off, ["replica", "bin"], "left").fillna(0, ["s", "c", "r", "n"])
