@@ -92,3 +92,9 @@ def test_conformity(spark, orders, name):
         assert (b in got) == (pairs > 0) and (not pairs or got[b] == round(hits / pairs, 8))
 
 
+def test_a21(spark, orders):
+    d, m = around(orders[1], 7)
+    got = result(spark, orders, "a21_neighbour_profiles", 7)
+    assert {r.bin: (r.n, r.mass) for r in got.itertuples()} == {b: (k.sum(), round(m[k].sum(), 2)) for b in range(6) if (k := (d >= b * 20) & (d < b * 20 + 20)).any()}
+
+
