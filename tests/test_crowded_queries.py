@@ -98,3 +98,9 @@ def test_a21(spark, orders):
     assert {r.bin: (r.n, r.mass) for r in got.itertuples()} == {b: (k.sum(), round(m[k].sum(), 2)) for b in range(6) if (k := (d >= b * 20) & (d < b * 20 + 20)).any()}
 
 
+def test_a22(spark, orders):
+    d, m = around(orders[1], 7)
+    got = result(spark, orders, "a22_reductions_in_bins", 7)
+    assert {r.bin: (r.hi, r.lo, r.total) for r in got.itertuples()} == {b: (m[k].max(), m[k].min(), round(m[k].sum(), 2)) for b in range(6) if (k := (d > b * 20) & (d <= b * 20 + 20)).any()}
+
+
