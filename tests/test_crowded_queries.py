@@ -104,3 +104,11 @@ def test_a22(spark, orders):
     assert {r.bin: (r.hi, r.lo, r.total) for r in got.itertuples()} == {b: (m[k].max(), m[k].min(), round(m[k].sum(), 2)) for b in range(6) if (k := (d > b * 20) & (d <= b * 20 + 20)).any()}
 
 
+def test_a25(spark, orders):
+    d, m = around(orders[1], 7)
+    h, near = orders[1].halo_id.to_numpy(), d <= 120
+    want = {"all": near, "self": near & (h == h[7]), "diffuse": near & (h != h[7]) & (h % 10 == 0), "other": near & (h != h[7]) & (h % 10 != 0)}
+    got = result(spark, orders, "a25_profile_terms", 7)
+    assert {r.term: (r.n, r.mass) for r in got.itertuples()} == {k: (v.sum(), round(m[v].sum(), 2)) for k, v in want.items() if v.any()}
+
+
