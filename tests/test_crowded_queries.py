@@ -112,3 +112,9 @@ def test_a25(spark, orders):
     assert {r.term: (r.n, r.mass) for r in got.itertuples()} == {k: (v.sum(), round(m[v].sum(), 2)) for k, v in want.items() if v.any()}
 
 
+def test_a104(spark, orders):
+    path, subs = orders
+    got = {r["bin"]: r["clumps"] for r in roles.QUERIES["a104_clump_profiles"](spark, path).collect()}
+    where, d = per_place(subs)
+    centers = subs[subs.halo_id % 5 == 0].groupby(list("xyz")).size().reindex(where.set_index(list("xyz")).index, fill_value=0).to_numpy()
+    assert got == {b: centers[k.any(1)].sum() for b in range(6) if (k := (d >= b * 20) & (d < b * 20 + 20)).any() and centers[k.any(1)].sum()}
