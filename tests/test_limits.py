@@ -48,3 +48,11 @@ def test_items_exactly_at_a_limit(spark, tmp_path):
     spark.createDataFrame([(k, 1, b) for k, b in enumerate(items)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
     got, want = both(spark, tmp_path, "j32b_matched_realisations")
     assert got == want and got
+
+
+def test_five_neighbours_at_the_very_place(spark, tmp_path):
+    """They take no volume, and the density is infinite, as in the SQL."""
+    rows = [(1000 * k, 1000 * k, 1e5, "1-URGENT") for k in range(8)] + [(7 * k + 1, 3 * k, 1e5, "1-URGENT") for k in range(60)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got, want = both(spark, tmp_path, "a60_nth_overdensity")
+    assert got == want and sum(r[1] == float("inf") for r in got) == 8
