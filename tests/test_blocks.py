@@ -90,3 +90,22 @@ def test_around_is_brute_force(spark, cloud, monkeypatch, scale, limits):
                 n, total, top, low = got.get((i, b, t), (0, 0, None, None))
                 assert n == near.sum() and abs(total - v[near].sum()) < 1e-9
                 assert (top, low) == ((v[apart].max(), v[apart].min()) if apart.any() else (None, None))
+
+
+@pytest.mark.parametrize("size", ["plain", "weighted"])
+def test_first_radius_suits_the_density(spark, monkeypatch, size):
+    """It held 2,000 of 8,000 points for 8 neighbours before."""
+    rng = np.random.default_rng(5)
+    pos = rng.uniform(0, 100, (8000, 3))
+    df = spark.createDataFrame(pd.DataFrame(pos, columns=XYZ).assign(id=range(8000)))
+    seen, join = [], spatial.radius_join
+    monkeypatch.setattr(spatial, "radius_join", lambda *a, **k: seen.append(a[6]) or join(*a, **k))
+    few = df.where("id % 100 = 0")
+    if size == "plain":
+        got = spatial.nearest(few, df, "id", "id", XYZ, 100.0, 8, 40.0, skip_self=False).groupBy("center").agg(F.max("distance").alias("d")).toPandas().set_index("center").d
+        d = np.abs(pos[got.index][:, None] - pos[None])
+        d = np.sqrt((np.minimum(d, 100 - d) ** 2).sum(-1))
+        assert np.allclose(got, np.sort(d, 1)[:, 7]) and len(got) == 80
+    else:
+        assert spatial.adaptive_size(few, df, "id", "id", XYZ, 100.0, 8.0, 40.0).where("size > 0").count() == 80
+    assert seen[0] < 12
