@@ -1,9 +1,11 @@
 """Values that lie exactly on a limit, where double sums and differences miss it, against the queries' own SQL."""
 
 import datetime
+import threading
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from skyframe.plans import roles
 from skyframe.queries import load_all
@@ -56,3 +58,21 @@ def test_five_neighbours_at_the_very_place(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
     got, want = both(spark, tmp_path, "a60_nth_overdensity")
     assert got == want and sum(r[1] == float("inf") for r in got) == 8
+
+
+def test_nearest_of_many_items(spark, tmp_path):
+    """Ties, limits and empty ranges; no pairs of the rows are made, of which there would be 4 thousand million."""
+    from skyframe.operators import matching
+
+    nations = spark.range(400).select(F.col("id").alias("s_suppkey"), F.expr("cast(id % 3 as int)").alias("s_nationkey"), F.expr("round(id * 37.31D % 9000 - 900, 2)").alias("s_acctbal"))
+    nations.write.parquet(str(tmp_path / "supplier.parquet"))
+    items = spark.range(150).select(F.col("id").alias("c_custkey"), F.expr("cast(id % 2 as int)").alias("c_nationkey"), F.expr("round(id * id * 1.17D % 6000, 2)").alias("c_acctbal"))
+    items.union(items.selectExpr("c_custkey + 500", "c_nationkey", "c_acctbal")).write.parquet(str(tmp_path / "customer.parquet"))
+    got, want = both(spark, tmp_path, "j32_constrained_nearest")
+    assert got == want and got
+    rows = spark.range(65_536).select("id", F.lit(1).alias("k"), (F.col("id") % 4096).cast("double").alias("v"))
+    timer = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    got = matching.nearest_value(rows, rows.select(F.col("id").alias("item"), "k", "v"), ["k"], "v", "id", "item").agg(F.count(F.lit(1)), F.max("distance"), F.max("item")).first()
+    timer.cancel()
+    assert tuple(got) == (65_536, 0.0, 4095)
