@@ -109,3 +109,15 @@ def test_first_radius_suits_the_density(spark, monkeypatch, size):
     else:
         assert spatial.adaptive_size(few, df, "id", "id", XYZ, 100.0, 8.0, 40.0).where("size > 0").count() == 80
     assert seen[0] < 12
+
+
+def test_rays_at_one_place_are_one(spark, monkeypatch):
+    """All 200 of them had candidates of their own before."""
+    from skyframe.operators import sightlines
+
+    seen, join = [], spatial.radius_join
+    monkeypatch.setattr(spatial, "radius_join", lambda c, *a, **k: seen.append(c.count()) or join(c, *a, **k))
+    cells = spark.createDataFrame(pd.DataFrame(np.random.default_rng(2).uniform(0, 100, (300, 3)), columns=XYZ).assign(cell=range(300)))
+    lines = spark.range(200).select(F.col("id").alias("ray"), F.expr("id % 2 * 30D").alias("x"), F.lit(40.0).alias("y"))
+    got = sightlines.rays_through_cells(lines, cells, "ray", "cell", ["x", "y"], "z", 100.0, 30.0).groupBy("ray").agg(F.sum("dl").alias("dl"), F.count(F.lit(1)).alias("n")).toPandas()
+    assert seen[0] == 2 and len(got) == 200 and np.allclose(got.dl, 100) and got.groupby(got.ray % 2).n.nunique().max() == 1
