@@ -118,3 +118,13 @@ def test_a104(spark, orders):
     where, d = per_place(subs)
     centers = subs[subs.halo_id % 5 == 0].groupby(list("xyz")).size().reindex(where.set_index(list("xyz")).index, fill_value=0).to_numpy()
     assert got == {b: centers[k.any(1)].sum() for b in range(6) if (k := (d >= b * 20) & (d < b * 20 + 20)).any() and centers[k.any(1)].sum()}
+
+
+def test_a83(spark, orders):
+    """18 samples around each object, at 144 places at most; the 8 nearest objects of each are at one place."""
+    path, subs = orders
+    out = roles.QUERIES["a83_direction_samples"](spark, path)
+    ask = int(subs.sub_id[7]) * 1000 + 60 * 4 + 1
+    n, distance = out.agg(F.count(F.lit(1)), F.max(F.when(F.col("sample") == ask, F.col("distance")))).first()
+    gap = np.abs((subs[list("xyz")].to_numpy()[7] + [60, 0, 0]) % 1000 - subs[list("xyz")].to_numpy())
+    assert n == 18 * N and abs(distance - np.sqrt((np.minimum(gap, 1000 - gap) ** 2).sum(1)).min()) < 1e-5
